@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slackline.llm import bpe, packing, shared
+from slackline.llm import bpe, exact_dedup, packing, sharding, shared
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,12 +15,29 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.withColumn("decoded", bpe.decode("ids")).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes."""
+    out = sharding.shard(shared.documents(spark, sf_dir), shards=16)
+    return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op3_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of equal texts; the largest doc_id stays."""
+    return exact_dedup.classes(shared.documents(spark, sf_dir), keep="largest")
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents concatenated and cut into windows of 2048 tokens."""
     return packing.piece_checksums(shared.documents(spark, sf_dir))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op10_pack": op10_pack}
+QUERIES = {"op1_bpe": op1_bpe, "op2_shard": op2_shard, "op3_exact": op3_exact, "op10_pack": op10_pack}
 
 #: DuckDB SQL by query, where SQL can express it on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact": """
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+    """,
+}
