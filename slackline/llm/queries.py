@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slackline.llm import bpe, exact_dedup, packing, sharding, shared, simhash
+from slackline.llm import bpe, exact_dedup, packing, quality, sharding, shared, simhash, toxicity
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,18 +26,31 @@ def op3_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(shared.documents(spark, sf_dir), keep="largest")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by a chain trained on a bounded sample of labels."""
+    docs, labels = shared.documents(spark, sf_dir), shared.documents(spark, sf_dir, "labels")
+    chain = toxicity.train(toxicity.labelled_sample(docs, labels), ["insult", "contempt", "toxic"])
+    return toxicity.score(docs, chain)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents and the components that they link."""
     out = simhash.near_duplicates(shared.documents(spark, sf_dir))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents; the source is the host, a source's language its path."""
+    docs, labels = shared.documents(spark, sf_dir), shared.documents(spark, sf_dir, "labels")
+    return quality.judge(docs, labels, F.col("source"), F.col("lang"))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents concatenated and cut into windows of 2048 tokens."""
     return packing.piece_checksums(shared.documents(spark, sf_dir))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_shard": op2_shard, "op3_exact": op3_exact, "op8_simhash": op8_simhash, "op10_pack": op10_pack}
+QUERIES = {"op1_bpe": op1_bpe, "op2_shard": op2_shard, "op3_exact": op3_exact, "op5_toxicity": op5_toxicity, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_pack": op10_pack}
 
 #: DuckDB SQL by query, where SQL can express it on whole tables.
 ORACLE_SQL: dict[str, str] = {
