@@ -3,7 +3,8 @@
 Pass one encodes, counting within each partition where every document starts, and writes the ids once. The
 partitions' totals are a few rows; their prefix sums are the partitions' offsets. Pass two adds the offsets:
 a document covers the windows from its first to its last token, and becomes one boundary record for each. Only
-the last window can be short. No row is shuffled; a partition's totals are all that is gathered.
+the last window can be short. The offsets are
+written too, so their size is known when the join is planned: while they are few, no row is shuffled.
 
 Contract: a null text counts as empty and is one ``stop`` token; an empty table gives no rows; repeated rows are
 packed each; other columns of the input are ignored. The order of documents is that of the input's partitions.
@@ -65,7 +66,7 @@ def _pieces(docs, id_col, text, path, window, stop, content) -> DataFrame:
     coded = shared.table(encode_in_order(docs, id_col, text, path, stop), "packing-ids")
     totals = coded.groupBy("part").agg(F.sum("n").alias("total"))  # as many rows as partitions
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("part", F.coalesce(F.sum("total").over(order), F.lit(0).cast("long")).alias("base"))
+    offsets = shared.table(totals.select("part", F.coalesce(F.sum("total").over(order), F.lit(0).cast("long")).alias("base")), "packing-offsets")
     at = F.col("base") + F.col("before")
 
     def piece(w):
