@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slackline.llm import bpe, exact_dedup, packing, quality, sharding, shared, simhash, toxicity
+from slackline.llm import bpe, exact_dedup, packing, pii, quality, sharding, shared, simhash, toxicity
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,14 @@ def op3_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(shared.documents(spark, sf_dir), keep="largest")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents; the counts are of base spans."""
+    found = pii.detect(shared.documents(spark, sf_dir).select("doc_id", "text"))
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter("pii.base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed("pii.base"), 256).alias("base_sha256"), listed("pii.spans").alias("spans"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents by a chain trained on a bounded sample of labels."""
     docs, labels = shared.documents(spark, sf_dir), shared.documents(spark, sf_dir, "labels")
@@ -50,7 +58,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_checksums(shared.documents(spark, sf_dir))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_shard": op2_shard, "op3_exact": op3_exact, "op5_toxicity": op5_toxicity, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_pack": op10_pack}
+QUERIES = {"op1_bpe": op1_bpe, "op2_shard": op2_shard, "op3_exact": op3_exact, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_pack": op10_pack}
 
 #: DuckDB SQL by query, where SQL can express it on whole tables.
 ORACLE_SQL: dict[str, str] = {
