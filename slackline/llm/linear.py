@@ -54,7 +54,7 @@ class Sparse:
         return out
 
 
-def fit_sparse(x: Sparse, y: np.ndarray, l2: float = 0.5, steps: int = 150, rate: float = 0.3) -> np.ndarray:
+def fit_sparse(x: Sparse, y: np.ndarray, l2: float = 1.0, steps: int = 150, rate: float = 0.3) -> np.ndarray:
     """Weights of the features, of the extra columns and the intercept, by AdaGrad on the whole sample."""
     w = np.zeros(x.k + x.extra.shape[1] + 1)
     if not len(y) or y.min() == y.max():
@@ -69,13 +69,13 @@ def fit_sparse(x: Sparse, y: np.ndarray, l2: float = 0.5, steps: int = 150, rate
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap at which F1 is largest."""
+    """The middle of the gap at which F0.5 is largest: a false alarm weighs more than a miss."""
     if not len(y) or y.min() == y.max():
         return 0.5
     order = np.argsort(-p, kind="stable")
     p, y = p[order], y[order]
     found = np.cumsum(y)
-    f1 = 2 * found / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][p[:-1] == p[1:]] = -1  # a threshold can't part equal scores
-    i = int(np.argmax(f1))
+    f = 1.25 * found / (np.arange(1, len(y) + 1) + 0.25 * y.sum())
+    f[:-1][p[:-1] == p[1:]] = -1  # a threshold can't part equal scores
+    i = int(np.argmax(f))
     return float((p[i] + (p[i + 1] if i + 1 < len(p) else 0)) / 2)

@@ -28,10 +28,10 @@ from slackline.llm import linear, shared
 
 #: Labelled rows of each class of the last category that train the chain, at most.
 SAMPLE_ROWS = 8_000
-FEATURES = 2_000
+FEATURES = 1_000
 FOLDS = 5
 #: A token trains only if it is in so many sampled rows.
-LEAST_ROWS = 3
+LEAST_ROWS = 5
 MEMO_ENTRIES = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
