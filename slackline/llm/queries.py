@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slackline.llm import bpe, exact_dedup, packing, pii, quality, sharding, shared, simhash, toxicity
+from slackline.llm import bpe, exact_dedup, packing, pii, quality, sharding, shared, simhash, syncmers, toxicity
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents; the counts are of base spans."""
     found = pii.detect(shared.documents(spark, sf_dir).select("doc_id", "text"))
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("pii.base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed("pii.base"), 256).alias("base_sha256"), listed("pii.spans").alias("spans"))
+    of = lambda kind: F.size(F.filter("pii.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(of, pii.KINDS), F.sha2(listed("pii.base"), 256).alias("base_sha256"), listed("pii.spans").alias("spans"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, chain)
 
 
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Syncmer fingerprints of all documents and of their edited texts."""
+    return syncmers.compare_with_edited(shared.documents(spark, sf_dir), texts=False)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents and the components that they link."""
     out = simhash.near_duplicates(shared.documents(spark, sf_dir))
@@ -58,7 +63,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_checksums(shared.documents(spark, sf_dir))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_shard": op2_shard, "op3_exact": op3_exact, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_pack": op10_pack}
+QUERIES = {"op1_bpe": op1_bpe, "op2_shard": op2_shard, "op3_exact": op3_exact, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op7_syncmers": op7_syncmers, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_pack": op10_pack}
 
 #: DuckDB SQL by query, where SQL can express it on whole tables.
 ORACLE_SQL: dict[str, str] = {

@@ -67,3 +67,11 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def arrow_schema(ddl: str):
+    """The Arrow schema of a DDL string, on an executor too (no session is needed)."""
+    import pyarrow as pa
+
+    kinds = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.strip().split(" ") for c in ddl.split(","))])
