@@ -365,6 +365,25 @@ def decode(ids: str | Column, path: str | None = None, spelling: str = "vocabula
     return text(ids)
 
 
+def round_trip(text: str | Column, path: str | None = None, spelling: str = "vocabulary") -> Column:
+    """Column of structs: packed ``ids`` and the text ``decoded`` from them, each text being encoded once.
+
+    Spark runs a chain of Python functions in one step and would encode again for the second.
+    """
+    path = path or public_vocabulary()
+
+    @F.arrow_udf("struct<ids:binary,decoded:string>")
+    def both(texts):
+        import pyarrow as pa
+
+        e, d = encoder(path), decoder(path, spelling)
+        ids = [None if t is None else e.encode(t) for t in texts.to_pylist()]
+        decoded = [None if x is None else d.decode(x) for x in ids]
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["ids", "decoded"])
+
+    return both(text)
+
+
 def encode_documents(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """``docs`` with the columns ``ids`` (packed) and ``n_tokens``; no shuffle. Clashing names get a leading "_"."""
     shared.session(docs)

@@ -10,9 +10,9 @@ from slackline.llm import bpe, exact_dedup, packing, pii, quality, sharding, sha
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents encoded, then decoded."""
-    docs = shared.documents(spark, sf_dir).select("doc_id", shared.text_or_empty().alias("text"))
-    coded = bpe.encode_documents(docs).select("doc_id", "n_tokens", "ids")
-    return coded.withColumn("decoded", bpe.decode("ids")).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    docs = shared.documents(spark, sf_dir)
+    coded = docs.select("doc_id", bpe.round_trip(shared.text_or_empty()).alias("c"))
+    return coded.select("doc_id", (F.octet_length("c.ids") / 4).cast("long").alias("n_tokens"), F.sha2("c.ids", 256).alias("ids_sha256"), F.sha2("c.decoded", 256).alias("decoded_sha256"))
 
 
 def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
