@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slackline.llm import bpe, exact_dedup, packing, pii, quality, sharding, shared, simhash, syncmers, toxicity
+from slackline.llm import bpe, exact_dedup, packing, pii, quality, sharding, shared, simhash, suffix_dedup, syncmers, toxicity
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, chain)
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes removed from all documents because an earlier one has the same 50."""
+    found = suffix_dedup.remove_repeats(shared.documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Syncmer fingerprints of all documents and of their edited texts."""
     return syncmers.compare_with_edited(shared.documents(spark, sf_dir), texts=False)
@@ -63,7 +69,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_checksums(shared.documents(spark, sf_dir))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_shard": op2_shard, "op3_exact": op3_exact, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op7_syncmers": op7_syncmers, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_pack": op10_pack}
+QUERIES = {"op1_bpe": op1_bpe, "op2_shard": op2_shard, "op3_exact": op3_exact, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_suffix": op6_suffix, "op7_syncmers": op7_syncmers, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_pack": op10_pack}
 
 #: DuckDB SQL by query, where SQL can express it on whole tables.
 ORACLE_SQL: dict[str, str] = {
