@@ -204,14 +204,15 @@ class Evader:
         """Outer penalties, and for each stage positions and penalties as [inner, outer]."""
         points = list(self.support if self.support is not None else range(self.context.m))
         d, m = np.array(self.context.distances), self.context.m
-        outer = np.array(list(product(points, repeat=self.n_outer)), np.int64).reshape(-1, self.n_outer)
+        outer = np.array(list(product(points, repeat=self.n_outer)), np.int64).reshape(len(points) ** self.n_outer, self.n_outer)
         base = np.full(len(outer), self.constant)
         for c, (i, j) in zip(self.outer_coefs, combinations(range(self.n_outer), 2)):
             base += c * d[outer[:, i], outer[:, j]]
         out = []
         for stage in self.stages:
             choose = combinations_with_replacement(points, stage.n_inner) if stage.inner_multiset else product(points, repeat=stage.n_inner)
-            inner = np.array(list(choose), np.int64).reshape(-1, stage.n_inner)
+            chosen = list(choose)
+            inner = np.array(chosen, np.int64).reshape(len(chosen), stage.n_inner)
             shape = (len(inner), len(outer))
 
             def at(place, inner=inner, shape=shape):
