@@ -154,7 +154,8 @@ def _shared_anchors(batches):
 
 
 SEGMENTS = "anchor long, segment binary, doc long, place int, chunk long, starts binary"
-MARKS = "chunk long, doc long, start long, windows long"
+#: ``spans``: pairs of first window and number of windows, as little-endian 64-bit integers.
+MARKS = "chunk long, doc long, spans binary"
 
 
 def _segments(left, right):
@@ -169,7 +170,7 @@ def _segments(left, right):
     within = lambda values, among: np.zeros(len(values), bool) if not len(among) else among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
     chunk = left.column("chunk")[0].as_py()
     first: dict[tuple[bytes, int], list] = {}  # segment and place: smallest document and its starts
-    settled = []
+    settled: dict[int, list] = {}  # document: spans that an earlier one of the chunk has, neighbours joined
     docs = sorted(zip(left.column("doc").to_pylist(), left.column("text").to_pylist()), key=lambda r: r[0])
     for doc, text in docs:
         for key, start, n, place in runs(np.frombuffer(text, np.uint8)):
@@ -185,9 +186,13 @@ def _segments(left, right):
                     elif seen[1] == doc:
                         seen[2].append(s + i)
                     else:
-                        settled.append((doc, s + i, size))
+                        spans = settled.setdefault(doc, [])
+                        if spans and spans[-1][0] + spans[-1][1] == s + i:
+                            spans[-1][1] += size
+                        else:
+                            spans.append([s + i, size])
     rows = [(at, segment, doc, place, chunk, np.array(starts, "<i8").tobytes()) for (segment, place), (at, doc, starts) in first.items()]
-    rows += [(None, b"\0" * (n + LENGTH - 1), doc, 0, chunk, np.array([s], "<i8").tobytes()) for doc, s, n in settled]
+    rows += [(None, None, doc, 0, chunk, np.array(spans, "<i8").tobytes()) for doc, spans in settled.items()]
     types = shared.arrow_schema(SEGMENTS)
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), types)] if rows else [pa.array([], f.type) for f in types], schema=types)
 
@@ -263,28 +268,32 @@ def _mark(batches):
     def table(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), types)], schema=types)
 
-    def whole(row):
-        n = len(row[1]) - LENGTH + 1
-        return [(row[4], row[2], s, n) for s in np.frombuffer(row[5], "<i8").tolist()]
+    def packed(row, spans):
+        return row[4], row[2], np.array(spans, "<i8").tobytes()
+
+    def starts(row):
+        return np.frombuffer(row[5], "<i8").tolist()
 
     def block(rows):
-        groups, segments, docs, places, chunks, starts = zip(*rows)
-        _, groups = np.unique(np.array(groups, np.int64), return_inverse=True)
-        marks = induce(groups.astype(np.int64), segments, np.array(places, np.int64), np.array(docs, np.int64))
+        _, groups = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)
+        marks = induce(groups.astype(np.int64), [r[1] for r in rows], np.array([r[3] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
         edge = np.diff(np.pad(marks, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, begin = np.nonzero(edge == 1)
         end = np.nonzero(edge == -1)[1]
-        return [(chunks[r], docs[r], s + b, e - b) for r, b, e in zip(row.tolist(), begin.tolist(), end.tolist()) for s in np.frombuffer(starts[r], "<i8").tolist()]
+        spans: dict[int, list] = {}
+        for r, b, e in zip(row.tolist(), begin.tolist(), end.tolist()):
+            spans.setdefault(r, []).extend((s + b, e - b) for s in starts(rows[r]))
+        return [packed(rows[r], x) for r, x in spans.items()]
 
     held, found, single = [], [], None
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns)):
             if row[0] is None:  # settled already
-                found += whole(row)
+                found.append((row[4], row[2], row[5]))
             elif row[0] >> 62:  # one window; the first of equal ones has the smallest document
                 if single is not None and single[:2] == row[:2]:
                     if row[2] > single[2]:
-                        found += whole(row)
+                        found.append(packed(row, [(s, 1) for s in starts(row)]))
                 else:
                     single = row
             else:
@@ -306,8 +315,9 @@ def _cut(left, right):
     import pyarrow as pa
 
     marks: dict[int, list] = {}
-    for doc, start, n in zip(*(right.column(c).to_pylist() for c in ("doc", "start", "windows"))) if right.num_rows else ():
-        marks.setdefault(doc, []).append((start, start + n + LENGTH - 1))
+    for doc, spans in zip(right.column("doc").to_pylist(), right.column("spans").to_pylist()) if right.num_rows else ():
+        pairs = np.frombuffer(spans, "<i8").reshape(-1, 2)
+        marks.setdefault(doc, []).extend(zip(pairs[:, 0].tolist(), (pairs.sum(axis=1) + LENGTH - 1).tolist()))
     out = []
     for doc, text in zip(left.column("doc").to_pylist(), left.column("text").to_pylist()):
         kept, at, end, spans = [], 0, -1, 0
