@@ -90,8 +90,8 @@ def strong_rho(spark, sf_dir):
     return bindings.edges(spark, sf_dir).agg(*evaluate.strong_rho(SERVERS, POINTS))
 
 
-@query(f"""WITH {NODES_SQL}, {_SAMPLE}, at AS (SELECT id, t, list_min(list_transform(range({POINTS}), lambda a: wf[a + 1] + t + wf[(a + 32) % 64 + 1] + t)) AS p FROM nodes JOIN sample USING (id), (SELECT unnest([0, 1, 2, 3, 10000]) AS t)),
- b AS (SELECT max(CAST(y.p - x.p AS DOUBLE) / (y.t - x.t)) AS bound FROM at x JOIN at y ON x.id = y.id AND x.t < y.t) SELECT bound AS opt_upper_bound, ({POINTS} - bound) / {POINTS - SERVERS - 1} AS opt_upper_bound_score FROM b""")
+@query(f"""WITH {NODES_SQL}, {_SAMPLE}, moved AS (SELECT id, t, list_min(list_transform(range({POINTS}), lambda a: wf[a + 1] + t + wf[(a + 32) % 64 + 1] + t)) AS p FROM nodes JOIN sample USING (id), (SELECT unnest([0, 1, 2, 3, 10000]) AS t)),
+ b AS (SELECT max(CAST(y.p - x.p AS DOUBLE) / (y.t - x.t)) AS bound FROM moved x JOIN moved y ON x.id = y.id AND x.t < y.t) SELECT bound AS opt_upper_bound, ({POINTS} - bound) / {POINTS - SERVERS - 1} AS opt_upper_bound_score FROM b""")
 def opt_upper_bound(spark, sf_dir):
     return evaluate.opt_upper_bound(bindings.nodes(spark, sf_dir), pair_potential, k=SERVERS, size=POINTS)
 
