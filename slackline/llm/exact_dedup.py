@@ -8,8 +8,8 @@
 3. Rows get their class by joining on their representative, whose rows all lie in one input partition: a class
    that holds a third of all rows meets no hot key.
 
-A trie over its memory budget spills by subtree: the largest child of the root goes to a task-private file, what
-arrives for it later is appended, and it is finished by itself when the rest is done.
+A trie over its memory budget spills by subtree: the heaviest one below the first fork goes to a task-private file,
+what arrives for it later is appended, and it is finished by itself when the rest is done.
 
 Contract: a null text counts as empty; empty texts are equal; a null identifier loses to any other; repeated
 identifiers are rows of their own; an empty table gives no rows; the texts of any length are compared whole.
@@ -66,12 +66,13 @@ class Trie:
     def __init__(self, merge, budget: int = TRIE_BYTES):
         self.merge, self.budget = merge, budget
         self.root, self.held = _Node(b""), 0
-        self.spilled: dict[int, object] = {}  # first byte: file
+        self.spilled: dict[bytes, object] = {}  # prefix: file with what follows it
 
     def add(self, key: bytes, value) -> None:
-        if key and (f := self.spilled.get(key[0])) is not None:
-            pickle.dump((key, value), f)
-            return
+        for prefix, f in self.spilled.items():
+            if key.startswith(prefix):
+                pickle.dump((key[len(prefix) :], value), f)
+                return
         node, rest = self.root, key
         while rest:
             child = node.children.get(rest[0])
@@ -96,15 +97,27 @@ class Trie:
             self._spill()
 
     def _spill(self) -> None:
-        """Writes out the root's heaviest subtree."""
-        weights = {b: sum(len(k) + 200 for k, _ in self._walk(c, b"")) for b, c in self.root.children.items()}
-        if not weights:
+        """Writes out the heaviest subtree below the first fork; a trie of one string has none and stays."""
+        node, prefix = self.root, b""
+        while len(node.children) == 1 and node.value is None and next(iter(node.children.values())).children:
+            node = next(iter(node.children.values()))
+            prefix += node.label
+        if len(node.children) + (node.value is not None) < 2:
             return
+        weights = {b: self._weight(c) for b, c in node.children.items()}
         heaviest = max(weights, key=weights.get)
-        f = self.spilled[heaviest] = tempfile.TemporaryFile(prefix="trie-")
-        for item in self._walk(self.root.children.pop(heaviest), b""):
-            pickle.dump(item, f)
-        self.held = sum(w for b, w in weights.items() if b != heaviest)
+        f = self.spilled[prefix + bytes([heaviest])] = tempfile.TemporaryFile(prefix="trie-")
+        for key, value in self._walk(node.children.pop(heaviest), b""):
+            pickle.dump((key[1:], value), f)
+        self.held -= weights[heaviest]
+
+    def _weight(self, node: _Node) -> int:
+        total, stack = 0, [node]
+        while stack:
+            node = stack.pop()
+            total += len(node.label) + 200
+            stack += node.children.values()
+        return total
 
     def _walk(self, node: _Node, prefix: bytes) -> Iterator[tuple[bytes, object]]:
         stack = [(node, prefix)]
@@ -116,11 +129,11 @@ class Trie:
             stack += [(c, key) for c in node.children.values()]
 
     def items(self) -> Iterator[tuple[bytes, object]]:
-        """All keys and values, then those of spilled subtrees, each built again without its first byte."""
+        """All keys and values, then those of spilled subtrees, each in a trie without its prefix."""
         yield from self._walk(self.root, b"")
         self.root, self.held = _Node(b""), 0
         while self.spilled:
-            first, f = self.spilled.popitem()
+            prefix, f = self.spilled.popitem()
             f.seek(0, os.SEEK_SET)
             below = Trie(self.merge, self.budget)
             while True:
@@ -128,10 +141,10 @@ class Trie:
                     key, value = pickle.load(f)
                 except EOFError:
                     break
-                below.add(key[1:], value)
+                below.add(key, value)
             f.close()
             for key, value in below.items():
-                yield bytes([first]) + key, value
+                yield prefix + key, value
 
 
 def _better(a: tuple, b: tuple, largest: bool) -> tuple:
