@@ -54,7 +54,7 @@ class Sparse:
         return out
 
 
-def fit_sparse(x: Sparse, y: np.ndarray, l2: float = 0.3, steps: int = 200, rate: float = 0.3) -> np.ndarray:
+def fit_sparse(x: Sparse, y: np.ndarray, l2: float = 0.1, steps: int = 200, rate: float = 0.3) -> np.ndarray:
     """Weights of the features, of the extra columns and the intercept, by AdaGrad on the whole sample."""
     w = np.zeros(x.k + x.extra.shape[1] + 1)
     if not len(y) or y.min() == y.max():

@@ -31,7 +31,9 @@ SAMPLE_ROWS = 8_000
 FEATURES = 1_000
 FOLDS = 5
 #: A token trains only if it is in so many sampled rows.
-LEAST_ROWS = 5
+LEAST_ROWS = 3
+#: And only if its share among a category's rows is so many standard errors from what chance would give.
+LEAST_Z = 4.0
 MEMO_ENTRIES = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -114,12 +116,13 @@ def train(docs: DataFrame, categories: list[str], id_col: str = "doc_id", text:
     schema = "token string, " + ", ".join(f"n{j} long" for j in range(k)) + ", n long"
     held = chosen.mapInArrow(counted, schema).groupBy("token").agg(*(F.sum(c).alias(c) for c in [*(f"n{j}" for j in range(k)), "n"])).where(f"n >= {LEAST_ROWS}")
     totals = chosen.select(F.count("*"), *(F.coalesce(F.sum(F.col("y")[j]), F.lit(0)) for j in range(k))).first()
-    tells = []
-    for j in range(k):  # log odds, weighted by how often the token occurs
-        inside = (F.col(f"n{j}") + 0.5) / (totals[j + 1] + 1)
-        outside = (F.col("n") - F.col(f"n{j}") + 0.5) / (totals[0] - totals[j + 1] + 1)
-        tells.append(F.abs(F.log(inside) - F.log(outside)) * F.sqrt(F.greatest(F.col(f"n{j}"), F.lit(1))))
-    top = held.orderBy(F.greatest(*tells, F.lit(0.0)).desc(), "token").limit(FEATURES).select("token").collect()
+    tells, n = [], totals[0]
+    for j in range(k):
+        inside, share = totals[j + 1], F.col("n") / F.lit(max(1, n))
+        error = F.sqrt(inside * share * (1 - share) * ((n - inside) / max(1, n)))
+        tells.append(F.when(error > 0, F.abs(F.col(f"n{j}") - inside * share) / error).otherwise(0.0))
+    held = held.withColumn("z", F.greatest(*tells, F.lit(0.0))).where(F.col("z") >= LEAST_Z)
+    top = held.orderBy(F.desc("z"), "token").limit(FEATURES).select("token").collect()
     chain = Chain(categories, {r["token"]: i for i, r in enumerate(top)}, [], [])
 
     def featured(batches):
