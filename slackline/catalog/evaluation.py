@@ -172,7 +172,7 @@ def robustness(spark, sf_dir):
     order = [r["id"] for r in spark.range(POINTS).orderBy(arrays.portable_hash(F.col("id"), 42), "id").collect()]  # POINTS numbers
     perm = F.array(*(F.lit(i) for i in order))
     where = {p: at for at, p in enumerate(order)}
-    pair = lambda w: F.array_min(F.array(*(w[where[a]] + w[where[(a + POINTS // 2) % POINTS]] for a in range(POINTS))))
+    pair = lambda w: arrays.let(w, lambda v: F.array_min(F.array(*(v[where[a]] + v[where[(a + POINTS // 2) % POINTS]] for a in range(POINTS)))))
     got = [evaluate.robustness(e, n, f, perm, RHO).select(F.lit(name).alias("potential"), "violations", "robust") for name, f in (("pair", pair), ("first", lambda w: w[0]))]
     return got[0].union(got[1])
 

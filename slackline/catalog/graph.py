@@ -112,8 +112,9 @@ def wf_hash(spark, sf_dir):
 SELECT id, array_to_string(min(w), ',') AS canonical FROM images GROUP BY id""")
 def wf_canonical(spark, sf_dir):
     """The least image under rotations by two and reflections of one server's circle."""
-    image = lambda r, s: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda x: F.element_at("wf", (F.pmod((64 - x if s else x) + 2 * r, F.lit(64)) + 1).cast("int")))
-    least = F.array_min(F.array(*(image(r, s) for r in range(32) for s in (True, False))))
+    image = lambda w, r, s: F.array(*(w[((64 - x if s else x) + 2 * r) % 64] for x in range(64)))
+    every = lambda w: F.array_min(F.array(*(image(w, r, s) for r in range(32) for s in (True, False))))
+    least = arrays.let(F.col("wf"), every)
     return bindings.nodes(spark, sf_dir).select("id", arrays.joined(least).alias("canonical"))
 
 

@@ -55,9 +55,9 @@ def canonical_potential(spark, sf_dir):
 
 @query(_BEST)
 def canonical_potential_arrow(spark, sf_dir):
-    """The same in Arrow batches."""
-    n = bindings.nodes(spark, sf_dir).select("id", "wf").withColumn("p", _pairs([2]).arrow()(F.col("wf")))
-    return n.select("id", "p.value", "p.a_id")
+    """The same in Arrow batches, once for each distinct work function."""
+    n = potentials.distinct(bindings.nodes(spark, sf_dir).select("id", "wf"), _pairs([2]).arrow())
+    return n.select("id", "phi.value", "phi.a_id")
 
 
 @query(f"WITH {NODES_SQL}, {_LATENT} SELECT id, c AS candidate_id, CAST(min(wf[a + 1] + wf[opposite + 1] - (c - 2) * d) AS BIGINT) AS value FROM nodes, priced, range(5) t(c) GROUP BY ALL")
@@ -75,7 +75,7 @@ SELECT id, CAST(min(wf[i.a + 1] + inner_best) AS DOUBLE) AS phi FROM i JOIN node
 def evader_potential(spark, sf_dir):
     """An outer point's value plus the least inner one, the inner paying its distance."""
     p = potentials.Evader(_circle(), 1, _STAGES, support=list(range(0, POINTS, 8)))
-    return bindings.nodes(spark, sf_dir).select("id", p.arrow()(F.col("wf"))["value"].alias("phi"))
+    return potentials.distinct(bindings.nodes(spark, sf_dir).select("id", "wf"), p.arrow()).select("id", F.col("phi.value").alias("phi"))
 
 
 @query(f"WITH {NODES_SQL} SELECT id, CAST(0 AS BIGINT) AS phi FROM nodes")
@@ -108,12 +108,12 @@ def _span(wf: np.ndarray):
 @query(f"WITH {NODES_SQL} SELECT id, CAST(list_max(wf) - list_min(wf) AS DOUBLE) AS phi, concat('{{\"at\": ', list_position(wf, list_max(wf)) - 1, '}}') AS info FROM nodes")
 def potential_udf(spark, sf_dir):
     """A plain Python potential that returns a value and a note."""
-    n = bindings.nodes(spark, sf_dir).select("id", "wf").withColumn("p", potentials.arrow(_span)(F.col("wf")))
-    return n.select("id", F.col("p.value").alias("phi"), "p.info")
+    n = potentials.distinct(bindings.nodes(spark, sf_dir).select("id", "wf"), potentials.arrow(_span))
+    return n.select("id", F.col("phi.value").alias("phi"), "phi.info")
 
 
 @query(f"WITH {NODES_SQL}, s AS (SELECT id, list_transform(wf, lambda x: x // 64) AS w FROM nodes) SELECT id, CAST(list_sum(w) AS DOUBLE) AS phi FROM s")
 def distinct_eval(spark, sf_dir):
     """Evaluated once for each distinct work function, then joined back."""
     n = bindings.nodes(spark, sf_dir).select("id", F.transform("wf", lambda x: F.floor(x / 64)).alias("wf"))
-    return potentials.distinct(n, lambda w: potentials.arrow(lambda v: float(v.sum()))(w)["value"]).select("id", "phi")
+    return potentials.distinct(n, potentials.arrow(lambda v: float(v.sum()))).select("id", F.col("phi.value").alias("phi"))

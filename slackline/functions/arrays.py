@@ -57,12 +57,17 @@ def clique_cost(cfg: Column, k: int, distance) -> Column:
     return reduce(lambda x, y: x + y, pairs, F.lit(0).cast("long"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: in a lambda, Catalyst would compute it again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalized(wf: Column) -> Column:
-    return F.transform(wf, lambda x: x - F.array_min(wf))
+    return let(wf, lambda w: let(F.array_min(w), lambda low: F.transform(w, lambda x: x - low)))
 
 
 def shifted(wf: Column, by: Column) -> Column:
-    return F.transform(wf, lambda x: x + by)
+    return let(by, lambda d: F.transform(wf, lambda x: x + d))
 
 
 def growth(before: Column, after: Column) -> Column:
@@ -74,14 +79,6 @@ def total(wf: Column) -> Column:
     return F.aggregate(wf, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def update_circle(wf: Column, r: Column, m: int) -> Column:
-    """A request at r for one server on a cycle of m points: w'(x) = min(w(r) + d(x, r), w(x) + 2 d(x, r)) at most.
-
-    With one server, the state after serving r is reached from r itself: w'(x) = w(r) + d(r, x).
-    """
-    return F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda x: F.element_at(wf, (r + 1).cast("int")) + circle_distance(x.cast("long"), r, m))
-
-
 def joined(values: Column) -> Column:
     """An array as text, for reports that engines compare."""
     return F.array_join(F.transform(values, lambda x: x.cast("string")), ",")

@@ -93,9 +93,12 @@ class Canonical:
 
     def column(self, wf: str | Column, one_row: Column) -> Column:
         """struct<value, a_id>: the least value and the first assignment that has it. ``one_row``: all latents as an array."""
-        w = F.col(wf) if isinstance(wf, str) else wf
-        value = lambda l: F.aggregate(l["gathers"], -l["penalty"], lambda s, i: s + F.element_at(w, (i + 1).cast("int")))  # noqa: E731, E741
-        return F.array_min(F.transform(one_row, lambda l: F.struct(value(l).alias("value"), l["a_id"].alias("a_id"))))  # noqa: E741
+
+        def least(w):
+            value = lambda l: F.aggregate(l["gathers"], -l["penalty"], lambda s, i: s + F.element_at(w, (i + 1).cast("int")))  # noqa: E731, E741
+            return F.array_min(F.transform(one_row, lambda l: F.struct(value(l).alias("value"), l["a_id"].alias("a_id"))))  # noqa: E741
+
+        return arrays.let(F.col(wf) if isinstance(wf, str) else wf, least)
 
     def native(self, nodes: DataFrame, wf: str = "wf") -> DataFrame:
         """``nodes`` with value and a_id, in whole by Catalyst; for few latents."""
@@ -244,7 +247,11 @@ class Evader:
 
 
 def distinct(nodes: DataFrame, potential: Callable[[Column], Column], wf: str = "wf") -> DataFrame:
-    """``nodes`` with ``phi``: the potential is evaluated once for each distinct work function, then joined back."""
+    """``nodes`` with ``phi``: the potential is evaluated once for each distinct work function, then joined back.
+
+    The aggregation also keeps computed work functions out of the Python function's arguments, where Spark can fail
+    to plan higher-order functions.
+    """
     once = nodes.select(wf).distinct().withColumn("phi", potential(F.col(wf)))
     return nodes.join(once, wf)
 

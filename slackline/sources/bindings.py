@@ -20,7 +20,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pair_potential(wf: Column) -> Column:
     """The canonical potential of one server on a circle: the least w(a) + w(antipode of a)."""
-    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), lambda a: F.element_at(wf, a + 1) + F.element_at(wf, F.pmod(a + POINTS // 2, F.lit(POINTS)) + 1)))
+    return arrays.let(wf, lambda w: F.array_min(F.array(*(w[a] + w[(a + POINTS // 2) % POINTS] for a in range(POINTS // 2)))))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
