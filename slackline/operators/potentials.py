@@ -57,6 +57,12 @@ class Canonical:
         if len(self.index_matrix) < k + 1:
             raise ValueError("k + 1 rows at least")
 
+    @classmethod
+    def unifying(cls, context: Context, coefs: list[int] | None = None) -> Canonical:
+        """k places; row j has j times the antipode of place j, then the places after it."""
+        k = context.k
+        return cls(context, k, [[-j] * j + list(range(j + 1, k + 1)) for j in range(k + 1)], coefs)
+
     @cached_property
     def points(self) -> np.ndarray:
         """Assignments, the first place varying slowest."""

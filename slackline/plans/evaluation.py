@@ -32,6 +32,10 @@ class Report:
         row = json.dumps(clean(self.metrics), sort_keys=True)
         self.nodes.sparkSession.createDataFrame([(row,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metrics")
 
+    @classmethod
+    def load(cls, spark, path: str) -> Report:
+        return cls(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"), json.loads(spark.read.text(f"{path}/metrics").first()["value"]))
+
 
 def clean(value):
     """JSON has no infinities: they and NaN become null."""

@@ -124,6 +124,23 @@ def test_unifying_potential_has_no_violation_and_both_forms_agree(graph):
     assert e.where("pv - pu + weight < 0").count() == 0
 
 
+def test_unifying_rows():
+    p = potentials.Canonical.unifying(Context.of(3, metrics.circle_matrix(4)))
+    assert p.index_matrix == [[1, 2, 3], [-1, 2, 3], [-2, -2, 3], [-3, -3, -3]]
+
+
+def test_rides_are_replayed_in_order(spark):
+    c = Context.of(2, metrics.circle_matrix(6))
+    rows = [(u, i, i, (u + i) % 3 * 2 + 1, i % 3 * 2) for u in range(3) for i in range(5)]
+    df = spark.createDataFrame(rows, "user_id long, ts long, event_id long, s long, t long").orderBy(F.desc("event_id"))
+    got = {r["user_id"]: r for r in workfunctions.replay(df, c, (0, 2), rides=("s", "t")).collect()}
+    for u in range(3):
+        wf = c.initial((0, 2))
+        for _, _, _, s, t in sorted(r for r in rows if r[0] == u):
+            wf = c.ride(wf, s, t)
+        assert got[u]["wf"] == wf.tolist() and got[u]["n"] == 5
+
+
 def test_shifting_a_work_function_shifts_the_potential_by_its_rows():
     c = Context.of(2, metrics.circle_matrix(4))
     p = potentials.Canonical(c, 2, [[1, 2], [-1, 2], [-2, -2]])
@@ -191,7 +208,8 @@ def test_instances_and_report(spark, graph, tmp_path):
     assert m["violations_k"] == 570 and m["violations_k_score"] == pytest.approx(1 - 570 / 2100) and m["total_nodes"] == 350
     assert m["bellman_edge_corr"] is None and m["opt_upper_bound"] == 0
     found.save(str(tmp_path / "r"))
-    assert spark.read.text(str(tmp_path / "r/metrics")).count() == 1
+    loaded = evaluation.Report.load(spark, str(tmp_path / "r"))
+    assert loaded.metrics["violations_k"] == 570 and loaded.edges.count() == 2100
     assert evaluation.combined([m, m]) == pytest.approx((1 - 570 / 2100) ** 2)
     assert evaluation.combined([m | {"robustness": False}]) == 0
     assert evaluation.clean({"a": [math.inf, 1.0], "b": math.nan}) == {"a": [None, 1.0], "b": None}
