@@ -358,6 +358,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     name = f"slackline_repeats_{uuid.uuid4().hex}"
     unique.repartition(partitions, "chunk").write.bucketBy(partitions, "chunk").sortBy("chunk").option("compression", "zstd").option("path", shared.scratch_path(spark, "repeats-texts")).saveAsTable(name)
     texts = spark.table(name)
+    texts.schema  # noqa: B018  resolved: the files stay, the catalog needs the name no more
+    spark.sql(f"DROP TABLE {name}")
 
     f, schema = _count_anchors(n_buckets)
     counted = texts.select("chunk", "text").mapInArrow(f, schema)
