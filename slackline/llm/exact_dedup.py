@@ -251,9 +251,5 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: s
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: str = "smallest") -> DataFrame:
     """``docs`` with one row of each class of equal texts, whatever its other columns."""
-    key, digest = shared.fresh(docs, "kept_id"), shared.fresh(docs, "kept_sha256")
-    found = classes(docs, id_col, text, keep).where("kept").select(F.col(id_col).alias(key), F.col("text_sha256").alias(digest))
-    own = shared.fresh(docs, "own_sha256")
-    hashed = docs.withColumn(own, F.sha2(shared.text_or_empty(text), 256))
-    same = F.col(id_col).eqNullSafe(F.col(key)) & (F.col(own) == F.col(digest))
-    return hashed.join(found, same, "left_semi").dropDuplicates([id_col, own]).drop(own)
+    found = classes(docs, id_col, text, keep).where("kept").select(id_col, "text_sha256")
+    return shared.one_of_each(docs, found, id_col, text)

@@ -75,3 +75,15 @@ def arrow_schema(ddl: str):
 
     kinds = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
     return pa.schema([(name, kinds[kind]) for name, kind in (c.strip().split(" ") for c in ddl.split(","))])
+
+
+def one_of_each(docs: DataFrame, kept: DataFrame, id_col: str, text: str) -> DataFrame:
+    """A row of ``docs`` for each row of ``kept`` (id, SHA-256 of the text), whatever its other columns.
+
+    Join and duplicate removal have the same keys, so texts are shuffled once.
+    """
+    names = [fresh(docs, f"kept_{n}") for n in ("id", "null", "digest")]
+    keys = lambda i, digest: [F.coalesce(i.cast("string"), F.lit("")), i.isNull(), digest]
+    left = docs.select("*", *(k.alias(n) for k, n in zip(keys(F.col(id_col), F.sha2(text_or_empty(text), 256)), names)))
+    right = kept.toDF("id", "digest").select(*(k.alias(n) for k, n in zip(keys(F.col("id"), F.col("digest")), names)))
+    return left.join(right, names, "left_semi").dropDuplicates(names).drop(*names)

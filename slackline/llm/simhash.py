@@ -261,8 +261,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """``docs`` with one row of each component, the one with the smallest id."""
     digest = lambda body: F.sha2(body, 256)
     stay = _classes(_rows(docs, id_col, text, digest)).select("first").distinct()
-    key, key_digest, own = (shared.fresh(docs, c) for c in ("stays_id", "stays_digest", "own_digest"))
-    stay = stay.select(F.col("first.id").alias(key), F.col("first.digest").alias(key_digest))
-    hashed = docs.withColumn(own, digest(shared.text_or_empty(text)))
-    same = F.col(id_col).eqNullSafe(F.col(key)) & (F.col(own) == F.col(key_digest))
-    return hashed.join(stay, same, "left_semi").dropDuplicates([id_col, own]).drop(own)
+    return shared.one_of_each(docs, stay.select("first.id", "first.digest"), id_col, text)
