@@ -328,6 +328,9 @@ def decoder(path: str, spelling: str) -> Decoder:
     return Decoder(merges(path), spelling)
 
 
+shared.REMEMBERED["bpe"] = encoder.cache_clear
+
+
 def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 

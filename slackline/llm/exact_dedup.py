@@ -184,6 +184,7 @@ def _combine(id_kind: str, largest: bool, budget: int):
             columns = [pa.array(c, k) for c, k in zip(zip(*rows), (kind, pa.int64(), pa.int64(), pa.binary(), pa.int64()))]
             return pa.RecordBatch.from_arrays(columns, ["id", "row", "rep", "text", "n"])
 
+        shared.working("exact")
         row = TaskContext.get().partitionId() << 33
         trie, kind, seen = Trie(merge, budget), None, 0
         for b in batches:

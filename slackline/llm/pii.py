@@ -299,6 +299,7 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        shared.working("pii")
         rows = [(t or "", *find(t or "", sent.value)) for t in texts.to_pylist()]
         as_list = lambda k: pa.array([[dict(zip(("kind", "start", "end"), s)) for s in r[k]] for r in rows], kind)
         return pa.StructArray.from_arrays([as_list(1), as_list(2), pa.array([redacted(r[0], r[2]) for r in rows], pa.string())], ["base", "spans", "redacted"])

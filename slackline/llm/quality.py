@@ -76,6 +76,7 @@ def featured(docs: DataFrame, host: Column, path: Column, id_col: str = "doc_id"
     def rows(batches):
         import pyarrow as pa
 
+        shared.working("quality")
         for b in batches:
             x = [text_features(t or "") for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["id", "host", "path", "x"])

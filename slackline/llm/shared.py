@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch: bounds a Python worker's memory when documents are long.
 ARROW_ROWS = 256
 
+#: What operators remember in a worker process: how to forget it, by operator.
+REMEMBERED: dict = {}
+
+
+def working(operator: str) -> None:
+    """A worker process that turns to an operator forgets what others remember in it: workers serve many stages."""
+    for name, forget in REMEMBERED.items():
+        if name != operator:
+            forget()
+
 
 def session(df_or_spark) -> SparkSession:
     """The session, with Arrow batches small enough for long documents."""

@@ -69,6 +69,7 @@ def fingerprint(text: str | Column) -> Column:
     def simhash(texts):
         import pyarrow as pa
 
+        shared.working("simhash")
         out = [None if t is None else fingerprint_text(t) for t in texts.to_pylist()]
         return pa.array([None if x is None else x - (x >> 63 << 64) for x in out], pa.int64())
 
