@@ -2,7 +2,7 @@
 
 A stage takes all that its predecessor kept, written as Parquet and read again, and returns the columns of
 ``documents``; the last returns packed pieces. Quality rejects go, of equal texts the largest doc_id stays, of
-near-duplicates the smallest, personal data is replaced in the text, and what is left is packed into sequences.
+near-duplicates (five-word shingles, Jaccard similarity 0.8 or more) the smallest, personal data is replaced in the text, and what is left is packed into sequences.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slackline.llm import exact_dedup, packing, pii, quality, shared, simhash
+from slackline.llm import exact_dedup, near_dedup, packing, pii, quality, shared
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicate(docs)
+    return near_dedup.deduplicate(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,22 +36,27 @@ TILE = 4096
 MAX_ROUNDS = 60
 
 
-def fingerprint_text(text: str) -> int:
-    """A bit is 1 where it is set in over half of the hashes of the shingles, repeats included."""
+def shingle_hashes(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
+    """A hash of every ``size`` successive words, repeats included; of fewer words, one of them all."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z, and white space of ASCII
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = ends - np.fromiter(map(len, words), np.int64, len(words)) - 1
-    n = max(1, len(words) - SHINGLE_WORDS + 1)
-    last = ends[SHINGLE_WORDS - 1 :] - 1 if len(words) >= SHINGLE_WORDS else ends[-1:] - 1
+    n = max(1, len(words) - size + 1)
+    last = ends[size - 1 :] - 1 if len(words) >= size else ends[-1:] - 1
     parts = map(joined.__getitem__, map(slice, starts[:n].tolist(), last.tolist()))
     hash_of = xxhash.xxh64_intdigest
-    hashes = np.fromiter((hash_of(p, SEED) for p in parts), np.uint64, n)
-    return majority(hashes)
+    return np.fromiter((hash_of(p, SEED) for p in parts), np.uint64, n)
+
+
+def fingerprint_text(text: str) -> int:
+    """A bit is 1 where it is set in over half of the hashes of the shingles, repeats included."""
+    hashes = shingle_hashes(text)
+    return majority(hashes) if len(hashes) else 0
 
 
 def majority(hashes: np.ndarray) -> int:

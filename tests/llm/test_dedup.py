@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from slackline.llm import exact_dedup, simhash, suffix_dedup
+from slackline.llm import exact_dedup, near_dedup, simhash, suffix_dedup
 
 
 def test_trie_spills_by_subtree_and_loses_nothing():
@@ -199,3 +199,46 @@ def test_equal_texts_keep_the_smallest_whatever_the_partition(docs):
     rows = [(i, "same text here") for i in range(50)]
     got = exact_dedup.classes(docs(rows).repartition(7), keep="smallest").agg(F.count_if("kept"), F.max("keep_id"), F.min("group_size")).first()
     assert tuple(got) == (1, 0, 50)
+
+
+def brute_jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        words = t.lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("tile", [1 << 21, 400])
+def test_near_copies_of_similarity_080_to_095_go_and_others_stay(docs, monkeypatch, tile):
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    rnd = random.Random(5)
+    rows, want, seen = [], set(), []
+    for k in range(120):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randint(60, 300))]
+        copy = list(words)
+        for at in rnd.sample(range(len(words)), rnd.randint(1, 5)):
+            copy[at] = f"v{rnd.randrange(10**6)}"
+        j = brute_jaccard(" ".join(words), " ".join(copy))
+        rows += [(2 * k + 1, " ".join(words)), (2 * k + 2, " ".join(copy).upper())]
+        want |= {2 * k + 1} | ({2 * k + 2} if j < 0.8 else set())
+        seen.append(j)
+    assert sum(0.8 <= j <= 0.95 for j in seen) > 30 and sum(0.6 <= j < 0.8 for j in seen) > 10
+    # a large group: each differs from the first in its last words
+    base = [f"b{i}" for i in range(200)]
+    rows += [(1000 + i, " ".join([*base, *(f"e{i}x{j}" for j in range(5))])) for i in range(60)]
+    want.add(1000)
+    got = near_dedup.deduplicate(docs(rows))
+    assert {r["doc_id"] for r in got.collect()} == want
+    lost = [b for (a, x), (b, y) in zip(rows[:240:2], rows[1:240:2]) if (brute_fingerprint(x) ^ brute_fingerprint(y)).bit_count() > 3 and b not in want]
+    assert len(lost) > 20  # copies that three bits of three-word shingles leave
+
+
+def test_near_dedup_of_odd_rows(docs, odd):
+    d = docs(odd)
+    out = near_dedup.deduplicate(d)
+    assert out.columns == d.columns and near_dedup.deduplicate(docs([])).count() == 0
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in out.collect()) == [-1, 0, 4, 6, 7, 8, 9]
+    edge = [(3, "a b c d e f g h i j k l m"), (2, "a b c d e f g h i j k l x")]  # 8 of 10 shingles
+    assert [r["doc_id"] for r in near_dedup.deduplicate(docs(edge)).collect()] == [2]
+    assert near_dedup.deduplicate(docs([(1, "a b c d e f g h i j k l"), (2, "a b c d e f g h i j k x")])).count() == 2  # 7 of 9
