@@ -138,6 +138,21 @@ def test_each_document_meets_the_next(docs, odd):
     assert set(d.columns) < set(syncmers.fingerprints(d).columns) and syncmers.fingerprints(d).count() == len(odd)
 
 
+def test_likenesses_are_of_all_anchors(docs):
+    rnd = random.Random(8)
+    make = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passage = make(50)
+    rows = [(i, f"{make(3000)} {passage} {make(3000)}") for i in range(4)] + [(9, make(20))]
+    out = {r["doc_id"]: r for r in syncmers.compare_with_edited(docs(rows)).collect()}
+    sets = {i: {h >> 32 for h in syncmers.anchors(syncmers._code_points(t))[0].tolist()} for i, t in rows}
+    for (i, t), (j, following) in zip(rows, rows[1:] + rows[:1]):
+        other = {h >> 32 for h in syncmers.anchors(syncmers._code_points(syncmers.edited(t, following)))[0].tolist()}
+        assert out[i]["near_next"] == len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+        assert out[i]["near_edited"] == len(sets[i] & other) / len(sets[i] | other)
+    assert all(0 < out[i]["near_next"] < 0.02 for i in range(3))  # fifty words of six thousand
+    assert len(out[0]["fingerprint"]) > 4 * 8 * syncmers.SKETCH and len(out[9]["fingerprint"]) <= 8 * syncmers.SKETCH
+
+
 def held_out(spark, column):
     """Labels of even ids to train on, the others to test with."""
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
