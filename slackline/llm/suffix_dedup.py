@@ -12,7 +12,7 @@ Every ``LENGTH`` bytes that also start in a document with a smaller id are remov
    leftward, one byte at a time: the order at a byte follows from the order at the next by one stable partition,
    and a common prefix is one more than the least of those between. Where it reaches ``LENGTH``, windows are equal,
    and those of any but the smallest id are marked.
-5. Marks return to their documents' chunk, and the bytes that they cover are cut out.
+5. Marks return to their documents' chunk, by id and the text's number among those of the id, and the bytes that they cover are cut out.
 
 An anchor that over ``HOT`` documents share is dealt window by window instead: the windows are sorted with their ids,
 and the first of equal ones is the smallest, so no task holds such a group.
@@ -153,9 +153,18 @@ def _shared_anchors(batches):
         yield answer()
 
 
-SEGMENTS = "anchor long, segment binary, doc long, place int, chunk long, starts binary"
+SEGMENTS = "anchor long, segment binary, doc long, place int, chunk long, starts binary, row int"
 #: ``spans``: pairs of first window and number of windows, as little-endian 64-bit integers.
-MARKS = "chunk long, doc long, spans binary"
+MARKS = "chunk long, doc long, row int, spans binary"
+
+
+def _numbered(chunk) -> dict:
+    """{(doc, text): number} of a chunk in order; texts of one id are numbered, and so are rows of their own."""
+    out, before = {}, None
+    for doc, text in sorted(set(zip(chunk.column("doc").to_pylist(), chunk.column("text").to_pylist()))):
+        number = number + 1 if doc == before else 0
+        out[doc, text], before = number, doc
+    return out
 
 
 def _segments(left, right):
@@ -169,10 +178,9 @@ def _segments(left, right):
     hot = np.sort(_from_five(b"".join(right.column("hot").to_pylist())))
     within = lambda values, among: np.zeros(len(values), bool) if not len(among) else among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
     chunk = left.column("chunk")[0].as_py()
-    first: dict[tuple[bytes, int], list] = {}  # segment and place: smallest document and its starts
-    settled: dict[int, list] = {}  # document: spans that an earlier one of the chunk has, neighbours joined
-    docs = sorted(zip(left.column("doc").to_pylist(), left.column("text").to_pylist()), key=lambda r: r[0])
-    for doc, text in docs:
+    first: dict[tuple[bytes, int], list] = {}  # segment and place: smallest document and the starts in its rows
+    settled: dict[tuple[int, int], list] = {}  # document and row: spans that an earlier one of the chunk has, neighbours joined
+    for (doc, text), row in _numbered(left).items():
         for key, start, n, place in runs(np.frombuffer(text, np.uint8)):
             keep = within(key, common)
             key, start, n, place = key[keep], start[keep], n[keep], place[keep]
@@ -182,17 +190,17 @@ def _segments(left, right):
                     name = (text[s + i : s + i + size + LENGTH - 1], p - i)
                     if (seen := first.get(name)) is None:
                         at = 1 << 62 | xxhash.xxh64_intdigest(name[0]) >> 2 if h else k
-                        first[name] = [at, doc, [s + i]]
+                        first[name] = [at, doc, {row: [s + i]}]
                     elif seen[1] == doc:
-                        seen[2].append(s + i)
+                        seen[2].setdefault(row, []).append(s + i)
                     else:
-                        spans = settled.setdefault(doc, [])
+                        spans = settled.setdefault((doc, row), [])
                         if spans and spans[-1][0] + spans[-1][1] == s + i:
                             spans[-1][1] += size
                         else:
                             spans.append([s + i, size])
-    rows = [(at, segment, doc, place, chunk, np.array(starts, "<i8").tobytes()) for (segment, place), (at, doc, starts) in first.items()]
-    rows += [(None, None, doc, 0, chunk, np.array(spans, "<i8").tobytes()) for doc, spans in settled.items()]
+    rows = [(at, segment, doc, place, chunk, np.array(starts, "<i8").tobytes(), row) for (segment, place), (at, doc, of) in first.items() for row, starts in of.items()]
+    rows += [(None, None, doc, 0, chunk, np.array(spans, "<i8").tobytes(), row) for (doc, row), spans in settled.items()]
     types = shared.arrow_schema(SEGMENTS)
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), types)] if rows else [pa.array([], f.type) for f in types], schema=types)
 
@@ -260,7 +268,7 @@ def _step(order, prefix, groups, column, reaches):
 
 
 def _mark(batches):
-    """mapInArrow over a shard in order of (anchor, segment, doc): marks as (chunk, doc, start, windows)."""
+    """mapInArrow over a shard in order of (anchor, segment, doc): marks as (chunk, doc, row, spans)."""
     import pyarrow as pa
 
     types = shared.arrow_schema(MARKS)
@@ -269,7 +277,7 @@ def _mark(batches):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), types)], schema=types)
 
     def packed(row, spans):
-        return row[4], row[2], np.array(spans, "<i8").tobytes()
+        return row[4], row[2], row[6], np.array(spans, "<i8").tobytes()
 
     def starts(row):
         return np.frombuffer(row[5], "<i8").tolist()
@@ -289,7 +297,7 @@ def _mark(batches):
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns)):
             if row[0] is None:  # settled already
-                found.append((row[4], row[2], row[5]))
+                found.append((row[4], row[2], row[6], row[5]))
             elif row[0] >> 62:  # one window; the first of equal ones has the smallest document
                 if single is not None and single[:2] == row[:2]:
                     if row[2] > single[2]:
@@ -314,14 +322,14 @@ def _cut(left, right):
     """Cogrouped chunk: documents and marks to n_bytes, n_removed, n_spans and the bytes that stay."""
     import pyarrow as pa
 
-    marks: dict[int, list] = {}
-    for doc, spans in zip(right.column("doc").to_pylist(), right.column("spans").to_pylist()) if right.num_rows else ():
+    marks: dict[tuple[int, int], list] = {}
+    for *row, spans in zip(*(right.column(c).to_pylist() for c in ("doc", "row", "spans"))) if right.num_rows else ():
         pairs = np.frombuffer(spans, "<i8").reshape(-1, 2)
-        marks.setdefault(doc, []).extend(zip(pairs[:, 0].tolist(), (pairs.sum(axis=1) + LENGTH - 1).tolist()))
-    out = []
+        marks.setdefault(tuple(row), []).extend(zip(pairs[:, 0].tolist(), (pairs.sum(axis=1) + LENGTH - 1).tolist()))
+    out, numbers = [], _numbered(left) if left.num_rows else {}
     for doc, text in zip(left.column("doc").to_pylist(), left.column("text").to_pylist()):
         kept, at, end, spans = [], 0, -1, 0
-        for a, b in sorted(marks.get(doc, ())):
+        for a, b in sorted(marks.get((doc, numbers[doc, text]), ())):
             if a > end:
                 spans += 1
                 kept.append(text[at:a])

@@ -183,6 +183,17 @@ def test_repeats_of_odd_rows(docs, odd):
     assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in same) == [(-1, 60), (1, 0), (1, 0)]
 
 
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_marks_return_to_rows_of_a_repeated_id(docs, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rnd = random.Random(6)
+    make = lambda: "".join(rnd.choice("abcdefgh ") for _ in range(120))
+    passage, own, twin = make(), [make() for _ in range(4)], make()
+    rows = [(1, passage), (None, own[0] + passage), (None, own[1] + twin), (7, own[2] + passage + twin), (7, own[3] + twin)]
+    got = sorted(bytes(r["kept"]).decode() for r in suffix_dedup.remove_repeats(docs(rows)).collect())
+    assert got == sorted([passage, own[0], own[1], own[2] + twin, own[3] + twin])
+
+
 def test_pieces_of_a_long_text_meet(monkeypatch):
     data = np.frombuffer(bytes(random.Random(1).choice(b"ab ") for _ in range(3000)), np.uint8)
     whole = [tuple(x.tolist() for x in r) for r in suffix_dedup.runs(data)]
