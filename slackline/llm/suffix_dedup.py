@@ -1,4 +1,4 @@
-"""Removal of byte strings that an earlier document has too, by induced suffix sorting.
+"""Removal of byte strings that an earlier document has too, by anchors and suffix sorting induced in memory.
 
 Every ``LENGTH`` bytes that also start in a document with a smaller id are removed; strings are judged on the input.
 
@@ -6,8 +6,9 @@ Every ``LENGTH`` bytes that also start in a document with a smaller id are remov
 2. The smallest hash among a window's 16-byte strings is its anchor: equal windows have equal anchors at equal
    places. Anchors are counted over all documents (packed, by hash), and only those that two documents share go on.
 3. A run of windows with one shared anchor is a segment of at most 84 bytes. Segments go to shards by anchor, so
-   all windows that could be equal meet. Spark's external sorter, the disk-backed priority queue here, hands a
-   shard over in order of anchors, and a shard of any size passes through memory in blocks of whole anchors.
+   all windows that could be equal meet. Spark's external sorter hands a shard over in order of anchors, and a
+   shard of any size passes through memory in blocks of whole anchors. Repeats inside a chunk of documents are
+   settled before, by a dict.
 4. In a block the suffixes at the anchors are sorted; then suffix tuples and their common-prefix values are induced
    leftward, one byte at a time: the order at a byte follows from the order at the next by one stable partition,
    and a common prefix is one more than the least of those between. Where it reaches ``LENGTH``, windows are equal,
