@@ -16,9 +16,9 @@ def _circle() -> Context:
     return Context.of(1, metrics.circle_matrix(POINTS))
 
 
-def _pairs(coefs=None) -> potentials.Canonical:
-    """Two places on the circle, w(a) + w(antipode of b) - coef * d(a, b)."""
-    return potentials.Canonical(_circle(), 2, [[1], [-2]], coefs, support=list(range(0, POINTS, 8)))
+def _pairs(coefs=None, step: int = 8) -> potentials.Canonical:
+    """Two places on the circle, w(a) + w(antipode of b) - coef * d(a, b); every ``step``-th point can be one."""
+    return potentials.Canonical(_circle(), 2, [[1], [-2]], coefs, support=list(range(0, POINTS, step)))
 
 
 _D = f"least(abs(a - b), {POINTS} - abs(a - b))"
@@ -67,6 +67,13 @@ def candidate_scores(spark, sf_dir):
     return _pairs().scores(bindings.nodes(spark, sf_dir), c)
 
 
+@query()
+def canonical_potential_full(spark, sf_dir):
+    """canonical_potential over the whole circle: all 4096 assignments, in Arrow batches."""
+    n = potentials.distinct(bindings.nodes(spark, sf_dir).select("id", "wf"), _pairs([2], step=1).arrow())
+    return n.select("id", "phi.value", "phi.a_id")
+
+
 _STAGES = [potentials.Stage(0, [(False, 1)]), potentials.Stage(1, [(True, 1)], [((True, 1), (False, 1), -1.0)])]
 
 
@@ -78,6 +85,13 @@ def evader_potential(spark, sf_dir):
     return potentials.distinct(bindings.nodes(spark, sf_dir).select("id", "wf"), p.arrow()).select("id", F.col("phi.value").alias("phi"))
 
 
+@query()
+def evader_potential_full(spark, sf_dir):
+    """evader_potential over the whole circle: all 64 points, outer and inner."""
+    p = potentials.Evader(_circle(), 1, _STAGES, support=list(range(POINTS)))
+    return potentials.distinct(bindings.nodes(spark, sf_dir).select("id", "wf"), p.arrow()).select("id", F.col("phi.value").alias("phi"))
+
+
 @query(f"WITH {NODES_SQL} SELECT id, CAST(0 AS BIGINT) AS phi FROM nodes")
 def potential_zero(spark, sf_dir):
     return bindings.nodes(spark, sf_dir).select("id", potentials.SIMPLE["zero"](F.col("wf")).alias("phi"))
