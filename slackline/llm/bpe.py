@@ -6,7 +6,11 @@ that border, and the next such merge has a later rank and a right part that begi
 part. ``lookahead`` sums left parts over the heaviest such chain, so a token that ends that far before the end
 of what has been read is the same whatever follows. ``Transducer`` emits tokens once they are that stable
 and keeps one window of symbols. Pre-tokens are independent of each other: a border between two is stable at
-once, and short ones come from a bounded memo.
+once. Every pre-token goes through the transducer; a bounded memo holds its results for short ones.
+
+**Text.** Normal form, lower case and the classes of characters are the tokenizers library's, not Python's tables:
+of ``PLAIN`` characters, none of which combines with another, they are probed from the library once in a process;
+slices with others go through its normalizer and pre-tokenizer.
 
 **Decoding.** ``Decoder`` turns ids into bytes and bytes into text with an incremental UTF-8 state machine:
 a character cut between two calls waits in the state.
@@ -24,7 +28,6 @@ import heapq
 import json
 import re
 import sys
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -34,7 +37,7 @@ from slackline.llm import shared
 
 #: Entries of a generation of a memo; two generations are held.
 MEMO_ENTRIES = 400_000
-#: Pre-tokens of more characters go through the transducer and are not remembered.
+#: The transducer's results for pre-tokens of more characters are not remembered.
 MEMO_CHARS = 48
 #: Characters of a text that are normalised and split at a time, up to the next white space.
 SLICE_CHARS = 1 << 16
@@ -168,23 +171,43 @@ class Transducer:
         return self.merges.merge([x for x in ids if x is not None])
 
 
-def _ranges(kinds: str, top: int) -> str:
-    """The characters up to ``top`` of the general categories that begin with one of ``kinds``, as a set for ``re``."""
-    out, run = [], None
-    for c in range(top + 2):
-        if inside := c <= top and unicodedata.category(chr(c))[0] in kinds:
-            run = c if run is None else run
-        elif run is not None:
-            out.append(f"\\U{run:08x}-\\U{c - 1:08x}")
-            run = None
-    return "".join(out)
+#: Ranges of characters whose normal form, lower case and class are read from tables; none combines, and their lower case is among them.
+PLAIN = "\0-\u012f\u0131-\u0239\u2010-\u2027\u2030-\u205e\u20a0-\u20bf"
+_OTHER = re.compile(f"[^{PLAIN}]")
 
 
-@functools.cache
-def splitter(top: int) -> re.Pattern:
-    """Runs of letters, single numbers, clitics, runs of other signs."""
-    letters, numbers = _ranges("L", top), _ranges("N", top)
-    return re.compile(f"[{letters}]+|[{numbers}]|'(?:s|t|re|ve|m|ll|d)|[^{_WHITE}{letters}{numbers}]+")
+class Text:
+    """A tokenizer file's normalizer and pre-tokenizer, with tables of ``PLAIN`` characters probed from them."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self.normal = library.normalizer.normalize_str
+        self.split = library.pre_tokenizer.pre_tokenize_str
+        pieces = lambda t: len(self.split(t))
+        plain = [c for c in map(chr, range(0x2100)) if not _OTHER.match(c)]
+        blank = [c for c in plain if not pieces(c)]
+        self.lower = {ord(c): low for c in plain if c not in blank and (low := self.normal(c)) != c.lower()}
+        letters = "".join(re.escape(c) for c in plain if c not in blank and pieces(f"a{c}a") == 1)
+        numbers = "".join(re.escape(c) for c in plain if pieces(f"a{c}a") == 3 and pieces(c + "!") == 2)
+        white = "".join(map(re.escape, blank))
+        # runs of letters, single numbers, clitics, runs of other signs
+        self.find = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^{white}{letters}{numbers}]+").findall
+        self.bytes = {ord(c): chr(b) for b, c in enumerate(byte_letters())}
+
+    def words(self, piece: str) -> list[str] | None:
+        """Pre-tokens of a slice of ``PLAIN`` characters; of any other, None."""
+        if not piece.isascii() and _OTHER.search(piece):
+            return None
+        return self.find(piece.translate(self.lower).lower() if self.lower else piece.lower())
+
+    def spelled(self, piece: str) -> list[str]:
+        """Pre-tokens of any slice, in the printable characters of their bytes."""
+        return [word for word, _ in self.split(self.normal(piece))]
+
+    def unspelled(self, word: str) -> bytes:
+        return word.translate(self.bytes).encode("latin-1")
 
 
 class Memo(dict):
@@ -205,26 +228,25 @@ class Memo(dict):
 
 
 class Encoder:
-    """Whole texts to little-endian 32-bit ids; short pre-tokens come from a memo."""
+    """Whole texts to little-endian 32-bit ids; results for short pre-tokens come from a memo."""
 
-    def __init__(self, merges: Merges):
-        self.merges, self.memo = merges, Memo(self._piece)
+    def __init__(self, merges: Merges, text: Text):
+        self.merges, self.text = merges, text
+        self.memo = Memo(lambda word: self.stream([word.encode()]))
+        self.memo_spelled = Memo(lambda word: self.stream([text.unspelled(word)]))
         names = sorted(merges.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
-    def _piece(self, piece: str) -> bytes:
-        data, m = piece.encode(), self.merges
-        if len(data) <= 2 * MEMO_CHARS:
-            ids = list(map(m.start.__getitem__, data))
-            ids[-1] = m.last[data[-1]]
-            return _packed(m.merge(ids if None not in ids else [x for x in ids if x is not None]))
-        stream = Transducer(m)
-        out = array.array("I", stream.feed(data))
-        out.extend(stream.finish())
+    def stream(self, pieces: Iterable[bytes]) -> bytes:
+        """The ids of one pre-token that comes in pieces."""
+        held, out = Transducer(self.merges), array.array("I")
+        for data in pieces:
+            out.extend(held.feed(data))
+        out.extend(held.finish())
         return _packed(out)
 
     def slices(self, text: str) -> Iterator[str]:
-        """The text cut before white space, which neither normalisation nor splitting looks across."""
+        """The text cut before white space, which neither normal forms nor pre-tokens reach across."""
         at = 0
         while len(text) - at > SLICE_CHARS and (cut := _SPACE.search(text, at + SLICE_CHARS)):
             yield text[at : cut.start()]
@@ -239,11 +261,8 @@ class Encoder:
                 out.append(_packed([self.merges.special[part]]))
                 continue
             for piece in self.slices(part):
-                if not piece.isascii():
-                    piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # no final sigma
-                piece = piece.lower()
-                split = splitter(0xFFFF if piece.isascii() or max(piece) <= "\uffff" else sys.maxunicode)
-                out.append(b"".join(map(ids_of, split.findall(piece))))
+                words = self.text.words(piece)
+                out.append(b"".join(map(ids_of, words) if words is not None else map(self.memo_spelled.__getitem__, self.text.spelled(piece))))
         return b"".join(out)
 
 
@@ -320,7 +339,7 @@ def merges(path: str) -> Merges:
 @functools.cache
 def encoder(path: str) -> Encoder:
     """One for each worker process, so that the memo lasts over batches and tasks."""
-    return Encoder(merges(path))
+    return Encoder(merges(path), Text(path))
 
 
 @functools.cache

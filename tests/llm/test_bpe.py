@@ -24,13 +24,45 @@ def test_encoding_and_decoding_match_the_library(library):
     rnd = random.Random(1)
     parts = [t.replace("</w>", "") for t in list(library.get_vocab())[:4000]]
     texts = ODD + ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 300))) for _ in range(100)]
-    e, d = bpe.Encoder(bpe.merges(bpe.public_vocabulary())), bpe.Decoder(bpe.merges(bpe.public_vocabulary()))
+    e, d = bpe.encoder(bpe.public_vocabulary()), bpe.Decoder(bpe.merges(bpe.public_vocabulary()))
     for t in texts:
         want = library.encode(t, add_special_tokens=False).ids
         assert ids_of(e.encode(t)) == want, t[:50]
         assert d.decode(e.encode(t)) == library.decode(want, skip_special_tokens=False)
 
 
+def test_every_code_point_is_split_as_the_library_does(library):
+    e = bpe.encoder(bpe.public_vocabulary())
+    for mark in ("", "\u0301"):
+        for at in range(0, 0x110000, 256):
+            texts = [f"a{chr(c)}{mark}1" for c in range(at, at + 256) if not 0xD800 <= c < 0xE000]
+            if not texts:
+                continue
+            whole = " ".join(texts)
+            if ids_of(e.encode(whole)) != library.encode(whole, add_special_tokens=False).ids:
+                assert [t for t in texts if ids_of(e.encode(t)) != library.encode(t, add_special_tokens=False).ids] == [], hex(at)
+                raise AssertionError(f"differs at {at:x} in the whole only")
+
+
+def test_every_pre_token_of_documents_goes_through_the_transducer(library, monkeypatch):
+    import duckdb
+
+    seen, fed = [0], bpe.Transducer.feed
+    monkeypatch.setattr(bpe.Transducer, "feed", lambda self, data: (seen.__setitem__(0, seen[0] + 1), fed(self, data))[1])
+    e, words = bpe.Encoder(bpe.merges(bpe.public_vocabulary()), bpe.Text(bpe.public_vocabulary())), set()
+    for (t,) in duckdb.sql("SELECT coalesce(text, '') FROM '/root/testdata/sf0.001/documents.parquet'").fetchall():
+        want = library.encode(t, add_special_tokens=False).ids
+        assert ids_of(e.encode(t)) == want
+        words.update(e.text.words(t) or ())
+    assert seen[0] >= len(words) > 1000
+
+
+def test_a_pre_token_in_pieces(library):
+    e = bpe.encoder(bpe.public_vocabulary())
+    data = ("anst" * 2000).encode()
+    assert ids_of(e.stream(data[i : i + 7] for i in range(0, len(data), 7))) == library.encode(data.decode(), add_special_tokens=False).ids
+
+
 def test_streamed_tokens_are_those_of_the_whole():
     m = bpe.merges(bpe.public_vocabulary())
     rnd = random.Random(2)
