@@ -6,12 +6,19 @@ editing: it takes slots, lightest first, out of shards that hold more than their
 heaviest first, to the lightest shards, so most slots stay where they are. The map has ``slots`` rows whatever
 the table's size, so it is folded in one row and joined by broadcast.
 
+A map at a path given is edited by each call: the latest version's slots are rebalanced for the bytes that this
+table has in them, and the new version is what places its rows. Without a path the map is new, in two versions.
+
+Rows of equal texts are no unit: slots come from id and text, since copies can be a third of all rows and one shard
+that held them would break the law of near equal bytes.
+
 Contract: a null text has size 1 and checksum 0, a null or repeated id is a record like any other (slots come
 from id and text together), an empty table gives no rows, and other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +85,27 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return every.join(F.broadcast(every.agg(F.max("version").alias("version"))), "version")
 
 
+def _has_map(spark: SparkSession, path: str) -> bool:
+    try:
+        return not spark.read.schema(MAP_SCHEMA).parquet(path).isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
+def next_map(stats: DataFrame, shards: int, path: str) -> DataFrame:
+    """Writes the version that places a table with ``stats``, and reads it: a new map's second, or an edited latest."""
+    spark = stats.sparkSession
+    if not _has_map(spark, path):
+        save_map(first_map(stats, shards), path)
+    old = load_map(spark, path)
+    if (known := old.count()) != (n := stats.count()):
+        raise ValueError(f"the map at {path} has {known} slots, not {n}")
+    save_map(rebalance(old.select("version", "slot", "shard").join(stats, "slot"), shards), path)
+    return load_map(spark, path)
+
+
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text: str = "text", slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Each record with size, text_crc32, virtual_slot, map_version, shard and its place in the shard (``slot``).
 
@@ -93,10 +121,9 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text: str =
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
         slot_of(id_col, text, slots).alias("virtual_slot"),
     )
-    save_map(first_map(slot_stats(records, slots), shards), map_path)
-    save_map(rebalance(load_map(spark, map_path), shards), map_path)
+    stats = shared.table(slot_stats(records, slots), "shard-stats")
     before = Window.partitionBy("shard").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    bounds = load_map(spark, map_path).select(
+    bounds = next_map(stats, shards, map_path).select(
         F.col("slot").alias("virtual_slot"), "shard", F.col("version").alias("map_version"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before")
     )
     within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(id_col, "size", "text_crc32"))
