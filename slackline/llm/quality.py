@@ -2,16 +2,18 @@
 
 1. A logistic regression over surface features of each whole text gives the document's evidence. It is fitted on
    a bounded sample of labelled rows.
-2. Its probabilities are summed by path and by host, over all documents. How far hosts differ, and paths within
-   hosts, sets the strength of two priors by moments: a host's posterior mean is shrunk to the global mean, a
-   path's to its host's, the more the fewer documents it has. A document's own probability is left out.
+2. Its probabilities and their squares are summed by path, over all documents. How far hosts differ, and paths
+   within hosts, beyond what their documents' own spread explains, sets the strength of two priors by moments: a
+   host's posterior mean is shrunk to the global mean, a path's to its host's, the more the fewer documents it has.
+   A prior weighs as many documents as the variance within sites is larger than that between them. A document's
+   own probability is left out.
 3. A document's posterior log odds are its evidence with the global prior exchanged for its path's.
 
 Sums are partial before the shuffle, so a host with a third of all rows costs no more than its groups.
 
 Contract: a null text counts as empty; an empty text is judged by its features like any other; a null host or
 path is a group of its own; rows with null labels don't train; without labels, or with one class, every document
-gets the smoothed prior; an empty table gives no rows; repeated rows score alike; other columns are ignored.
+gets the smoothed prior; an id labelled both ways counts as 0; an empty table gives no rows; repeated rows score alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,7 +90,7 @@ def featured(docs: DataFrame, host: Column, path: Column, id_col: str = "doc_id"
 
 def fit(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", target: str = "quality", rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
     """Weights and intercept of the document classifier."""
-    chosen = labels.where(F.col(target).isNotNull()).dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(rows)
+    chosen = labels.where(F.col(target).isNotNull()).groupBy(id_col).agg(F.min(target).alias(target)).orderBy(F.xxhash64(id_col), id_col).limit(rows)
     key, y = shared.fresh(features, "label_id"), shared.fresh(features, "label")
     chosen = F.broadcast(chosen.select(F.col(id_col).alias(key), F.col(target).cast("double").alias(y)))  # ``rows`` rows
     got = features.join(chosen, F.col("id") == F.col(key)).orderBy(F.xxhash64("id"), "id").select("x", y).limit(rows).collect()
@@ -101,11 +103,27 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(mean: float, within: float, groups: float) -> float:
-    """Of a beta prior with this mean, from the variance of group means; clipped."""
-    if not groups or within <= 0 or not 0 < mean < 1:
+def _strength(between: float, within: float, n: float, groups: float, parents: float, spread: float) -> float:
+    """Weight of a prior in documents, clipped: variance within groups over the variance of their true means.
+
+    ``between`` and ``within`` are sums of squares, of group means about their parents' and of ``n`` documents about
+    their groups'; ``spread`` is n less the sum over groups of squared size over the parent's.
+    """
+    if n <= groups or groups <= parents or spread <= 0:
         return STRENGTH[1]
-    return min(STRENGTH[1], max(STRENGTH[0], mean * (1 - mean) / within - 1))
+    variance = max(0.0, within) / (n - groups)
+    true = (between - (groups - parents) * variance) / spread
+    return STRENGTH[1] if true <= 0 else min(STRENGTH[1], max(STRENGTH[0], variance / true))
+
+
+def strengths(t: dict) -> tuple[float, float, float]:
+    """Global mean, strength of the hosts' prior and of the paths', from the sums that ``posteriors`` takes."""
+    n = t["n"]
+    if not n:
+        return 0.5, STRENGTH[1], STRENGTH[1]
+    hosts = _strength(t["host_squares"] - t["s"] ** 2 / n, t["q"] - t["host_squares"], n, t["hosts"], 1, n - t["host_sizes"] / n)
+    paths = _strength(t["path_squares"] - t["host_squares"], t["q"] - t["path_squares"], n, t["paths"], t["hosts"], n - t["path_sizes"])
+    return t["s"] / n, hosts, paths
 
 
 def posteriors(features: DataFrame, weights: np.ndarray, intercept: float, threshold: float = THRESHOLD) -> DataFrame:
@@ -115,21 +133,13 @@ def posteriors(features: DataFrame, weights: np.ndarray, intercept: float, thres
         z = z + F.col("x")[i] * F.lit(w)
     z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))
     scored = features.select("id", "host", "path", z.alias("z"), (1 / (1 + F.exp(-z))).alias("p"))
-    paths = scored.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count("*").alias("n"))
-    hosts = paths.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
-    total = hosts.agg(F.sum("hs").alias("s"), F.sum("hn").alias("n"), F.count("*").alias("g")).first()
-    if not total["n"]:
-        mean, host_strength, path_strength = 0.5, STRENGTH[1], STRENGTH[1]
-    else:
-        mean = total["s"] / total["n"]
-        spread = hosts.agg((F.sum(F.col("hn") * F.pow(F.col("hs") / F.col("hn") - mean, 2)) / total["n"]).alias("v")).first()["v"]
-        host_strength = _strength(mean, spread, total["g"])
-        both = paths.join(hosts, paths["host"].eqNullSafe(hosts["host"]))
-        inner = both.agg((F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("hs") / F.col("hn"), 2)) / total["n"]).alias("v")).first()["v"]
-        path_strength = _strength(mean, inner, total["g"])
-    sites = paths.join(hosts.withColumnRenamed("host", "of"), paths["host"].eqNullSafe(F.col("of"))).select(
-        F.struct("host", "path").alias("site"), "s", "n", "hs", "hn"
-    )
+    paths = shared.table(scored.groupBy("host", "path").agg(F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"), F.count("*").alias("n")), "quality-paths")
+    hosts = paths.groupBy(F.col("host").alias("of")).agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"), F.sum("q").alias("hq"), F.count("*").alias("hp"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("ps"), F.sum(F.col("n") * F.col("n")).alias("pn"))
+    hosts = shared.table(hosts, "quality-hosts")
+    sums = {"n": "hn", "s": "hs", "q": "hq", "paths": "hp", "host_squares": "hs * hs / hn", "path_squares": "ps", "host_sizes": "hn * hn", "path_sizes": "pn / hn"}
+    total = hosts.agg(F.count("*").alias("hosts"), *(F.expr(f"sum(double({x}))").alias(name) for name, x in sums.items())).first().asDict()
+    mean, host_strength, path_strength = strengths(total)
+    sites = paths.join(hosts, paths["host"].eqNullSafe(F.col("of"))).select(F.struct("host", "path").alias("site"), "s", "n", "hs", "hn")
     joined = scored.join(sites, F.struct(scored["host"], scored["path"]).eqNullSafe(sites["site"]))
     host_mean = (F.col("hs") - F.col("p") + host_strength * mean) / (F.col("hn") - 1 + host_strength)
     path_mean = (F.col("s") - F.col("p") + path_strength * F.col("host_quality")) / (F.col("n") - 1 + path_strength)

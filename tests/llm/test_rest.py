@@ -26,6 +26,11 @@ def test_sharding(spark, docs, odd):
     for r in out:
         assert r["text_crc32"] == zlib.crc32((texts[r["doc_id"]] or "").encode()) and r["size"] == len((texts[r["doc_id"]] or "").encode()) + 1
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    few = [r for r in out if r["doc_id"] != 7 and r["doc_id"] != 8]  # but for two long texts, whose slots can't be cut
+    assert sum(r["size"] for r in few) == sum(len((t or "").encode()) + 1 for i, t in rows if i not in (7, 8))
+    even = [r for r in sharding.shard(docs(rows[len(odd) :]), shards=4, slots=256).collect()]
+    load = [sum(r["size"] for r in even if r["shard"] == s) for s in range(4)]
+    assert max(load) - min(load) <= 400 and sum(load) == sum(len(t) + 1 for _, t in rows[len(odd) :])
     assert sharding.shard(docs([])).count() == 0
 
 
@@ -47,6 +52,26 @@ def test_shard_map_versions_move_little(spark, tmp_path):
     assert sum(second[k] != third[k][0] for k in second) < 256 / 3
 
 
+def test_a_map_is_edited_by_the_next_table(spark, docs, tmp_path):
+    path = str(tmp_path / "kept")
+    tables = [[(i, "t" * (i * 37 % 400)) for i in range(n)] for n in (600, 900)]
+    maps = []
+    for k, rows in enumerate(tables):
+        out = sharding.shard(docs(rows), shards=5, slots=128, map_path=path).collect()
+        assert {r["map_version"] for r in out} == {k + 2} and len(out) == len(rows)
+        load, places = Counter(), defaultdict(list)
+        for r in out:
+            load[r["shard"]] += r["size"]
+            places[r["shard"]].append(r["slot"])
+        assert all(sorted(p) == list(range(len(p))) for p in places.values())
+        assert max(load.values()) - min(load.values()) <= 0.1 * sum(load.values()) / 5
+        maps.append({r["slot"]: r["shard"] for r in sharding.load_map(spark, path).collect()})
+    assert sharding.load_map(spark, path, 1).count() == 128 == len(maps[1])
+    assert sum(maps[0][s] != maps[1][s] for s in maps[0]) < 128 / 3
+    with pytest.raises(ValueError):
+        sharding.shard(docs(tables[0]), shards=5, slots=64, map_path=path)
+
+
 def brute_spans(t):
     digits = lambda m: re.sub("[^0-9]", "", m)
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
@@ -196,6 +221,65 @@ def test_sparse_sites_shrink_to_their_parents(spark):
     assert out[1]["keep"] and not out[1000]["keep"] and out[1002]["keep"]
 
 
+def brute_posteriors(rows, low, high):
+    """Host and path posterior means by analysis of variance in plain loops; rows of host, path, probability."""
+    n, mean = len(rows), sum(p for *_, p in rows) / len(rows)
+    by_host, by_path = defaultdict(list), defaultdict(list)
+    for h, q, p in rows:
+        by_host[h].append(p)
+        by_path[h, q].append(p)
+    average = lambda x: sum(x) / len(x)
+
+    def strength(groups, parent, parents, spread):
+        within = sum((p - average(g)) ** 2 for g in groups.values() for p in g) / (n - len(groups))
+        between = sum(len(g) * (average(g) - parent(k)) ** 2 for k, g in groups.items())
+        true = (between - (len(groups) - parents) * within) / spread
+        return high if true <= 0 else min(high, max(low, within / true))
+
+    kh = strength(by_host, lambda _: mean, 1, n - sum(len(g) ** 2 for g in by_host.values()) / n)
+    kp = strength(by_path, lambda k: average(by_host[k[0]]), len(by_host), n - sum(len(g) ** 2 / len(by_host[k[0]]) for k, g in by_path.items()))
+    out = []
+    for h, q, p in rows:
+        host = (sum(by_host[h]) - p + kh * mean) / (len(by_host[h]) - 1 + kh)
+        out.append((host, (sum(by_path[h, q]) - p + kp * host) / (len(by_path[h, q]) - 1 + kp)))
+    return out, kh, kp
+
+
+def test_posteriors_match_brute_force_on_sparse_sites(spark):
+    rng = np.random.default_rng(3)
+    rows, x = [], []
+    for h in range(60):
+        level = rng.beta(4, 2)
+        for q in range(rng.integers(1, 4)):
+            own = np.clip(level + rng.normal(0, 0.1), 0.02, 0.98)
+            for _ in range(rng.integers(1, 5)):
+                x.append(float(rng.normal(np.log(own / (1 - own)), 1.5)))
+                rows.append((f"h{h}", f"h{h}/{q}", 1 / (1 + np.exp(-x[-1]))))
+    want, kh, kp = brute_posteriors(rows, *quality.STRENGTH)
+    assert quality.STRENGTH[0] < kh < 100
+    f = spark.createDataFrame([(i, h, q, [x[i]]) for i, (h, q, _) in enumerate(rows)], "id long, host string, path string, x array<double>")
+    got = {r["id"]: r for r in quality.posteriors(f, np.array([1.0]), 0.0).collect()}
+    for i, (host, path) in enumerate(want):
+        assert got[i]["host_quality"] == pytest.approx(host, abs=1e-9) and got[i]["path_quality"] == pytest.approx(path, abs=1e-9)
+
+
+def test_spread_that_chance_explains_shrinks_to_the_mean(spark):
+    """Sites of two documents that don't differ: raw means spread widely, posteriors hardly."""
+    rng = np.random.default_rng(5)
+    f = spark.createDataFrame([(i, f"h{i // 2}", f"h{i // 2}/", [float(rng.normal(0, 2))]) for i in range(600)], "id long, host string, path string, x array<double>")
+    got = quality.posteriors(f, np.array([1.0]), 0.0).agg(F.stddev("host_quality"), F.stddev("evidence")).first()
+    assert got[0] < 0.15 * got[1]
+
+
+def test_quality_by_hosts_and_paths_of_urls(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    host, path = quality.url_site("url")
+    labels = pages.select(F.col("page_id").alias("doc_id"), F.when(F.length("html") > 600, 1).otherwise(0).alias("quality")).where("doc_id % 2 = 0")
+    out = quality.judge(pages.withColumnRenamed("html", "text"), labels.withColumnRenamed("doc_id", "page_id"), host, path, "page_id").collect()
+    assert len(out) == pages.count() and len({r["host"] for r in out}) > 1 and len({r["path"] for r in out}) >= len({r["host"] for r in out})
+    assert all(0 < r["path_quality"] < 1 and 0 < r["quality"] < 1 for r in out)
+
+
 def test_quality_of_odd_rows(spark, docs, odd):
     labels = spark.createDataFrame([(4, 1), (6, 0), (7, 0), (8, None), (4, 1)], "doc_id long, quality int")
     d = docs(odd)
