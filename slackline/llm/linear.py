@@ -54,17 +54,40 @@ class Sparse:
         return out
 
 
-def fit_sparse(x: Sparse, y: np.ndarray, l2: float = 0.1, steps: int = 200, rate: float = 0.3) -> np.ndarray:
-    """Weights of the features, of the extra columns and the intercept, by AdaGrad on the whole sample."""
+def fit_sparse(x: Sparse, y: np.ndarray, l2: float = 0.1, steps: int = 100, memory: int = 8) -> np.ndarray:
+    """Weights of the features, of the extra columns and the intercept, by L-BFGS on the whole sample."""
     w = np.zeros(x.k + x.extra.shape[1] + 1)
     if not len(y) or y.min() == y.max():
         w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
         return w
-    squares = np.full(len(w), 1e-12)
+    penalty = np.append(np.full(len(w) - 1, l2), 0)
+
+    def loss(w):
+        z = x.dot(w)
+        return np.logaddexp(0, z).sum() - y @ z + penalty @ (w * w) / 2, x.back(sigmoid(z) - y) + penalty * w
+
+    value, gradient = loss(w)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []  # recent changes of the weights and of the gradient
     for _ in range(steps):
-        g = x.back(sigmoid(x.dot(w)) - y) + l2 * np.append(w[:-1], 0)
-        squares += g * g
-        w -= rate * g / np.sqrt(squares)
+        way, used = gradient.copy(), []
+        for s, t in reversed(moves):
+            used.append(s @ way / (t @ s))
+            way -= used[-1] * t
+        way *= moves[-1][0] @ moves[-1][1] / (moves[-1][1] @ moves[-1][1]) if moves else 1 / max(1, np.abs(gradient).max())
+        for (s, t), a in zip(moves, reversed(used)):
+            way += (a - t @ way / (t @ s)) * s
+        step, fall = 1.0, gradient @ way
+        new = loss(w - way)
+        while new[0] > value - 1e-4 * step * fall and step > 1e-6:
+            step /= 2
+            new = loss(w - step * way)
+        move = (-step * way, new[1] - gradient)
+        if move[0] @ move[1] > 1e-12:
+            moves = [*moves, move][-memory:]
+        w, done = w + move[0], value - new[0] < 1e-7 * max(1, abs(value))
+        value, gradient = new
+        if done:
+            break
     return w
 
 

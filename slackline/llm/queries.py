@@ -37,7 +37,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents by a chain trained on a bounded sample of labels."""
     docs, labels = shared.documents(spark, sf_dir), shared.documents(spark, sf_dir, "labels")
-    chain = toxicity.train(toxicity.labelled_sample(docs, labels), ["insult", "contempt", "toxic"])
+    chain = toxicity.train(toxicity.labelled_sample(docs, labels), ["toxic"])
     return toxicity.score(docs, chain)
 
 

@@ -1,16 +1,19 @@
 """Toxicity by a chain of linear classifiers.
 
-Categories are predicted in order. Each classifier is a logistic regression over the words and word beginnings
-that are present, plus the probabilities of the categories before it; when it is trained, those are out-of-fold
-predictions, so a later link learns how far earlier ones can be trusted on new documents.
+Categories are predicted in order. Each classifier is a logistic regression over how often words and word beginnings
+occur (once, twice, more), plus the probabilities of the categories before it; when it is trained, those are
+out-of-fold predictions, so a later link learns how far earlier ones can be trusted on new documents.
+
+A table has a column for each category, or only one label. Then earlier categories are ``kinds`` of its positive
+rows, clusters of their features: no word is fixed. A fold's clusters and links see the rows outside the fold alone.
 
 Training takes a bounded sample of the labelled rows, ``SAMPLE_ROWS`` of each class in order of a hash; its tokens
-are counted by category on the executors, and the ``FEATURES`` most telling ones are kept. Scoring reads every
-text whole and shuffles nothing.
+are counted by category on the executors, and all telling ones are kept. Scoring reads every text whole and
+shuffles nothing.
 
-Contract: a null or empty text has no features and gets the priors; rows with null labels don't train; without
-labels, or with one class, a category's probability is its smoothed prior; repeated rows score alike; other
-columns are ignored.
+Contract: a null or empty text has no features and gets the priors; rows with null labels don't train; an id labelled
+both ways counts as positive; of rows that repeat an id the smallest text trains; without labels, or with one class,
+a category's probability is its smoothed prior; repeated rows score alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,36 +29,47 @@ from pyspark.sql import functions as F
 
 from slackline.llm import linear, shared
 
-#: Labelled rows of each class of the last category that train the chain, at most.
+#: Labelled rows of each class of the label that train the chain, at most.
 SAMPLE_ROWS = 8_000
-FEATURES = 1_000
 FOLDS = 5
+#: Kinds of positive rows that come before a lone label in the chain.
+KINDS = 2
+#: Letters of the word beginnings that are features, and the counts in a text that are.
+BEGINNINGS, COUNTS = (4, 5, 6, 7), (1, 2, 3)
 #: A token trains only if it is in so many sampled rows.
 LEAST_ROWS = 3
 #: And only if its share among a category's rows is so many standard errors from what chance would give.
 LEAST_Z = 4.0
+PENALTY = 0.3
 MEMO_ENTRIES = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
-#: Fixed words that tell kinds of insult apart among rows labelled as toxic.
-INSULT_WORDS = ("idiot", "moron", "stupid", "clown", "loser", "pathetic")
-CONTEMPT_WORDS = ("scum", "trash", "worthless", "disgusting")
-
 
 def tokens(word: str) -> tuple[str, ...]:
-    """A word's features: itself and its beginnings of four and five letters."""
-    return (word, *(f"{word[:n]}-" for n in (4, 5) if len(word) > n))
+    """A word's tokens: itself and its beginnings."""
+    return (word, *(f"{word[:n]}-" for n in BEGINNINGS if len(word) > n))
+
 
+def words(text: str) -> Counter:
+    return Counter(_WORD.findall(text.lower()))
 
-def words(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+
+def present(text: str) -> set[tuple[str, int]]:
+    """Features of a text: its tokens with each of ``COUNTS`` that they reach in it."""
+    counts: Counter = Counter()
+    for w, n in words(text).items():
+        for t in tokens(w):
+            counts[t] += n
+    return {(t, c) for t, n in counts.items() for c in COUNTS if n >= c}
 
 
 @dataclass
 class Chain:
     categories: list[str]
-    vocabulary: dict[str, int]
+    #: Place of a token's first feature, and the counts that are features.
+    vocabulary: dict[str, list[tuple[int, int]]]
+    size: int
     weights: list[np.ndarray]
     thresholds: list[float]
 
@@ -64,35 +78,76 @@ class Chain:
         return {}
 
     def features(self, text: str) -> list[int]:
-        memo, out = self.memo, set()
-        for w in words(text):
+        memo, counts = self.memo, {}
+        for w, n in words(text).items():
             if (f := memo.get(w)) is None:
-                f = tuple(i for t in tokens(w) if (i := self.vocabulary.get(t)) is not None)
+                f = tuple(t for t in tokens(w) if t in self.vocabulary)
                 if len(memo) >= MEMO_ENTRIES:
                     memo.clear()
                 if len(w) <= 48:
                     memo[w] = f
-            if f:
-                out.update(f)
-        return sorted(out)
+            for t in f:
+                counts[t] = counts.get(t, 0) + n
+        return sorted(i for t, n in counts.items() for c, i in self.vocabulary[t] if n >= c)
 
     def predict(self, rows: list[list[int]]) -> np.ndarray:
         """Probabilities, a column for each category; each link sees those before it."""
         p = np.zeros((len(rows), 0))
         for w in self.weights:
-            p = np.column_stack([p, linear.sigmoid(linear.Sparse(rows, len(self.vocabulary), p).dot(w))])
+            p = np.column_stack([p, linear.sigmoid(linear.Sparse(rows, self.size, p).dot(w))])
         return p
 
 
 def sample(labels: DataFrame, id_col: str, target: str, rows: int) -> DataFrame:
     """At most ``rows`` labelled rows of each class, in order of a hash."""
-    order = F.xxhash64(F.col(id_col))
-    parts = [labels.where(F.col(target) == c).orderBy(order, id_col).limit(rows) for c in (0, 1)]
-    return parts[0].union(parts[1]).dropDuplicates([id_col])
+    once = labels.where(F.col(target).isin(0, 1)).groupBy(id_col).agg(F.max(target).alias(target))
+    parts = [once.where(F.col(target) == c).orderBy(F.xxhash64(id_col), id_col).limit(rows) for c in (0, 1)]
+    return parts[0].union(parts[1])
 
 
-def train(docs: DataFrame, categories: list[str], id_col: str = "doc_id", text: str = "text") -> Chain:
-    """Fits a chain on ``docs``, a bounded sample that has a 0/1 column for each category."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", target: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The bounded training sample: id, text and the label, written once."""
+    shared.session(docs)
+    key, y = shared.fresh(docs, "label_id"), shared.fresh(docs, "label")
+    chosen = F.broadcast(sample(labels.select(F.col(id_col).alias(key), F.col(target).alias(y)), key, y, rows))  # 2 * rows rows
+    joined = docs.select(id_col, shared.text_or_empty(text).alias(text)).join(chosen, F.col(id_col) == F.col(key))
+    return shared.table(joined.groupBy(id_col).agg(F.min(text).alias(text), F.max(y).alias(target)), "toxicity-sample")
+
+
+def clusters(x: np.ndarray, centres: np.ndarray | None = None, kinds: int = KINDS, rounds: int = 10) -> np.ndarray:
+    """Centres of rows of unit length: the widest cluster is halved along its main axis, then all are refined.
+
+    Given ``centres`` are only refined, so that they keep their order.
+    """
+    if centres is None:
+        groups = [np.arange(len(x))]
+        while len(groups) < kinds:
+            widest = max(range(len(groups)), key=lambda i: (((x[groups[i]] - x[groups[i]].mean(axis=0)) ** 2).sum() if len(groups[i]) > 1 else -1.0, -i))
+            own = groups.pop(widest)
+            flat = x[own] - x[own].mean(axis=0) if len(own) else x[own]
+            axis = flat[np.argmax((flat**2).sum(axis=1))] if len(own) else np.zeros(x.shape[1])
+            for _ in range(rounds):
+                axis = flat.T @ (flat @ axis)
+                axis /= np.linalg.norm(axis) or 1.0
+            right = flat @ axis > 0
+            groups += [own[~right], own[right]]
+        groups.sort(key=len, reverse=True)
+        centres = np.stack([x[g].mean(axis=0) if len(g) else np.zeros(x.shape[1]) for g in groups])
+    for _ in range(rounds):
+        kind = nearest(x, centres)
+        centres = np.stack([x[kind == k].mean(axis=0) if (kind == k).any() else c for k, c in enumerate(centres)])
+    return centres
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmax(x @ centres.T - (centres**2).sum(axis=1) / 2, axis=1)
+
+
+def train(docs: DataFrame, categories: list[str], kinds: int = KINDS, id_col: str = "doc_id", text: str = "text") -> Chain:
+    """Fits a chain on ``docs``, a bounded sample that has a 0/1 column for each category.
+
+    Of one category, the chain begins with ``kinds`` clusters of its positive rows.
+    """
     shared.session(docs)
     k = len(categories)
     chosen = docs.select(id_col, shared.text_or_empty(text).alias("text"), F.array(*(F.col(c).cast("int") for c in categories)).alias("y"))
@@ -103,18 +158,21 @@ def train(docs: DataFrame, categories: list[str], id_col: str = "doc_id", text:
         counts = [Counter() for _ in range(k + 1)]
         for b in batches:
             for t, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                present = {x for w in words(t) for x in tokens(w)}
-                counts[k].update(present)
+                found = present(t)
+                counts[k].update(found)
                 for j in range(k):
                     if y[j]:
-                        counts[j].update(present)
+                        counts[j].update(found)
         names = list(counts[k])
         for i in range(0, len(names), 1 << 15):
             part = names[i : i + (1 << 15)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[x] for x in part], pa.int64()) for c in counts)], ["token", *(f"n{j}" for j in range(k)), "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([t for t, _ in part], pa.string()), pa.array([c for _, c in part], pa.int32()), *(pa.array([c[x] for x in part], pa.int64()) for c in counts)],
+                ["token", "least", *(f"n{j}" for j in range(k)), "n"],
+            )
 
-    schema = "token string, " + ", ".join(f"n{j} long" for j in range(k)) + ", n long"
-    held = chosen.mapInArrow(counted, schema).groupBy("token").agg(*(F.sum(c).alias(c) for c in [*(f"n{j}" for j in range(k)), "n"])).where(f"n >= {LEAST_ROWS}")
+    schema = "token string, least int, " + ", ".join(f"n{j} long" for j in range(k)) + ", n long"
+    held = chosen.mapInArrow(counted, schema).groupBy("token", "least").agg(*(F.sum(c).alias(c) for c in [*(f"n{j}" for j in range(k)), "n"])).where(f"n >= {LEAST_ROWS}")
     totals = chosen.select(F.count("*"), *(F.coalesce(F.sum(F.col("y")[j]), F.lit(0)) for j in range(k))).first()
     tells, n = [], totals[0]
     for j in range(k):
@@ -122,8 +180,11 @@ def train(docs: DataFrame, categories: list[str], id_col: str = "doc_id", text:
         error = F.sqrt(inside * share * (1 - share) * ((n - inside) / max(1, n)))
         tells.append(F.when(error > 0, F.abs(F.col(f"n{j}") - inside * share) / error).otherwise(0.0))
     held = held.withColumn("z", F.greatest(*tells, F.lit(0.0))).where(F.col("z") >= LEAST_Z)
-    top = held.orderBy(F.desc("z"), "token").limit(FEATURES).select("token").collect()
-    chain = Chain(categories, {r["token"]: i for i, r in enumerate(top)}, [], [])
+    top = held.select("token", "least").orderBy("token", "least").collect()  # telling ones of a bounded sample
+    vocabulary: dict[str, list] = {}
+    for i, r in enumerate(top):
+        vocabulary.setdefault(r["token"], []).append((r["least"], i))
+    chain = Chain(list(categories), vocabulary, len(top), [], [])
 
     def featured(batches):
         import pyarrow as pa
@@ -135,25 +196,50 @@ def train(docs: DataFrame, categories: list[str], id_col: str = "doc_id", text:
     rows = chosen.mapInArrow(featured, f"f array<int>, {id_col} {kind}, y array<int>").orderBy(F.xxhash64(id_col), id_col).collect()
     x, y = [r["f"] for r in rows], np.array([r["y"] for r in rows], float).reshape(-1, k)
     fold = np.arange(len(x)) % FOLDS
+    targets = _targets(x, y, fold, chain.size, kinds if k == 1 else 0)
+    if k == 1:
+        chain.categories = [*(f"kind_{i + 1}" for i in range(kinds)), *categories]
     earlier = np.zeros((len(x), 0))
-    for j in range(k):
-        data = linear.Sparse(x, len(chain.vocabulary), earlier)
+    for j in range(len(chain.categories)):
+        data = linear.Sparse(x, chain.size, earlier)
+        weights = linear.fit_sparse(data, targets[-1][:, j], PENALTY)
         outside = np.zeros(len(x))
         for i in range(FOLDS):
-            w = linear.fit_sparse(data.take(fold != i), y[fold != i, j])
-            outside[fold == i] = linear.sigmoid(data.take(fold == i).dot(w))
-        chain.weights.append(linear.fit_sparse(data, y[:, j]))
-        chain.thresholds.append(linear.best_threshold(outside, y[:, j]))
+            if (own := fold != i).any() and not own.all():
+                w = linear.fit_sparse(data.take(own), targets[i][own, j], PENALTY)
+                outside[~own] = linear.sigmoid(data.take(~own).dot(w))
+        chain.weights.append(weights)
+        chain.thresholds.append(linear.best_threshold(outside, targets[-1][:, j]))
         earlier = np.column_stack([earlier, outside])
     chain.__dict__.pop("memo", None)
     return chain
 
 
+def _targets(x: list, y: np.ndarray, fold: np.ndarray, size: int, kinds: int) -> list[np.ndarray]:
+    """What the links learn outside each fold and, last, on all rows: ``y``, with ``kinds`` of its positives before."""
+    if not kinds:
+        return [y] * (FOLDS + 1)
+    positive = np.flatnonzero(y[:, 0] == 1)
+    shape = np.zeros((len(positive), size), np.float32)
+    for i, r in enumerate(positive):
+        shape[i, x[r]] = 1 / np.sqrt(max(1, len(x[r])))
+    whole = clusters(shape, kinds=kinds) if len(positive) else np.zeros((kinds, size))
+    out = []
+    for i in [*range(FOLDS), None]:
+        own = np.ones(len(positive), bool) if i is None else fold[positive] != i
+        centres = whole if i is None or not own.any() else clusters(shape[own], whole)
+        t = np.zeros((len(y), kinds + 1))
+        t[:, -1] = y[:, 0]
+        t[positive, nearest(shape, centres)] = 1
+        out.append(t)
+    return out
+
+
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, p_<category> for each category, and whether the last one passes its threshold (``toxic``)."""
     shared.session(docs)
     names = [f"p_{c}" for c in chain.categories]
-    sent = docs.sparkSession.sparkContext.broadcast(chain)  # FEATURES tokens and weights
+    sent = docs.sparkSession.sparkContext.broadcast(chain)  # the telling tokens of a bounded sample, and weights
 
     def scored(batches):
         import pyarrow as pa
@@ -165,14 +251,3 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text: str = "te
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text).mapInArrow(scored, ", ".join([f"`{id_col}` {kind}", *(f"`{n}` double" for n in names), "toxic boolean"]))
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", target: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The bounded training sample with the categories insult, contempt and toxic.
-
-    ``labels`` says which rows are toxic; the first two categories part those by the fixed words.
-    """
-    chosen = F.broadcast(sample(labels.select(id_col, target), id_col, target, rows))  # 2 * rows rows
-    joined = docs.select(id_col, text).join(chosen, id_col)
-    says = lambda ws: (F.col(target) == 1) & F.coalesce(F.col(text), F.lit("")).rlike("(?i)\\b(" + "|".join(ws) + ")\\b")
-    return joined.withColumns({"insult": says(INSULT_WORDS).cast("int"), "contempt": says(CONTEMPT_WORDS).cast("int")})

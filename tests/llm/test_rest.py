@@ -186,22 +186,52 @@ def held_out(spark, column):
 
 
 def test_toxicity_on_held_out_labels(spark):
-    docs, train, test = held_out(spark, "toxic")
-    chain = toxicity.train(toxicity.labelled_sample(docs, train), ["insult", "contempt", "toxic"])
-    got = toxicity.score(docs, chain).join(test, "doc_id").select("toxic", "want").collect()
-    hit = sum(r["toxic"] and r["want"] for r in got)
-    assert hit / max(1, sum(r["want"] for r in got)) > 0.6
-    assert sum(r["toxic"] and not r["want"] for r in got) <= 0.03 * len(got)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    train, test = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1").select("doc_id", F.col("toxic").alias("want"))
+    chain = toxicity.train(toxicity.labelled_sample(docs, train), ["toxic"])
+    assert chain.categories == ["kind_1", "kind_2", "toxic"]
+    got = toxicity.score(docs, chain).join(test.where("want is not null"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").select("toxic", "want", "lang").collect()
+    toxic = [r for r in got if r["want"]]
+    assert sum(r["toxic"] for r in toxic) >= 0.9 * len(toxic) > 100
+    other = [r for r in toxic if r["lang"] != "en"]
+    assert sum(r["toxic"] for r in other) >= 0.85 * len(other) > 50
+    assert sum(r["toxic"] and not r["want"] for r in got) <= 0.005 * len(got)
+
+
+def test_a_chain_of_given_categories_uses_earlier_ones(spark):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(600):
+        a, b = i % 3 == 0, i % 4 == 0
+        said = ["alpha"] * a + ["beta"] * b + [f"w{rnd.randrange(40)}x" for _ in range(12)]
+        rows.append((i, " ".join(said), int(a), int(b), int(a or b)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, a int, b int, either int")
+    chain = toxicity.train(d, ["a", "b", "either"])
+    assert len(chain.weights[2]) == chain.size + 2 + 1 and max(chain.weights[2][chain.size : -1]) > 0.5
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.score(d, chain).collect()}
+    assert all(got[i] == bool(e) for i, *_, e in rows)
+
+
+def test_clusters_part_what_differs_and_keep_their_order():
+    x = np.zeros((30, 6), np.float32)
+    x[:20, :3], x[20:, 3:] = 0.58, 0.58
+    c = toxicity.clusters(x)
+    kind = toxicity.nearest(x, c)
+    assert kind.tolist() == [0] * 20 + [1] * 10
+    assert toxicity.nearest(x, toxicity.clusters(x[5:28], c)).tolist() == kind.tolist()
+    assert toxicity.clusters(x[:0], kinds=2).shape == (2, 6) and toxicity.clusters(x[:1], kinds=3).shape == (3, 6)
 
 
 def test_toxicity_of_odd_rows(spark, docs, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    chain = toxicity.train(toxicity.labelled_sample(docs(odd), none), ["insult", "contempt", "toxic"])
+    chain = toxicity.train(toxicity.labelled_sample(docs(odd), none), ["toxic"])
     assert not any(r["toxic"] for r in toxicity.score(docs(odd), chain).collect() if r["p_toxic"] < 0.5)
-    some = spark.createDataFrame([(4, 1), (6, 0), (7, None), (1, 0)], "doc_id long, toxic int")
-    chain = toxicity.train(toxicity.labelled_sample(docs(odd), some), ["insult", "contempt", "toxic"])
+    some = spark.createDataFrame([(4, 1), (6, 0), (7, None), (1, 0), (5, 0), (5, 1)], "doc_id long, toxic int")
+    sampled = toxicity.labelled_sample(docs(odd), some)
+    assert sorted((r["doc_id"], r["toxic"]) for r in sampled.collect()) == [(1, 0), (4, 1), (5, 1), (6, 0)]
+    chain = toxicity.train(sampled, ["toxic"])
     out = toxicity.score(docs(odd), chain)
-    assert out.columns == ["doc_id", "p_insult", "p_contempt", "p_toxic", "toxic"] and out.count() == len(odd)
+    assert out.columns == ["doc_id", "p_kind_1", "p_kind_2", "p_toxic", "toxic"] and out.count() == len(odd)
     assert toxicity.score(docs([]), chain).count() == 0
 
 
