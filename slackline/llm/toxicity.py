@@ -114,33 +114,52 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return shared.table(joined.groupBy(id_col).agg(F.min(text).alias(text), F.max(y).alias(target)), "toxicity-sample")
 
 
-def clusters(x: np.ndarray, centres: np.ndarray | None = None, kinds: int = KINDS, rounds: int = 10) -> np.ndarray:
-    """Centres of rows of unit length: the widest cluster is halved along its main axis, then all are refined.
+class Rows:
+    """Rows of present features, scaled to unit length; sparse, so that a sample of any vocabulary stays small."""
+
+    def __init__(self, rows: list[list[int]], size: int):
+        self.x, self.n, self.size = linear.Sparse(rows, size), len(rows), size
+        self.scale = 1 / np.sqrt(np.maximum(1, [len(r) for r in rows]))
+
+    def along(self, axis: np.ndarray) -> np.ndarray:
+        return self.x.dot(np.append(axis, 0)) * self.scale
+
+    def sum(self, weights: np.ndarray) -> np.ndarray:
+        return self.x.back(weights * self.scale)[: self.size]
+
+    def mean(self, own: np.ndarray) -> np.ndarray:
+        return self.sum(own.astype(float)) / max(1, own.sum())
+
+
+def clusters(x: Rows, own: np.ndarray, centres: np.ndarray | None = None, kinds: int = KINDS, rounds: int = 10) -> np.ndarray:
+    """Centres of the rows in ``own`` (a mask): the widest cluster is halved along its main axis, then all are refined.
 
     Given ``centres`` are only refined, so that they keep their order.
     """
     if centres is None:
-        groups = [np.arange(len(x))]
+        groups = [own]
         while len(groups) < kinds:
-            widest = max(range(len(groups)), key=lambda i: (((x[groups[i]] - x[groups[i]].mean(axis=0)) ** 2).sum() if len(groups[i]) > 1 else -1.0, -i))
-            own = groups.pop(widest)
-            flat = x[own] - x[own].mean(axis=0) if len(own) else x[own]
-            axis = flat[np.argmax((flat**2).sum(axis=1))] if len(own) else np.zeros(x.shape[1])
+            spread = [g.sum() * (1 - (x.mean(g) ** 2).sum()) if g.sum() > 1 else -1.0 for g in groups]
+            g = groups.pop(int(np.argmax(spread)))
+            mean = x.mean(g)
+            first = np.flatnonzero(g)[:1]  # any row that isn't the mean will do
+            axis = x.sum(np.isin(np.arange(x.n), first).astype(float)) - mean
             for _ in range(rounds):
-                axis = flat.T @ (flat @ axis)
+                away = np.where(g, x.along(axis) - mean @ axis, 0.0)
+                axis = x.sum(away) - away.sum() * mean
                 axis /= np.linalg.norm(axis) or 1.0
-            right = flat @ axis > 0
-            groups += [own[~right], own[right]]
-        groups.sort(key=len, reverse=True)
-        centres = np.stack([x[g].mean(axis=0) if len(g) else np.zeros(x.shape[1]) for g in groups])
+            right = g & (x.along(axis) > mean @ axis)
+            groups += [g & ~right, right]
+        groups.sort(key=lambda g: -g.sum())
+        centres = np.stack([x.mean(g) for g in groups])
     for _ in range(rounds):
         kind = nearest(x, centres)
-        centres = np.stack([x[kind == k].mean(axis=0) if (kind == k).any() else c for k, c in enumerate(centres)])
+        centres = np.stack([x.mean(own & (kind == k)) if (own & (kind == k)).any() else c for k, c in enumerate(centres)])
     return centres
 
 
-def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.argmax(x @ centres.T - (centres**2).sum(axis=1) / 2, axis=1)
+def nearest(x: Rows, centres: np.ndarray) -> np.ndarray:
+    return np.argmax(np.stack([x.along(c) - (c @ c) / 2 for c in centres], axis=1), axis=1)
 
 
 def train(docs: DataFrame, categories: list[str], kinds: int = KINDS, id_col: str = "doc_id", text: str = "text") -> Chain:
@@ -220,17 +239,17 @@ def _targets(x: list, y: np.ndarray, fold: np.ndarray, size: int, kinds: int) ->
     if not kinds:
         return [y] * (FOLDS + 1)
     positive = np.flatnonzero(y[:, 0] == 1)
-    shape = np.zeros((len(positive), size), np.float32)
-    for i, r in enumerate(positive):
-        shape[i, x[r]] = 1 / np.sqrt(max(1, len(x[r])))
-    whole = clusters(shape, kinds=kinds) if len(positive) else np.zeros((kinds, size))
+    rows = Rows([x[r] for r in positive], size)
+    every, of = np.ones(len(positive), bool), fold[positive]
+    whole = clusters(rows, every, kinds=kinds) if len(positive) else np.zeros((kinds, size))
     out = []
     for i in [*range(FOLDS), None]:
-        own = np.ones(len(positive), bool) if i is None else fold[positive] != i
-        centres = whole if i is None or not own.any() else clusters(shape[own], whole)
+        own = every if i is None else of != i
+        centres = whole if i is None or not own.any() else clusters(rows, own, whole)
         t = np.zeros((len(y), kinds + 1))
         t[:, -1] = y[:, 0]
-        t[positive, nearest(shape, centres)] = 1
+        if len(positive):
+            t[positive, nearest(rows, centres)] = 1
         out.append(t)
     return out
 

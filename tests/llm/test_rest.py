@@ -213,13 +213,21 @@ def test_a_chain_of_given_categories_uses_earlier_ones(spark):
 
 
 def test_clusters_part_what_differs_and_keep_their_order():
-    x = np.zeros((30, 6), np.float32)
-    x[:20, :3], x[20:, 3:] = 0.58, 0.58
-    c = toxicity.clusters(x)
+    x = toxicity.Rows([[0, 1, 2]] * 20 + [[3, 4, 5]] * 10, 6)
+    every = np.ones(30, bool)
+    c = toxicity.clusters(x, every)
     kind = toxicity.nearest(x, c)
     assert kind.tolist() == [0] * 20 + [1] * 10
-    assert toxicity.nearest(x, toxicity.clusters(x[5:28], c)).tolist() == kind.tolist()
-    assert toxicity.clusters(x[:0], kinds=2).shape == (2, 6) and toxicity.clusters(x[:1], kinds=3).shape == (3, 6)
+    some = (np.arange(30) >= 5) & (np.arange(30) < 28)
+    assert toxicity.nearest(x, toxicity.clusters(x, some, c)).tolist() == kind.tolist()
+    assert toxicity.clusters(toxicity.Rows([[0]], 2), np.ones(1, bool), kinds=3).shape == (3, 2)
+    same = toxicity.Rows([[0, 1]] * 4, 3)
+    assert set(toxicity.nearest(same, toxicity.clusters(same, np.ones(4, bool))).tolist()) == {0}
+    rnd = random.Random(1)
+    mixed = [sorted(rnd.sample(range(8 * (i % 3 == 0), 8 * (i % 3 == 0) + 8), 4)) for i in range(90)]
+    y = toxicity.Rows(mixed, 16)
+    found = toxicity.nearest(y, toxicity.clusters(y, np.ones(90, bool)))
+    assert len(set(found[::3])) == 1 and found[0] != found[1] and len(set(found[i] for i in range(90) if i % 3)) == 1
 
 
 def test_toxicity_of_odd_rows(spark, docs, odd):
