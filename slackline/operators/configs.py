@@ -141,8 +141,17 @@ class Context:
         """Work functions (rows, or one) after a request at r."""
         return (wf[..., self.neighbours[r]] + self.costs[r]).min(axis=-1)
 
+    @cached_property
+    def _preimages(self) -> dict[tuple[int, int], np.ndarray]:
+        return {}
+
     def preimage(self, s: int, t: int) -> np.ndarray:
-        """For configurations with a server at t: the one with the first such server at s; else -1."""
+        """For configurations with a server at t: the one with the first such server at s; else -1. Kept by (s, t)."""
+        if (s, t) not in self._preimages:
+            self._preimages[s, t] = self._preimage(s, t)
+        return self._preimages[s, t]
+
+    def _preimage(self, s: int, t: int) -> np.ndarray:
         out = np.full(len(self.configs), -1, np.int64)
         for i, cfg in enumerate(self.configs):
             if t in cfg:

@@ -1,16 +1,22 @@
 """State graphs: exploration to a fixpoint, level by level.
 
-A level expands the newest work functions by every transition in Arrow batches, writes its edges, and finds what
-is new by a distinct and an exact anti join on the values themselves. Every level's tables are written to the shared
-folder, so the lineage stays short and a lost executor costs one level at most.
+A level expands the newest work functions by every transition in Arrow batches. Nodes are told apart by a 128-bit hash
+of their values: of equal hashes in a level the least path stays (differing values under one hash would raise), and
+an anti join on hashes finds what is new. Only new nodes are written; edges are made once, in one pass at the end
+that joins hashes to ids, so no edge ever carries a work function. A node knows a shortest request path to it.
+
+With a potential, each level's edges are checked as soon as both ends have one, and violations come with their paths.
+A level's tables are written to the shared folder: the lineage stays short, a lost executor costs one level at most.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slackline.operators.configs import Context
@@ -53,64 +59,167 @@ def canonical(wfs: np.ndarray, perms: np.ndarray) -> np.ndarray:
     return best
 
 
+def symmetry_step_of(moves: list[tuple[str, int, int]]) -> int:
+    """Rides tell odd points from even ones, so their circles turn by two."""
+    return 2 if any(kind == "ride" for kind, *_ in moves) else 1
+
+
+def digests(wfs: np.ndarray) -> list[bytes]:
+    """128 bits of every row's values."""
+    return [hashlib.blake2b(row, digest_size=16).digest() for row in np.ascontiguousarray(wfs, "<i8")]
+
+
+def rows_of(column) -> np.ndarray:
+    """An Arrow column of equally long lists as a matrix, from its flat buffer."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.int64)
+
+
+def lists_of(matrix: np.ndarray):
+    """A matrix as an Arrow column of lists."""
+    import pyarrow as pa
+
+    n, width = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(np.ascontiguousarray(matrix, np.int64).ravel()))
+
+
 @dataclass
 class Graph:
-    """nodes: id, depth, wf (least value 0); edges: edge_id, from, to, request, d_min, ext, weight. Edges are a bag."""
+    """nodes: id, depth, path, wf (least value 0); edges: edge_id, from, to, request, d_min, ext, weight, a bag.
+
+    A path is the number of its start and then the requests. ``violations`` (path of the edge's first node, request,
+    slack) is there if a potential was checked; ``complete`` is false if the exploration was stopped by them.
+    """
 
     context: Context
     nodes: DataFrame
     edges: DataFrame
     levels: list[int]
-
-
-def explore(spark: SparkSession, context: Context, starts: list, moves: list[tuple[str, int, int]], symmetry_step: int | None = None, max_levels: int = 1_000) -> Graph:
+    violations: DataFrame | None = None
+    complete: bool = True
+    events: list[dict] = field(default_factory=list)
+
+
+#: Rows of work functions that a task expands at a time.
+CHUNK = 256
+
+
+def explore(
+    spark: SparkSession,
+    context: Context,
+    starts: list,
+    moves: list[tuple[str, int, int]],
+    symmetry_step: int | str | None = None,
+    max_levels: int = 1_000,
+    potential: Callable[[Column], Column] | None = None,
+    rho: float | None = None,
+    stop_after: int | None = None,
+    hook: Callable[[str, dict], None] | None = None,
+) -> Graph:
     """All work functions that requests reach from the start configurations, and every transition between them.
 
-    With ``symmetry_step`` the graph's nodes are classes under the circle's symmetries. Ids follow (depth, values).
+    With ``symmetry_step`` ("auto": by the kind of moves) the nodes are classes under the circle's symmetries. Ids
+    follow (depth, values). ``potential`` is checked level by level with ``rho`` (k unless given); the exploration
+    stops after a level that brings the violations over ``stop_after``. ``hook(event, facts)`` is told of start,
+    level (depth, nodes), violations (depth, found) and done.
     """
-    perms = symmetries(context, symmetry_step) if symmetry_step else None
+    step = symmetry_step_of(moves) if symmetry_step == "auto" else symmetry_step
+    perms = symmetries(context, step) if step else None
+    rho = context.k if rho is None else rho
+    events: list[dict] = []
+
+    def tell(event: str, **facts):
+        events.append({"event": event, **facts})
+        if hook:
+            hook(event, facts)
 
     def settle(wfs: np.ndarray) -> np.ndarray:
         wfs = wfs - wfs.min(axis=1, keepdims=True)
         return canonical(wfs, perms) if perms is not None else wfs
 
-    def expanded(batches):
+    def after(wfs: np.ndarray):
+        """(move, d_min, ext, settled rows) for every move."""
+        for i, (kind, s, t) in enumerate(moves):
+            grown = context.update(wfs, t) if kind == "point" else context.ride(wfs, s, t)
+            yield i, grown.min(axis=1), (grown - wfs).max(axis=1), settle(grown)
+
+    def reached(batches):
+        """wf, path to hash, wf, path of what a move leads to; a hash once in a chunk."""
         import pyarrow as pa
 
         for b in batches:
-            wfs = np.array(b.column(0).to_pylist(), np.int64)
-            if not len(wfs):
-                continue
-            for i, (kind, s, t) in enumerate(moves):
-                after = context.update(wfs, t) if kind == "point" else context.ride(wfs, s, t)
-                d_min, ext = after.min(axis=1), (after - wfs).max(axis=1)
-                to = settle(after)
+            for at in range(0, b.num_rows, CHUNK):
+                part = b.slice(at, CHUNK)
+                paths, found = part.column(1).to_pylist(), {}
+                for i, _, _, to in after(rows_of(part.column(0))):
+                    for row, (h, path) in enumerate(zip(digests(to), paths)):
+                        if h not in found or [*path, i] < found[h][0]:
+                            found[h] = [*path, i], to[row]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(np.full(len(wfs), i)), pa.array(d_min), pa.array(ext), pa.array((context.k + 1) * d_min - ext), pa.array(list(to), pa.list_(pa.int64()))],
-                    ["u", "request", "d_min", "ext", "weight", "v"],
+                    [pa.array(list(found), pa.binary()), lists_of(np.stack([w for _, w in found.values()])), pa.array([p for p, _ in found.values()], pa.list_(pa.int64()))], ["hash", "wf", "path"]
                 )
 
-    first = settle(np.array([context.initial(c) for c in starts]))
-    frontier = spark.createDataFrame([(w.tolist(),) for w in np.unique(first, axis=0)], "wf array<long>")
-    frontier = scratch.table(frontier.select("wf", F.lit(0).cast("long").alias("depth")), "explore-nodes")
-    seen, edges, levels = frontier, None, []
+    def edge_rows(batches):
+        """wf and what names the node to its edges, the other end by its hash."""
+        import pyarrow as pa
+
+        for b in batches:
+            for at in range(0, b.num_rows, CHUNK):
+                part = b.slice(at, CHUNK)
+                for i, d_min, ext, to in after(rows_of(part.column(0))):
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(1), pa.array(np.full(part.num_rows, i)), pa.array(d_min), pa.array(ext), pa.array((context.k + 1) * d_min - ext), pa.array(digests(to), pa.binary())],
+                        ["from", "request", "d_min", "ext", "weight", "hash"],
+                    )
+
+    edge_schema = "request long, d_min long, ext long, weight long, hash binary"
+    first: dict[bytes, tuple] = {}
+    settled = settle(np.array([context.initial(c) for c in starts]))
+    for i, (h, w) in enumerate(zip(digests(settled), settled)):
+        first.setdefault(h, (h, w.tolist(), [i]))
+
+    def valued(rows: DataFrame) -> DataFrame:
+        """New nodes, written; with the potential if one is checked."""
+        held = scratch.table(rows, "explore-nodes")
+        return held if potential is None else scratch.table(held.withColumn("phi", potential(F.col("wf"))), "explore-nodes")
+
+    tell("start", starts=len(first))
+    start = spark.createDataFrame(list(first.values()), "hash binary, wf array<long>, path array<long>")
+    frontier = valued(start.withColumn("depth", F.lit(0).cast("long")))
+    seen, levels, short, n_short, complete = frontier, [], None, 0, True
     for depth in range(max_levels):
         n = frontier.count()
         if not n:
             break
         levels.append(n)
-        grown = scratch.table(frontier.select("wf").mapInArrow(expanded, "u array<long>, request long, d_min long, ext long, weight long, v array<long>"), "explore-edges")
-        edges = grown if edges is None else edges.union(grown)
-        new = grown.select(F.col("v").alias("wf")).distinct().join(seen, "wf", "left_anti")
-        frontier = scratch.table(new.select("wf", F.lit(depth + 1).cast("long").alias("depth")), "explore-nodes")
-        seen = seen.union(frontier)
+        tell("level", depth=depth, nodes=n)
+        grown = frontier.select("wf", "path").mapInArrow(reached, "hash binary, wf array<long>, path array<long>")
+        same = F.assert_true(F.col("wf") == F.col("other"), F.lit("two work functions have one hash"))
+        new = grown.groupBy("hash").agg(F.min("wf").alias("wf"), F.max("wf").alias("other"), F.min("path").alias("path")).join(seen.select("hash"), "hash", "left_anti")
+        new = valued(new.where(same.isNull()).select("hash", "wf", "path", F.lit(depth + 1).cast("long").alias("depth")))
+        seen = seen.union(new)
+        if potential is not None:
+            u = frontier.select(F.col("hash").alias("u"), F.col("phi").alias("pu"), "path")
+            rows = frontier.select("wf", "hash").mapInArrow(edge_rows, f"from binary, {edge_schema}")
+            slack = F.col("pv") - F.col("pu") + F.lit(rho + 1) * F.col("d_min") - F.col("ext")
+            broken = rows.join(u, F.col("from") == F.col("u")).join(seen.select("hash", F.col("phi").alias("pv")), "hash")
+            broken = scratch.table(broken.select("path", "request", slack.alias("slack")).where("slack < 0"), "explore-violations")
+            short = broken if short is None else short.union(broken)
+            found = broken.count()
+            n_short += found
+            tell("violations", depth=depth, found=found)
+            if stop_after is not None and n_short > stop_after:
+                complete = False
+                break
+        frontier = new
     else:
         raise RuntimeError(f"no fixpoint after {max_levels} levels")
-    nodes = scratch.table(numbered(seen, ["depth", "wf"]).select("id", "depth", "wf"), "graph-nodes")
-    ids = nodes.select("id", "wf")
-    linked = edges.join(ids.select(F.col("id").alias("from"), F.col("wf").alias("u")), "u").join(ids.select(F.col("id").alias("to"), F.col("wf").alias("v")), "v")
+    columns = ["id", "hash", "depth", "path", "wf"]
+    nodes = scratch.table(numbered(seen.select(*columns[1:]), ["depth", "wf"]).select(*columns), "graph-nodes")
+    ids = nodes.select(F.col("id").alias("to"), "hash")
+    linked = nodes.select("wf", "id").mapInArrow(edge_rows, f"from long, {edge_schema}").join(ids, "hash")
     linked = linked.select((F.col("from") * len(moves) + F.col("request")).alias("edge_id"), "from", "to", "request", "d_min", "ext", "weight")
-    return Graph(context, nodes, scratch.table(linked, "graph-edges"), levels)
+    tell("done", levels=len(levels), violations=n_short)
+    return Graph(context, nodes.drop("hash"), scratch.table(linked, "graph-edges"), levels, short, complete, events)
 
 
 def bellman(graph_nodes: DataFrame, edges: DataFrame, max_rounds: int = 1_000) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from itertools import combinations_with_replacement, permutations, product
 
 import numpy as np
@@ -269,9 +270,128 @@ def test_search_finds_the_known_potential(graph):
     family = plan_search.Climb([0, 0, 0], batch=3, rounds=1)
     best = plan_search.search(family, p, graph.nodes, graph.edges, 60)
     assert best[0] == (0, [0, 0, 0])
-    rnd = random.Random(0)
-    for f in ("seed_sparse", "seed_dense", "seed_peak5", "mutate_full"):
-        assert plan_search.mutate([0] * 6, rnd, f, frozen=2)[:2] == [0, 0]
+    fixed = plan_search.Fixed([[0, 0, 0], [5, 5, 5]])
+    assert plan_search.search(fixed, p, graph.nodes, graph.edges, 60)[0] == (0, [0, 0, 0])
+    sampled = plan_search.Sampling(graph.nodes.sparkSession, 3, batch=4, rounds=2)
+    found = plan_search.search(sampled, p, graph.nodes, graph.edges, 60)
+    assert found == sorted(found, key=lambda r: r[0]) and [v for v, _ in found] == plan_search.violations(p, graph.nodes, graph.edges, [c for _, c in found])
+
+
+def test_mutations_follow_their_recipes(spark):
+    parent = [2, -2, 1, 0, 0, 1, -1, 2]
+    draws = [(i, f, parent) for i, f in enumerate(f for f in (*search.RECIPES, "of its own") for _ in range(60))]
+    made = {r["draw_id"]: r for r in search.mutated(spark.createDataFrame(draws, "draw_id long, family string, coefs array<long>").repartition(3), frozen=2).collect()}
+    assert len(made) == len(draws)
+    seen = {}
+    for i, f, _ in draws:
+        c, recipe = made[i]["coefs"], search.RECIPES.get(f, search.OTHER)
+        assert made[i]["family"] == f and c[:2] == [0, 0] and len(c) == 8
+        changed = sum(a != b for a, b in zip(c[2:], parent[2:]))
+        if f == "seed_sparse":
+            assert 2 <= sum(x != 0 for x in c) <= 6 and max(map(abs, c)) <= 5
+        elif f == "seed_peak5":
+            assert sum(abs(x) == 5 for x in c) == 2 and all(abs(x) <= 2 for x in c if abs(x) != 5)
+        elif f == "seed_dense":
+            assert max(map(abs, c)) <= 2
+        else:
+            assert changed <= recipe.most and max(map(abs, c)) <= 2
+        seen.setdefault(f, set()).add(tuple(c))
+    assert all(len(x) > 10 for x in seen.values())
+    again = search.mutated(spark.createDataFrame(draws[:5], "draw_id long, family string, coefs array<long>"), frozen=2).collect()
+    assert all(made[r["draw_id"]]["coefs"] == r["coefs"] for r in again)
+
+
+def test_parents_come_from_their_pools(spark):
+    rows = [(i, [i, 0], i % 2, i % 7 if i % 2 == 0 else None, float(i) if i % 4 == 0 else None, i if i % 8 == 0 else None) for i in range(200)]
+    known = spark.createDataFrame(rows, "candidate_id long, coefs array<long>, stage_a long, stage_b long, stage_c double, stage_d long")
+    draws = spark.createDataFrame([(i, f) for i, f in enumerate(["mutate_full", "mutate_timed", "mutate_proxy", "mutate_ck4", "seed_dense"] * 40)], "draw_id long, family string")
+    got = {}
+    for r in search.parents(known, draws, 2).collect():
+        got.setdefault(r["family"], set()).add(r["parent_id"])
+        assert r["coefs"] == ([0, 0] if r["parent_id"] is None else [r["parent_id"], 0])
+    assert got["seed_dense"] == {None}
+    assert got["mutate_full"] <= set(range(0, 96, 8)) and len(got["mutate_full"]) > 6  # the best 12
+    assert all(i % 4 == 0 for i in got["mutate_timed"]) and all(i % 2 == 0 for i in got["mutate_proxy"] | got["mutate_ck4"])
+    empty = search.parents(known.where("false"), draws, 3).collect()
+    assert {(r["parent_id"], tuple(r["coefs"])) for r in empty} == {(None, (0, 0, 0))}
+
+
+def test_slow_tasks_are_cancelled_and_queued_again(graph):
+    p, calls = potentials.Canonical(graph.context, 3, [[1, 2, 3], [-1, 2, 3], [-2, -2, 3], [-3, -3, -3]]), []
+    spark = graph.nodes.sparkSession
+
+    def score(batch):
+        calls.append(batch)
+        if len(calls) < 3:  # a job that doesn't end by itself
+            spark.range(1 << 50, numPartitions=2).agg(F.sum(F.col("id") % 7)).collect()
+        return [7 for _ in batch]
+
+    family = plan_search.Fixed([[1, 0, 0]])
+    began = time.monotonic()
+    assert plan_search.search(family, p, graph.nodes, graph.edges, 60, task_seconds=1, score=score) == [(7, [1, 0, 0])]
+    assert len(calls) == 3 and time.monotonic() - began < 40
+    told = []
+    family.left, family.tell, calls[:] = [[[2, 0, 0]]], lambda c, v: told.append((c, v)), []
+    family.finalize = lambda: []
+    assert plan_search.search(family, p, graph.nodes, graph.edges, 60, task_seconds=0.5, requeues=1, score=score) == []
+    assert told == [([2, 0, 0], None)] and len(calls) == 2
+
+
+def test_scans_stop_at_cutoffs_and_in_time(spark):
+    tried = spark.range(5000).select(F.col("id").alias("edge_id"), (F.col("id") % 50 == 0).alias("hit")).cache()
+    whole = plan_search.scan(tried)
+    assert (whole.violations, whole.processed, whole.complete, whole.estimate) == (100, 5000, True, 100)
+    cut = plan_search.scan(tried, cutoff=5)
+    assert 5 < cut.violations < 40 and cut.processed < 1500 and not cut.complete and 60 < cut.estimate < 160
+    assert plan_search.scan(tried, seconds=0).estimate == math.inf and not plan_search.scan(tried, seconds=0).complete
+    assert plan_search.scan(tried.where("false")).complete
+
+
+def test_staged_search_fills_stages_in_order(graph):
+    spark, c = graph.nodes.sparkSession, graph.context
+    p = potentials.Canonical(c, 3, [[1, 2, 3], [-1, 2, 3], [-2, -2, 3], [-3, -3, -3]])
+    table = (graph.nodes, graph.edges)
+    loose = {"stage_a": 2000, "stage_b": 2000}
+    rows = plan_search.staged(p, table, p, table, ["seed_sparse", "seed_dense", "mutate_full"], rounds=2, batch=4, full=2, most=loose).collect()
+    assert len({tuple(r["coefs"]) for r in rows}) == len(rows) > 3
+    true = dict(zip([r["candidate_id"] for r in rows], plan_search.violations(p, *table, [r["coefs"] for r in rows])))
+    done = [r for r in rows if r["stage_d"] is not None]
+    assert 2 <= len(done) <= 4
+    for r in rows:
+        assert r["stage_a"] == true[r["candidate_id"]] and r["stage_d"] in (None, r["stage_a"])
+        assert (r["stage_c"] is None) <= (r["stage_d"] is None)
+    strict = plan_search.staged(p, table, p, table, ["seed_sparse"], rounds=1, batch=4).collect()
+    assert all((r["stage_b"] is None) == (r["stage_a"] > 0) for r in strict)
+
+
+def test_paths_replay_to_their_nodes_and_violations_are_found_on_the_way(spark):
+    c = Context.of(2, metrics.circle_matrix(5))
+    told = []
+    g = explore.explore(spark, c, c.configs, explore.point_transitions(5), potential=arrays.total, hook=lambda e, f: told.append((e, f)))
+    assert g.complete and [f["nodes"] for e, f in told if e == "level"] == g.levels and told[-1][0] == "done"
+    nodes = g.nodes.collect()
+
+    def replay(path):
+        w = c.initial(c.configs[path[0]])
+        for r in path[1:]:
+            w = c.update(w - w.min(), r)
+        return (w - w.min()).tolist()
+
+    assert all(replay(r["path"]) == r["wf"] and len(r["path"]) == r["depth"] + 1 for r in nodes)
+    phi = {r["id"]: sum(r["wf"]) for r in nodes}
+    path = {r["id"]: r["path"] for r in nodes}
+    want = sorted((path[e["from"]], e["request"], phi[e["to"]] - phi[e["from"]] + e["weight"]) for e in g.edges.collect() if phi[e["to"]] - phi[e["from"]] + e["weight"] < 0)
+    assert sorted((list(r["path"]), r["request"], int(r["slack"])) for r in g.violations.collect()) == want and want
+    early = explore.explore(spark, c, c.configs, explore.point_transitions(5), potential=arrays.total, stop_after=0)
+    assert not early.complete and 0 < early.violations.count() < len(want) and len(early.levels) < len(g.levels)
+
+
+def test_symmetry_follows_the_kind_of_moves(spark):
+    assert explore.symmetry_step_of(explore.ride_transitions(2)) == 2 and explore.symmetry_step_of(explore.point_transitions(2)) == 1
+    c = Context.of(2, metrics.circle_matrix(6))
+    plain = explore.explore(spark, c, c.configs, explore.point_transitions(6))
+    classes = explore.explore(spark, c, c.configs, explore.point_transitions(6), symmetry_step="auto")
+    assert 0 < classes.nodes.count() < plain.nodes.count()
 
 
 def test_control(tmp_path):
