@@ -27,11 +27,11 @@ def op3_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in all documents; the counts are of base spans."""
+    """Personal data in all documents; the counts by kind are of base spans, ``n_spans`` is of all."""
     found = pii.detect(shared.documents(spark, sf_dir).select("doc_id", "text"))
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of = lambda kind: F.size(F.filter("pii.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(of, pii.KINDS), F.sha2(listed("pii.base"), 256).alias("base_sha256"), listed("pii.spans").alias("spans"))
+    return found.select("doc_id", *map(of, pii.KINDS), F.sha2(listed("pii.base"), 256).alias("base_sha256"), listed("pii.spans").alias("spans"), F.size("pii.spans").cast("long").alias("n_spans"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
