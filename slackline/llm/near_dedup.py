@@ -1,12 +1,18 @@
-"""Near-duplicates by the Jaccard similarity of their word shingles.
+"""SimHash near-duplicates at a Jaccard similarity, where three bits of 64 are too few.
 
-1. Where the texts are, a text's distinct shingles get ``BANDS`` keys, each of ``ROWS`` MinHash values. Texts that
-   share a key are candidates: at similarity 0.8 all keys differ with a chance of (1 - 0.8^8)^64, 8 in a million,
-   and of less above. Keys of one text are dropped; the others give one edge for each text, never all pairs.
+1. Buckets. Where the texts are, a text's distinct shingles get ``BANDS`` keys, each of ``ROWS`` MinHash values. Texts
+   that share a key are in one bucket: at similarity 0.8 all keys differ with a chance of (1 - 0.8^8)^64, 8 in a
+   million, and of less above. (Bits of fingerprints can't be keys here: at 0.8 every seventh bit differs, and a key
+   that survives that is too short to part a large corpus.) Keys of one text are dropped; the others give one edge for
+   each text, never all pairs.
 2. Candidate components come from large and small stars. Only their texts are read again: a bitmap of fixed size
    passes the rows that can be among them, so that the other texts aren't shuffled for it.
-3. In a component the similarity of all pairs is computed exactly, from postings of 64-bit shingle hashes. A large
-   component is cut into tiles, and pairs of tiles are tasks of their own. Only pairs of ``least`` or more are links.
+3. In a component, SimHash fingerprints of ``WORDS`` 64-bit words are compared bit-sliced, abandoning what passes
+   ``RADIUS`` bits. At 0.8 a bit differs with a chance of 0.15 to 0.19, so 80 of 256 is five standard deviations off or
+   more; of unrelated texts one pair in a thousand million comes as near.
+4. What is near and not yet joined is checked: the similarity is computed exactly, from postings of 64-bit shingle
+   hashes. A large component is cut into tiles, and pairs of tiles are tasks of their own. Only pairs of ``least`` or
+   more are links.
 
 Contract: a null text counts as empty; shingles are of lower-case words (A-Z; white space of ASCII), repeats count
 once; a text of fewer words than a shingle is one shingle; texts without words are alike; of a component of links the
@@ -24,6 +30,8 @@ from slackline.llm import shared, simhash
 SHINGLE_WORDS = 5
 LEAST = 0.8
 BANDS, ROWS = 64, 8
+#: Words of a fingerprint, and the bits in which two may differ before they are abandoned.
+WORDS, RADIUS = 4, 80
 #: Shingles of a tile, about.
 TILE = 1 << 21
 #: Shingles whose MinHash values are computed at a time.
@@ -56,22 +64,31 @@ def keys(values: np.ndarray) -> np.ndarray:
 
 
 def link_sets(left: list, right: list, forest: simhash.Forest, least: float) -> None:
-    """Joins all pairs of ``least`` similarity between ``left`` and ``right``, lists of (name, shingles)."""
-    sizes = np.fromiter((len(s) for _, s in right), np.int64, len(right))
-    every, owner = np.concatenate([s for _, s in right]), np.repeat(np.arange(len(right)), sizes)
+    """Joins all pairs of ``least`` similarity between ``left`` and ``right``, lists of (name, shingles, fingerprint)."""
+    sizes = np.fromiter((len(s) for _, s, _ in right), np.int64, len(right))
+    every, owner = np.concatenate([s for _, s, _ in right]), np.repeat(np.arange(len(right)), sizes)
     order = np.argsort(every, kind="stable")
     owner = owner[order]
     hashes, starts = np.unique(every[order], return_index=True)
     counts = np.diff(np.append(starts, len(every)))
-    for name, values in left:
-        at = np.minimum(np.searchsorted(hashes, values), len(hashes) - 1)
-        at = at[hashes[at] == values]
-        n, begin = counts[at], starts[at]
-        places = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        common = np.bincount(owner[places], minlength=len(right))
-        for j in np.flatnonzero(common >= least * (len(values) + sizes - common) * (1 - 1e-9)).tolist():
-            if common[j] / (len(values) + sizes[j] - common[j]) >= least:
-                forest.join(name, right[j][0])
+    sliced = simhash.Sliced(np.stack([p for *_, p in right]), RADIUS)
+    for first in range(0, len(left), 512):
+        part = left[first : first + 512]
+        place, lane = sliced.near(np.stack([p for *_, p in part]))
+        lanes = np.split(lane[np.argsort(place, kind="stable")], np.cumsum(np.bincount(place, minlength=len(part)))[:-1])
+        for (name, values, _), near in zip(part, lanes):
+            root = forest.find(name)
+            near = [j for j in near.tolist() if forest.find(right[j][0]) != root]
+            if not near:
+                continue
+            at = np.minimum(np.searchsorted(hashes, values), len(hashes) - 1)
+            at = at[hashes[at] == values]
+            n, begin = counts[at], starts[at]
+            places = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(owner[places], minlength=len(right))
+            for j in near:
+                if common[j] / (len(values) + sizes[j] - common[j]) >= least:
+                    forest.join(name, right[j][0])
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
@@ -94,12 +111,12 @@ def _among(df: DataFrame, key: str, values: DataFrame) -> DataFrame:
 
 
 def links(sets: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) between digests that span the components of links; ``sets``: component, digest, set, n."""
+    """Edges (a, b) between digests that span the components of links; ``sets``: component, digest, set, print, n."""
     sizes = shared.table(sets.groupBy("component").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles")), "near-sizes")
     held = sets.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("digest"), F.col("tiles")).cast("int"))
     mate = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    dealt = held.select("digest", "set", "component", "tile", mate.alias("mate")).select(
-        "digest", "set", "component", F.least("tile", "mate").alias("t1"), F.greatest("tile", "mate").alias("t2"), (F.col("tile") > F.col("mate")).alias("second")
+    dealt = held.select("digest", "set", "print", "component", "tile", mate.alias("mate")).select(
+        "digest", "set", "print", "component", F.least("tile", "mate").alias("t1"), F.greatest("tile", "mate").alias("t2"), (F.col("tile") > F.col("mate")).alias("second")
     )
 
     def linked(batches):
@@ -114,18 +131,19 @@ def links(sets: DataFrame, least: float) -> DataFrame:
                 link_sets(left, right, forest, least)
 
         for b in batches:
-            for digest, values, *group, second in zip(*(c.to_pylist() for c in b.columns)):
+            for digest, values, fingerprint, *group, second in zip(*(c.to_pylist() for c in b.columns)):
                 if group != current:
                     close()
                     current, left, right = group, [], []
-                (right if second else left).append((digest, np.frombuffer(values, np.uint64)))
+                (right if second else left).append((digest, np.frombuffer(values, np.uint64), np.frombuffer(fingerprint, np.uint64)))
         close()
         found = forest.edges()
         for i in range(0, len(found), 1 << 14):
             a, b = zip(*found[i : i + (1 << 14)])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
 
-    return dealt.repartition("component", "t1", "t2").sortWithinPartitions("component", "t1", "t2").mapInArrow(linked, "a string, b string").distinct()
+    partitions = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(4 * partitions, "component", "t1", "t2").sortWithinPartitions("component", "t1", "t2").mapInArrow(linked, "a string, b string").distinct()
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, least: float = LEAST) -> DataFrame:
@@ -138,12 +156,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
         shared.working("near_dedup")
         return pa.array([keys(shingles(t, words)) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("struct<set:binary,print:binary>")
     def spelled(texts):
         import pyarrow as pa
 
         shared.working("near_dedup")
-        return pa.array([shingles(t, words).tobytes() for t in texts.to_pylist()], pa.binary())
+        sets = [shingles(t, words) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([simhash.wide(s, WORDS).tobytes() for s in sets], pa.binary())], ["set", "print"])
 
     shared.session(docs)
     body = shared.text_or_empty(text)
@@ -153,7 +172,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
     found = _candidates(rows.select(F.xxhash64("digest").alias("c"), "keys"))
     texts = _among(docs.select(F.sha2(body, 256).alias("digest"), body.alias("text")).withColumn("c", F.xxhash64("digest")), "c", found)
     meant = texts.join(found, texts["c"] == found["vertex"]).dropDuplicates(["digest"])  # two digests of one c are two texts
-    sets = shared.table(meant.select("component", "digest", spelled("text").alias("set")).withColumn("n", F.octet_length("set") / 8), "near-sets")
+    sets = shared.table(meant.select("component", "digest", spelled("text").alias("s")).select("component", "digest", "s.set", "s.print", (F.octet_length("s.set") / 8).alias("n")), "near-sets")
     of = simhash.components(links(sets, least))
     linked = shared.table(of.join(firsts, of["vertex"] == firsts["digest"]).select("digest", "first", "component"), "near-linked")
     smallest = linked.groupBy("component").agg(F.min("first").alias("first")).select("first")

@@ -32,8 +32,6 @@ SEED = 42
 BLOCKS = (13, 13, 13, 13, 12)
 #: Fingerprints in a tile of a bucket.
 TILE = 4096
-#: Rounds of stars before giving up; their number grows with the logarithm of the longest chain.
-MAX_ROUNDS = 60
 
 
 def shingle_hashes(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
@@ -67,6 +65,16 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def wide(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A fingerprint of several words: each takes the majority of the hashes mixed anew."""
+    out = np.zeros(words, np.uint64)
+    for w in range(words):
+        h = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (w + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+        out[w] = majority(h ^ (h >> np.uint64(31))) if len(h) else 0
+    return out
+
+
 def fingerprint(text: str | Column) -> Column:
     """Column of fingerprints as signed 64-bit integers; null stays null."""
 
@@ -82,35 +90,44 @@ def fingerprint(text: str | Column) -> Column:
 
 
 class Sliced:
-    """Fingerprints as bit planes, one lane each; ``near`` compares other fingerprints with all lanes."""
+    """Fingerprints of one or more 64-bit words as bit planes, one lane each; ``near`` compares others with all lanes.
+
+    Distances are kept in carry-save counters, a plane for each of their bits. They begin so that the top one
+    overflows where a distance passes ``radius``.
+    """
 
     #: Words compared at a time, before it is asked whether every lane has overflowed.
     STRETCH = 1 << 12
 
-    def __init__(self, values: np.ndarray):
-        self.n = len(values)
-        bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        lanes = np.zeros((64, -(-self.n // 64) * 64), np.uint8)
-        lanes[:, : self.n] = bits.T
+    def __init__(self, values: np.ndarray, radius: int = RADIUS):
+        values = values.reshape(len(values), -1)
+        self.n, self.radius, self.words = len(values), radius, values.shape[1]
+        lanes = np.zeros((64 * self.words, -(-self.n // 64) * 64), np.uint8)
+        lanes[:, : self.n] = np.unpackbits(np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(self.n, -1), axis=1, bitorder="little").T
         self.planes = np.packbits(lanes, axis=1, bitorder="little").view("<u8")
 
     def near(self, values: np.ndarray) -> np.ndarray:
-        """(value's place, lane) of all that differ in ``RADIUS`` bits at most."""
-        out = []
+        """(value's place, lane) of all that differ in ``radius`` bits at most."""
+        values = values.reshape(len(values), -1)
+        out, bits = [], self.radius.bit_length()
+        begin = (1 << bits) - 1 - self.radius
         width = self.planes.shape[1]
-        rows = max(1, self.STRETCH // width)
+        rows = max(1, self.STRETCH // max(1, width))
         for first in range(0, len(values), rows):
             asked = values[first : first + rows]
             for at in range(0, width, self.STRETCH):
                 planes = self.planes[:, at : at + self.STRETCH]
-                ones, twos, over = (np.zeros((len(asked), planes.shape[1]), np.uint64) for _ in range(3))
-                for b in range(64):
-                    flip = np.uint64(0) - (asked >> np.uint64(b) & np.uint64(1))  # all ones where the bit is set
-                    d = flip[:, None] ^ planes[b][None, :]
-                    carry = ones & d
-                    ones ^= d
-                    over |= twos & carry  # the counter passes three
-                    twos ^= carry
+                shape = (len(asked), planes.shape[1])
+                counters = [np.full(shape, _ALL if begin >> i & 1 else 0, np.uint64) for i in range(bits)]
+                over = np.zeros(shape, np.uint64)
+                for b in range(64 * self.words):
+                    flip = np.uint64(0) - (asked[:, b // 64] >> np.uint64(b % 64) & np.uint64(1))  # all ones where the bit is set
+                    carry = flip[:, None] ^ planes[b][None, :]
+                    for c in counters:
+                        rest = c & carry
+                        c ^= carry
+                        carry = rest
+                    over |= carry
                     if b % 8 == 7 and (over == _ALL).all():
                         break
                 else:
@@ -211,7 +228,8 @@ def links(fingerprints: DataFrame) -> DataFrame:
         for i in range(0, len(found), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(found[i : i + (1 << 16), 0]), pa.array(found[i : i + (1 << 16), 1])], ["a", "b"])
 
-    return dealt.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(linked, "a long, b long").distinct()
+    partitions = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that few bytes of much work aren't merged into one task
+    return dealt.repartition(8 * partitions, "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(linked, "a long, b long").distinct()
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -228,7 +246,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     ends = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = shared.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
-    for _ in range(MAX_ROUNDS):
+    while True:  # the number of rounds grows with the logarithm of the longest chain
         if _settled(edges):
             return edges.select(F.col("a").alias("vertex"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
         around = ends(edges)
@@ -237,7 +255,6 @@ def components(edges: DataFrame) -> DataFrame:
         down = shared.table(large.groupBy("a").agg(F.min("b").alias("m")), "stars-down")  # every b is below its a
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", "m"))
         edges = shared.table(small.where("a <> b").distinct(), "stars")
-    raise RuntimeError(f"stars did not settle in {MAX_ROUNDS} rounds")
 
 
 def _classes(rows: DataFrame) -> DataFrame:
@@ -263,8 +280,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return rows.join(found, "fp").select(F.col("id").alias(id_col), "fp", F.col("first.id").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, the one with the smallest id."""
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int | None = None, least: float | None = None) -> DataFrame:
+    """``docs`` with one row of each component, the one with the smallest id.
+
+    With ``least``, texts link at that Jaccard similarity of their shingles of ``words`` words instead of at
+    ``RADIUS`` bits: see ``near_dedup``.
+    """
+    if least is not None:
+        from slackline.llm import near_dedup  # it builds on this module
+
+        return near_dedup.deduplicate(docs, id_col, text, words or near_dedup.SHINGLE_WORDS, least)
     digest = lambda body: F.sha2(body, 256)
     stay = _classes(_rows(docs, id_col, text, digest)).select("first").distinct()
     return shared.one_of_each(docs, stay.select("first.id", "first.digest"), id_col, text)

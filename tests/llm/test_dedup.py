@@ -93,6 +93,33 @@ def test_bit_sliced_comparison_matches_brute_force():
         assert all(forest.find(v) == want.find(v) for v in values)
 
 
+@pytest.mark.parametrize("words, radius", [(1, 3), (1, 0), (2, 9), (4, 80)])
+def test_bit_sliced_distances_of_any_width_and_radius(words, radius):
+    rng = np.random.default_rng(words)
+    base = rng.integers(0, 1 << 63, (20, words), np.uint64)
+    values = np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, (20, words), np.uint64)) * rng.integers(0, 2, (20, words)).astype(np.uint64) for _ in range(9))])
+    for _ in range(radius // 2):
+        values[rng.integers(0, 200, 60), rng.integers(0, words, 60)] ^= np.uint64(1) << rng.integers(0, 64, 60, np.uint64)
+    bits = np.unpackbits(values.view(np.uint8).reshape(200, -1), axis=1)
+    far = (bits[:, None, :] != bits[None, :, :]).sum(axis=2)
+    i, j = simhash.Sliced(values, radius).near(values)
+    assert set(zip(i.tolist(), j.tolist())) == set(zip(*map(list, np.nonzero(far <= radius)))) and (far > radius).any()
+
+
+def test_wide_fingerprints_keep_what_is_similar_near():
+    rng = np.random.default_rng(2)
+    for n in (4, 9, 40, 400):
+        far = []
+        for _ in range(300):
+            common = rng.integers(0, 1 << 63, n, np.uint64)
+            m = max(1, round(n * 0.25)) if n == 4 else round(n / 8)
+            a = np.concatenate([common, rng.integers(0, 1 << 63, m if n > 4 else 0, np.uint64)])
+            b = np.concatenate([common, rng.integers(0, 1 << 63, m, np.uint64)])  # a similarity of 0.8
+            x = simhash.wide(a, near_dedup.WORDS) ^ simhash.wide(b, near_dedup.WORDS)
+            far.append(sum(int(v).bit_count() for v in x))
+        assert max(far) <= near_dedup.RADIUS - 5
+
+
 @pytest.mark.parametrize("tile", [4096, 3])
 def test_links_and_components_match_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(simhash, "TILE", tile)
@@ -239,7 +266,7 @@ def test_near_copies_of_similarity_080_to_095_go_and_others_stay(docs, monkeypat
     base = [f"b{i}" for i in range(200)]
     rows += [(1000 + i, " ".join([*base, *(f"e{i}x{j}" for j in range(5))])) for i in range(60)]
     want.add(1000)
-    got = near_dedup.deduplicate(docs(rows))
+    got = simhash.deduplicate(docs(rows), words=5, least=0.8)
     assert {r["doc_id"] for r in got.collect()} == want
     lost = [b for (a, x), (b, y) in zip(rows[:240:2], rows[1:240:2]) if (brute_fingerprint(x) ^ brute_fingerprint(y)).bit_count() > 3 and b not in want]
     assert len(lost) > 20  # copies that three bits of three-word shingles leave
