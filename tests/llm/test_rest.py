@@ -192,10 +192,48 @@ def test_likeness():
     assert syncmers.likeness(f(""), f("")) == 1 and syncmers.likeness(f(""), f("a")) == 0 and len(f("ab")) == 1
 
 
+def common_substring(a, b):
+    best, before = 0, [0] * (len(b) + 1)
+    for x in a:
+        now = [0] * (len(b) + 1)
+        for j, y in enumerate(b):
+            if x == y:
+                now[j + 1] = before[j] + 1
+                best = max(best, now[j + 1])
+        before = now
+    return best
+
+
+def test_passages_are_common_and_miss_little_of_the_longest():
+    rnd = random.Random(6)
+    make = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    at = lambda t: syncmers.anchors(syncmers._code_points(t))
+    for n in (0, 10, 40, 60, 120):
+        for _ in range(8):
+            passage = make(n)
+            a, b = make(rnd.randint(0, 150)) + passage + make(150), make(rnd.randint(0, 150)) + passage + make(rnd.randint(0, 90))
+            found = syncmers.passages(at(a), at(b))
+            assert all(a[x : x + size] == b[y : y + size] for x, y, size in found.tolist())
+            most = common_substring(a, b)
+            assert syncmers.longest(found) <= most and (most < 32 or syncmers.longest(found) >= most - 2 * (syncmers.K - syncmers.S))
+    text = make(300)
+    assert syncmers.longest(syncmers.passages(at(text * 3), at(text * 3))) >= 900 - 16
+    assert syncmers.longest(syncmers.passages(at(""), at(text))) == 0
+
+
 def test_each_document_meets_the_next(docs, odd):
     rows = [r for r in odd if r[0] not in (None, 5)] + [(i, f"text {i} " * i) for i in range(10, 60)]
     out = {r["doc_id"]: r for r in syncmers.compare_with_edited(docs(rows)).collect()}
     ordered = sorted((i, t or "") for i, t in rows)
+    repeated = [(i, t or "") for i, t in odd]
+    order = lambda r: (r[0] is not None, r[0] or 0)
+    got = syncmers.compare_with_edited(docs(odd)).collect()
+    for i, t in repeated:  # ids that repeat or are null: each row meets one that can follow it
+        later = [r for r in repeated if order(r) >= order((i, t))]
+        own = [r for r in got if r["doc_id"] == i and r["n_chars"] == len(t)]
+        half = len(t) // 2
+        assert own and any(r["edited_text"] == t[: len(t) - half] + x[:half] for r in own for _, x in [*later, min(repeated, key=order)])
+    assert len(got) == len(odd)
     assert len(out) == len(ordered)
     for k, (i, t) in enumerate(ordered):
         following = ordered[(k + 1) % len(ordered)][1]
