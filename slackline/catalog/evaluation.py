@@ -18,7 +18,9 @@ _DONE = "u_phi IS NOT NULL AND v_phi IS NOT NULL"
 _RENORM = f"""{EDGES_SQL}, renorm AS (SELECT *, CASE WHEN v_phi IS NOT NULL THEN list_min(list_transform(range({POINTS}), lambda a: v_wf[a + 1] + d_min + v_wf[(a + {POINTS // 2}) % {POINTS} + 1] + d_min)) END AS v_renorm_phi FROM edges)"""
 
 
-def _score(hit: str, among: str, name: str) -> str:
+def _score(hit: str, among: str, name: str, digits: int | None = None) -> str:
+    if digits is not None:
+        return f"count(*) FILTER ({among} AND {hit}) AS {name}, round_even(1 - CAST(count(*) FILTER ({among} AND {hit}) AS DOUBLE) / nullif(count(*) FILTER ({among}), 0), {digits}) AS {name}_score"
     return f"count(*) FILTER ({among} AND {hit}) AS {name}, 1 - CAST(count(*) FILTER ({among} AND {hit}) AS DOUBLE) / nullif(count(*) FILTER ({among}), 0) AS {name}_score"
 
 
@@ -38,11 +40,11 @@ def join_renorm(spark, sf_dir):
     return _renormalized(spark, sf_dir).select("edge_id", "v_renorm_phi")
 
 
-@query("WITH done AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM done)")
+@query("WITH done AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND value > 100) SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM done)")
 def join_frontier_anti(spark, sf_dir):
     """New keys that are in no visited set."""
-    e = bindings.read(spark, sf_dir, "events").select("user_id", "event_type")
-    return e.select("user_id").distinct().join(e.where("event_type = 'purchase'").select("user_id"), "user_id", "left_anti")
+    e = bindings.read(spark, sf_dir, "events").select("user_id", "event_type", "value")
+    return e.select("user_id").distinct().join(e.where("event_type = 'error' and value > 100").select("user_id"), "user_id", "left_anti")
 
 
 @query(f"WITH {EDGES_SQL}, short AS (SELECT u, v FROM edges WHERE {_SLACK} < 0) SELECT id, bellman FROM nodes WHERE id IN (SELECT u FROM short UNION SELECT v FROM short)")
@@ -150,11 +152,12 @@ def delta_fingerprint(spark, sf_dir):
     return evaluate.fingerprint(bindings.edges(spark, sf_dir))
 
 
-@query(f"""WITH {_RENORM} SELECT {_score(f'{_SLACK} < 0', _DONE, 'violations_k')}, {_score('v_phi - u_phi - ext < 0', f'{_DONE} AND d_min = 0', 'violations_dmin_0')},
-{_score('v_renorm_phi - u_phi - ext < 0', 'u_phi IS NOT NULL AND v_renorm_phi IS NOT NULL', 'violations_renorm')}, {_COVERAGE} FROM renorm""")
+@query(f"""WITH {_RENORM}, whole AS (SELECT {_COVERAGE} FROM renorm) SELECT {_score(f'{_SLACK} < 0', _DONE, 'violations_k')}, {_score('v_phi - u_phi - ext < 0', f'{_DONE} AND d_min = 0', 'violations_dmin_0', 4)},
+{_score('v_renorm_phi - u_phi - ext < 0', 'u_phi IS NOT NULL AND v_renorm_phi IS NOT NULL', 'violations_renorm', 4)}, max(total_edges) AS total_edges, max(unprocessed_normalized_edges) AS unprocessed_normalized_edges,
+round_even(max(processed_normalized_edges_score), 4) AS processed_normalized_edges_score, max(unprocessed_renormalized_edges) AS unprocessed_renormalized_edges, round_even(max(processed_renormalized_edges_score), 4) AS processed_renormalized_edges_score FROM renorm, whole""")
 def report(spark, sf_dir):
-    """Several metrics in one aggregation over one pass."""
-    got = evaluate.report(_renormalized(spark, sf_dir), SERVERS, POINTS, RHO)
+    """Several metrics in one aggregation over one pass, rounded to four digits but for the first score."""
+    got = evaluate.report(_renormalized(spark, sf_dir), SERVERS, POINTS, RHO, digits=4)
     return got.select("violations_k", "violations_k_score", "violations_dmin_0", "violations_dmin_0_score", "violations_renorm", "violations_renorm_score", "total_edges", "unprocessed_normalized_edges", "processed_normalized_edges_score", "unprocessed_renormalized_edges", "processed_renormalized_edges_score")
 
 
@@ -237,3 +240,24 @@ def exec_time_stats(spark, sf_dir):
 @query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 20")
 def top_attempts(spark, sf_dir):
     return bindings.read(spark, sf_dir, "events").select("event_id", "value").orderBy(F.desc("value"), "event_id").limit(20)
+
+
+@query("""SELECT event_id, CAST(json_object('id', event_id, 'kind', event_type, 'user', user_id) AS VARCHAR) AS packed, CAST(json_extract(props, '$.k') AS BIGINT) AS k, strlen(json_object('id', event_id, 'kind', event_type, 'user', user_id)) AS bytes FROM events""")
+def json_pack(spark, sf_dir):
+    """A record as JSON with sorted names, its size in bytes, and a value read out of other JSON."""
+    packed = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("user_id").alias("user")))
+    e = bindings.read(spark, sf_dir, "events").select("event_id", packed.alias("packed"), F.from_json("props", "k long")["k"].alias("k"))
+    return e.withColumn("bytes", F.octet_length("packed").cast("long"))
+
+
+_FENCED = "concat('Here: ```json\n', props, '\n``` and ```', event_type, '``` done')"
+
+
+@query(f"""SELECT event_id, regexp_extract({_FENCED}, '```(?:json)?[ \\n]*([{{].*?[}}])[ \\n]*```', 1) AS code, array_to_string(list_transform(string_split(concat(' ', event_type, ' ; ', user_id, ';x '), ';'), lambda x: trim(x)), '|') AS parts, right(concat(event_type, '/', event_id), 6) AS tail FROM events""")
+def text_parts(spark, sf_dir):
+    """The first fenced block of an answer, a list that is split, stripped and joined again, and the tail of a log."""
+    fenced = F.concat(F.lit("Here: ```json\n"), "props", F.lit("\n``` and ```"), "event_type", F.lit("``` done"))
+    parts = F.split(F.concat(F.lit(" "), "event_type", F.lit(" ; "), F.col("user_id").cast("string"), F.lit(";x ")), ";")
+    tail = F.expr("right(concat(event_type, '/', event_id), 6)")
+    e = bindings.read(spark, sf_dir, "events")
+    return e.select("event_id", F.regexp_extract(fenced, r"```(?:json)?\s*(\{.*?\})\s*```", 1).alias("code"), F.array_join(F.transform(parts, lambda x: F.trim(x)), "|").alias("parts"), tail.alias("tail"))

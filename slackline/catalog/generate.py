@@ -249,17 +249,22 @@ def support_prune(spark, sf_dir):
     return workfunctions.undominated(every, K, _distance).select("ord", "value")
 
 
-@query()
+_DENSE = f"""{_MOVES}, {_SUPPORT_SQL}, dense AS (SELECT c.idx, min(s.value + {_matching('s.cfg', 'c.cfg')}) AS value FROM configs c, support s GROUP BY c.idx), served AS ({_update_sql('dense', '4')})"""
+
+
+@query(f"WITH {_DENSE} SELECT CAST(idx AS BIGINT) AS idx, CAST(value AS BIGINT) AS value FROM served")
 def support_update(spark, sf_dir):
-    """The sparse work function after a request, as a dense one: held against the dense update in the tests."""
+    """The sparse work function after a request, as a dense one; the SQL updates the dense one."""
     after = workfunctions.update_support(_support(spark), 4, list(range(M)), K, _distance)
     return workfunctions.dense(after, configs.multisets(spark, M, K), K, _distance)
 
 
-@query()
+@query(f"""WITH {_DENSE}, back AS (SELECT idx, list_sort(list_transform(range(3), lambda j: CASE WHEN j + 1 = list_position(cfg, 1) THEN 4 ELSE cfg[j + 1] END)) AS cfg FROM configs WHERE list_contains(cfg, 1)),
+carried AS (SELECT b.idx, value + 3 AS value FROM back b JOIN configs c ON c.cfg = b.cfg JOIN served s ON s.idx = c.idx) SELECT CAST(idx AS BIGINT) AS idx, CAST(value AS BIGINT) AS value FROM ({_update_sql('carried', '1')})""")
 def support_taxi(spark, sf_dir):
+    """The sparse work function after a ride from 4 to 1, as a dense one; the SQL carries the dense one through preimages."""
     after = workfunctions.ride_support(_support(spark), 4, 1, list(range(M)), K, _distance, 3)
-    return after.select(arrays.joined(F.col("cfg")).alias("cfg"), "value")
+    return workfunctions.dense(after, configs.multisets(spark, M, K), K, _distance)
 
 
 @query("SELECT event_id, (event_id % 8 + 4) % 8 AS opposite FROM events")

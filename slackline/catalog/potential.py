@@ -16,61 +16,61 @@ def _circle() -> Context:
     return Context.of(1, metrics.circle_matrix(POINTS))
 
 
-def _pairs(coefs=None, step: int = 8) -> potentials.Canonical:
+def pairs(coefs=None, step: int = 8) -> potentials.Canonical:
     """Two places on the circle, w(a) + w(antipode of b) - coef * d(a, b); every ``step``-th point can be one."""
     return potentials.Canonical(_circle(), 2, [[1], [-2]], coefs, support=list(range(0, POINTS, step)))
 
 
 _D = f"least(abs(a - b), {POINTS} - abs(a - b))"
-_LATENT = f"latent AS (SELECT x * 8 + y AS a_id, x * 8 AS a, y * 8 AS b FROM range(8) p(x), range(8) q(y)), priced AS (SELECT a_id, a, b, (b + {POINTS // 2}) % {POINTS} AS opposite, {_D} AS d FROM latent)"
+LATENT_SQL = f"latent AS (SELECT x * 8 + y AS a_id, x * 8 AS a, y * 8 AS b FROM range(8) p(x), range(8) q(y)), priced AS (SELECT a_id, a, b, (b + {POINTS // 2}) % {POINTS} AS opposite, {_D} AS d FROM latent)"
 
 
-@query(f"WITH {_LATENT} SELECT a_id, a AS first, opposite AS second FROM priced")
+@query(f"WITH {LATENT_SQL} SELECT a_id, a AS first, opposite AS second FROM priced")
 def latent_index(spark, sf_dir):
-    return _pairs().latents(spark).select("a_id", F.col("gathers")[0].alias("first"), F.col("gathers")[1].alias("second"))
+    return pairs().latents(spark).select("a_id", F.col("gathers")[0].alias("first"), F.col("gathers")[1].alias("second"))
 
 
-@query(f"WITH {_LATENT} SELECT a_id, CAST(2 * d AS BIGINT) AS penalty FROM priced")
+@query(f"WITH {LATENT_SQL} SELECT a_id, CAST(2 * d AS BIGINT) AS penalty FROM priced")
 def latent_penalty(spark, sf_dir):
-    return _pairs([2]).latents(spark).select("a_id", "penalty")
+    return pairs([2]).latents(spark).select("a_id", "penalty")
 
 
-@query(f"WITH {NODES_SQL}, {_LATENT} SELECT id, a_id, CAST(wf[a + 1] + wf[opposite + 1] - 2 * d AS BIGINT) AS value FROM nodes, priced")
+@query(f"WITH {NODES_SQL}, {LATENT_SQL} SELECT id, a_id, CAST(wf[a + 1] + wf[opposite + 1] - 2 * d AS BIGINT) AS value FROM nodes, priced")
 def latent_values(spark, sf_dir):
     """The value of every assignment at every node."""
-    p = _pairs([2])
+    p = pairs([2])
     one = F.array(*(F.struct(F.lit(i).cast("long").alias("a_id"), F.lit(int(g[0])).alias("x"), F.lit(int(g[1])).alias("y"), F.lit(int(c)).alias("c")) for i, (g, c) in enumerate(zip(p.gathers.T, p.penalties()))))
     at = bindings.nodes(spark, sf_dir).select("id", "wf", F.explode(one).alias("l"))
     return at.select("id", "l.a_id", (F.element_at("wf", F.col("l.x") + 1) + F.element_at("wf", F.col("l.y") + 1) - F.col("l.c")).alias("value"))
 
 
-_BEST = f"WITH {NODES_SQL}, {_LATENT}, v AS (SELECT id, a_id, wf[a + 1] + wf[opposite + 1] - 2 * d AS value FROM nodes, priced) SELECT id, CAST(min(value) AS BIGINT) AS value, min((value, a_id))[2] AS a_id FROM v GROUP BY id"
+_BEST = f"WITH {NODES_SQL}, {LATENT_SQL}, v AS (SELECT id, a_id, wf[a + 1] + wf[opposite + 1] - 2 * d AS value FROM nodes, priced) SELECT id, CAST(min(value) AS BIGINT) AS value, min((value, a_id))[2] AS a_id FROM v GROUP BY id"
 
 
 @query(_BEST)
 def canonical_potential(spark, sf_dir):
     """As one Catalyst expression over the latent table."""
-    return _pairs([2]).native(bindings.nodes(spark, sf_dir).select("id", "wf")).select("id", "value", "a_id")
+    return pairs([2]).native(bindings.nodes(spark, sf_dir).select("id", "wf")).select("id", "value", "a_id")
 
 
 @query(_BEST)
 def canonical_potential_arrow(spark, sf_dir):
     """The same in Arrow batches, once for each distinct work function."""
-    n = potentials.distinct(bindings.nodes(spark, sf_dir).select("id", "wf"), _pairs([2]).arrow())
+    n = potentials.distinct(bindings.nodes(spark, sf_dir).select("id", "wf"), pairs([2]).arrow())
     return n.select("id", "phi.value", "phi.a_id")
 
 
-@query(f"WITH {NODES_SQL}, {_LATENT} SELECT id, c AS candidate_id, CAST(min(wf[a + 1] + wf[opposite + 1] - (c - 2) * d) AS BIGINT) AS value FROM nodes, priced, range(5) t(c) GROUP BY ALL")
+@query(f"WITH {NODES_SQL}, {LATENT_SQL} SELECT id, c AS candidate_id, CAST(min(wf[a + 1] + wf[opposite + 1] - (c - 2) * d) AS BIGINT) AS value FROM nodes, priced, range(5) t(c) GROUP BY ALL")
 def candidate_scores(spark, sf_dir):
     """Five vectors of coefficients on one penalty-free pass."""
     c = spark.createDataFrame([(i, [i - 2]) for i in range(5)], "candidate_id long, coefs array<long>")
-    return _pairs().scores(bindings.nodes(spark, sf_dir), c)
+    return pairs().scores(bindings.nodes(spark, sf_dir), c)
 
 
 @query()
 def canonical_potential_full(spark, sf_dir):
     """canonical_potential over the whole circle: all 4096 assignments, in Arrow batches."""
-    n = potentials.distinct(bindings.nodes(spark, sf_dir).select("id", "wf"), _pairs([2], step=1).arrow())
+    n = potentials.distinct(bindings.nodes(spark, sf_dir).select("id", "wf"), pairs([2], step=1).arrow())
     return n.select("id", "phi.value", "phi.a_id")
 
 

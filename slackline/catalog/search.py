@@ -6,11 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from slackline.catalog.registry import query
+from slackline.catalog.potential import LATENT_SQL, pairs
 from slackline.functions import arrays
-from slackline.operators import evaluate, ranking
+from slackline.operators import ranking
 from slackline.operators import search as ops
+from slackline.plans import scratch
+from slackline.plans import search as plan
 from slackline.sources import bindings
-from slackline.sources.bindings import CANDIDATES_SQL, EDGES_SQL, LINKS_SQL, POINTS
+from slackline.sources.bindings import CANDIDATES_SQL, EDGES_SQL, LINKS_SQL, NODES_SQL
 
 _REWARD = """(CASE WHEN stage_a = 0 THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN stage_b <= 5 THEN 2.0::DOUBLE ELSE 0 END
  + CASE WHEN stage_c IS NOT NULL THEN greatest(0.5::DOUBLE, 50.0::DOUBLE / stage_c) ELSE 0 END + CASE WHEN stage_d IS NOT NULL THEN greatest(1.0::DOUBLE, 200.0::DOUBLE / stage_d) ELSE 0 END)"""
@@ -46,43 +49,88 @@ def weighted_choice(spark, sf_dir):
     return ops.weighted_choice(weights, draws)
 
 
-# Stages score a batch of candidates (multiples of the distance between an edge's places) on every edge.
+_RECIPES = ", ".join(
+    f"({i}, '{name}', {list(r.fill)}::BIGINT[], {r.least}, {r.most}, ["
+    + ", ".join(f"{{'upto': {int(round(sum(c.share for c in r.changes[: j + 1]) * arrays.MODULUS))}, 'keep': {c.keep}, 'add': {list(c.add)}, 'bound': {c.bound}}}" for j, c in enumerate(r.changes))
+    + "])"
+    for i, (name, r) in enumerate(ops.RECIPES.items())
+)
+_H = lambda salt, i: f"({arrays.portable_hash_sql(f'candidate_id * {ops.PLACES} + {i}', salt)})"
+_OF = lambda values, salt, i: f"{values}[{_H(salt, i)} * len({values}) // {arrays.MODULUS} + 1]"
+_C = f"list_filter(changes, lambda c: {_H(4, 'i')} < c.upto)[1]"
 
-_SCALES = (0, 1, 2, 5)
-_STAGE = f"""{EDGES_SQL}, tried AS (SELECT s.scale AS candidate_id, edge_id, d_min, coalesce(v_phi - u_phi + 6 * d_min - ext + s.scale * 10, 0) < 0 AS hit, {arrays.portable_hash_sql('edge_id', 42)} AS h
- FROM edges, (SELECT unnest({list(_SCALES)}) AS scale) s)"""
+
+@query(f"""WITH {CANDIDATES_SQL}, recipes AS (SELECT * FROM (VALUES {_RECIPES}) t(place, family, fill, least, most, changes)),
+d AS (SELECT candidate_id, r.family, coefs, fill, changes, list_transform(list_sort(list_transform(range(1, 6), lambda i: [{_H(1, 'i')}, i]))[1:least + {_H(2, '0')} * (most - least + 1) // {arrays.MODULUS}], lambda x: x[2]) AS places FROM candidates c JOIN recipes r ON r.place = c.family),
+s AS (SELECT *, list_transform(range(6), lambda i: CASE WHEN len(fill) > 0 THEN {_OF('fill', 3, 'i')} ELSE coefs[i + 1] END) AS start FROM d)
+SELECT candidate_id AS draw_id, family, array_to_string(list_transform(range(6), lambda i: CASE WHEN i < 1 THEN 0 WHEN list_contains(places, i) THEN
+  greatest(-{_C}.bound, least({_C}.bound, {_C}.keep * start[i + 1] + {_C}.add[{_H(5, 'i')} * len({_C}.add) // {arrays.MODULUS} + 1])) ELSE start[i + 1] END), ',') AS coefs FROM s""")
+def mutations(spark, sf_dir):
+    """A new vector from every candidate, by the recipe of its family; the first place stays 0."""
+    names = F.array(*map(F.lit, ops.RECIPES))
+    draws = bindings.candidates(spark, sf_dir).select(F.col("candidate_id").alias("draw_id"), F.element_at(names, (F.col("family") + 1).cast("int")).alias("family"), "coefs")
+    return ops.mutated(draws, frozen=1).select("draw_id", "family", arrays.joined(F.col("coefs")).alias("coefs"))
+
+
+_L0 = "len(list_filter(coefs, lambda c: c <> 0))"
+_L1 = "list_sum(list_transform(coefs, lambda c: abs(c)))"
+_POOLS = " UNION ALL ".join(
+    f"(SELECT '{f}' AS family, list_sort(list(candidate_id)) AS pool FROM (SELECT candidate_id FROM candidates WHERE {w} ORDER BY {o}, {_L0}, {_L1}, coefs, candidate_id LIMIT {ops.POOLS[f][0]}))"
+    for f, w, o in (
+        ("mutate_full", "stage_d IS NOT NULL", "stage_d, stage_c, stage_b"),
+        ("mutate_timed", "stage_c IS NOT NULL", "CASE WHEN stage_d IS NOT NULL THEN 0 ELSE 1 END, coalesce(stage_d, stage_c), CASE WHEN stage_d IS NOT NULL THEN stage_c ELSE stage_b END, CASE WHEN stage_d IS NOT NULL THEN stage_b ELSE 0 END"),
+    )
+)
+
+
+@query(f"""WITH {CANDIDATES_SQL}, pools AS ({_POOLS}), draws AS (SELECT event_id AS draw_id, CASE event_id % 3 WHEN 0 THEN 'mutate_full' WHEN 1 THEN 'mutate_timed' ELSE 'seed_sparse' END AS family FROM events),
+c AS (SELECT draw_id, d.family, pool[{arrays.portable_hash_sql('draw_id', 6)} * len(pool) // {arrays.MODULUS} + 1] AS parent_id FROM draws d LEFT JOIN pools p ON p.family = d.family AND len(pool) > 0)
+SELECT draw_id, c.family, c.parent_id, coalesce(array_to_string(coefs, ','), '0,0,0,0,0,0') AS coefs FROM c LEFT JOIN candidates k ON k.candidate_id = c.parent_id""")
+def parent_pools(spark, sf_dir):
+    """A parent for every draw, out of the best of its family's stage; seeds begin with zeros."""
+    family = F.when(F.col("event_id") % 3 == 0, "mutate_full").when(F.col("event_id") % 3 == 1, "mutate_timed").otherwise("seed_sparse")
+    draws = bindings.read(spark, sf_dir, "events").select(F.col("event_id").alias("draw_id"), family.alias("family"))
+    return ops.parents(bindings.candidates(spark, sf_dir), draws, 6).select("draw_id", "family", "parent_id", arrays.joined(F.col("coefs")).alias("coefs"))
+
+
+# Stages score five vectors of coefficients on the edges, all from one penalty-free pass over the nodes.
+
+_COEFS = {i: [i - 2] for i in range(5)}
+_STAGE = f"""{EDGES_SQL}, {LATENT_SQL}, scores AS (SELECT id, c, min(wf[a + 1] + wf[opposite + 1] - (c - 2) * d) AS p FROM nodes, priced, range({len(_COEFS)}) t(c) GROUP BY ALL),
+tried AS (SELECT su.c AS candidate_id, edge_id, d_min, e.u, sv.p - su.p + 2 * d_min - ext < 0 AS hit, {arrays.portable_hash_sql('edge_id', 42)} AS h FROM edges e JOIN scores su ON su.id = e.u JOIN scores sv ON sv.id = e.v AND sv.c = su.c)"""
 
 
 def _tried(spark, sf_dir):
-    e = bindings.edges(spark, sf_dir).select("edge_id", "d_min", evaluate.slack(5).alias("slack"))
-    every = e.withColumn("candidate_id", F.explode(F.array(*(F.lit(s).cast("long") for s in _SCALES))))
-    hit = F.coalesce(F.col("slack") + F.col("candidate_id") * 10, F.lit(0)) < 0
-    return every.select("candidate_id", "edge_id", "d_min", hit.alias("hit"))
+    """candidate_id, edge_id, d_min, from, hit: written, since stages read it more than once."""
+    edges = bindings.edges(spark, sf_dir).select("edge_id", "from", "to", "d_min", (2 * F.col("d_min") - F.col("ext")).alias("weight"))
+    return scratch.table(plan.hits(pairs(), bindings.nodes(spark, sf_dir).select("id", "wf"), edges, _COEFS).select("candidate_id", "edge_id", "d_min", "from", "hit"), "tried")
 
 
-def _stage(where: str) -> str:
-    return f"WITH {_STAGE} SELECT CAST(candidate_id AS BIGINT) AS candidate_id, count(*) AS edges, count(*) FILTER (hit) AS violations, count(*) FILTER (hit) <= 5 AS passed FROM tried WHERE {where} GROUP BY 1"
+def _stage(where: str, most: int, cutoff: str = "count(*) FILTER (hit)") -> str:
+    return f"WITH {_STAGE} SELECT candidate_id, count(*) AS edges, {cutoff} AS violations, count(*) FILTER (hit) <= {most} AS passed FROM tried WHERE {where} GROUP BY 1"
 
 
-def _count(rows):
+def _count(rows, most: int, cutoff: int | None = None):
     hits = F.count_if("hit")
-    return rows.groupBy("candidate_id").agg(F.count("*").alias("edges"), hits.alias("violations"), (hits <= 5).alias("passed"))
+    shown = hits if cutoff is None else F.least(hits, F.lit(cutoff + 1).cast("long"))
+    return rows.groupBy("candidate_id").agg(F.count("*").alias("edges"), shown.alias("violations"), (hits <= most).alias("passed"))
 
 
-@query(_stage("d_min = 0"))
+@query(_stage("d_min = 0", 0))
 def stage_a(spark, sf_dir):
-    """The cheap first look: edges that don't move the optimum."""
-    return _count(_tried(spark, sf_dir).where("d_min = 0"))
+    """The cheap first look: a candidate passes if none of the edges that don't move the optimum is violated."""
+    return _count(_tried(spark, sf_dir).where("d_min = 0"), ops.MOST["stage_a"])
 
 
-@query(_stage("edge_id IN (SELECT edge_id FROM edges WHERE ext > 700)"))
+@query(_stage("edge_id IN (SELECT edge_id FROM tried WHERE candidate_id < 3 AND hit GROUP BY 1 ORDER BY count(*) DESC, edge_id LIMIT 1024)", 5, "least(count(*) FILTER (hit), 6)"))
 def stage_b(spark, sf_dir):
-    """An adaptive subset of edges, by a semi join."""
-    hard = bindings.edges(spark, sf_dir).where("ext > 700").select("edge_id")
-    return _count(_tried(spark, sf_dir).join(hard, "edge_id", "left_semi"))
+    """An adaptive subset: the edges that most of the first three candidates violate. Counts stop past the limit."""
+    tried = _tried(spark, sf_dir)
+    hard = ranking.top(tried.where("candidate_id < 3 and hit").groupBy("edge_id").agg(F.count("*").alias("n")), 1024, F.desc("n"), F.col("edge_id"))
+    return _count(tried.join(F.broadcast(hard.select("edge_id")), "edge_id", "left_semi"), ops.MOST["stage_b"], ops.MOST["stage_b"])  # 1024 rows
 
 
-@query(f"WITH {_STAGE}, n AS (SELECT count(*) AS n FROM edges) SELECT CAST(candidate_id AS BIGINT) AS candidate_id, round(count(*) FILTER (hit) / (CAST(count(*) AS DOUBLE) / max(n)), 6) AS estimate FROM tried, n WHERE h < {int(0.05 * arrays.MODULUS)} GROUP BY 1")
+@query(f"WITH {_STAGE}, n AS (SELECT count(*) AS n FROM edges) SELECT candidate_id, round(count(*) FILTER (hit) / (CAST(count(*) AS DOUBLE) / max(n)), 6) AS estimate FROM tried, n WHERE h < {int(0.05 * arrays.MODULUS)} GROUP BY 1")
 def stage_c(spark, sf_dir):
     """Violations in a sample of 5 %, over the share looked at."""
     tried = _tried(spark, sf_dir)
@@ -91,22 +139,30 @@ def stage_c(spark, sf_dir):
     return sample.groupBy("candidate_id").agg(F.round(ops.timed_estimate(F.count_if("hit"), F.count("*") / F.max("n")), 6).alias("estimate"))
 
 
-@query(_stage("true"))
+@query(_stage("true", 5))
 def stage_d(spark, sf_dir):
-    return _count(_tried(spark, sf_dir))
+    """All edges."""
+    return _count(_tried(spark, sf_dir), ops.MOST["stage_b"])
 
 
-@query(f"WITH {_STAGE} SELECT CAST(candidate_id AS BIGINT) AS candidate_id, label AS instance, count(*) FILTER (hit) AS violations FROM tried JOIN edges USING (edge_id) JOIN nodes ON id = u GROUP BY ALL")
+@query(f"WITH {_STAGE} SELECT candidate_id, label AS instance, count(*) FILTER (hit) AS violations FROM tried JOIN nodes ON id = u GROUP BY ALL")
 def final_eval(spark, sf_dir):
-    """Candidates by instances."""
-    at = bindings.links(spark, sf_dir).select("edge_id", F.col("from").alias("id")).join(bindings.nodes(spark, sf_dir).select("id", F.col("label").alias("instance")), "id")
-    return _tried(spark, sf_dir).join(at, "edge_id").groupBy("candidate_id", "instance").agg(F.count_if("hit").alias("violations"))
+    """Candidates by instances, which are the labels of edges' first nodes."""
+    at = bindings.nodes(spark, sf_dir).select(F.col("id").alias("from"), F.col("label").alias("instance"))
+    return _tried(spark, sf_dir).join(at, "from").groupBy("candidate_id", "instance").agg(F.count_if("hit").alias("violations"))
 
 
-@query("SELECT user_id AS edge_id, max(event_id) AS last_seen, count(*) AS frequent, count(*) FILTER (event_type = 'error') AS disagreement, count(*) FILTER (value > 100) AS frontier FROM events GROUP BY 1")
+@query(f"""WITH {_STAGE}, history AS (SELECT candidate_id % 2 AS step, candidate_id, edge_id FROM tried WHERE hit),
+best AS (SELECT candidate_id FROM history GROUP BY 1 ORDER BY count(*), candidate_id LIMIT 1), l AS (SELECT max(step) AS last FROM history), held AS (SELECT count(DISTINCT candidate_id) AS held FROM history, l WHERE step = last),
+seen AS (SELECT edge_id, max(step) AS recent, count(*) AS frequent, count(*) FILTER (step = last) AS now FROM history, l GROUP BY 1)
+SELECT pool, edge_id, CAST(score AS DOUBLE) AS score FROM (
+ SELECT 'core' AS pool, edge_id, -({arrays.portable_hash_sql('edge_id', 9)}) AS score FROM edges UNION ALL SELECT DISTINCT 'frontier', edge_id, 1 FROM history WHERE candidate_id IN (FROM best)
+ UNION ALL SELECT 'recent', edge_id, recent FROM seen UNION ALL SELECT 'frequent', edge_id, frequent FROM seen UNION ALL SELECT 'disagreement', edge_id, least(now, held - now) FROM seen, held)""")
 def edge_buckets(spark, sf_dir):
-    e = bindings.read(spark, sf_dir, "events")
-    return e.groupBy(F.col("user_id").alias("edge_id")).agg(F.max("event_id").alias("last_seen"), F.count("*").alias("frequent"), F.count_if(F.col("event_type") == "error").alias("disagreement"), F.count_if(F.col("value") > 100).alias("frontier"))
+    """Scores of violated edges by bucket, for the edge cache of a next round."""
+    tried = _tried(spark, sf_dir)
+    history = tried.where("hit").select((F.col("candidate_id") % 2).alias("step"), "candidate_id", "edge_id")
+    return ops.edge_pools(history, tried.where("candidate_id = 0").select("edge_id"))
 
 
 def _funnel_sql(group: str) -> str:
@@ -130,12 +186,22 @@ def family_summary(spark, sf_dir):
     return _funnel(["family"], bindings.candidates(spark, sf_dir))
 
 
-@query("SELECT o_orderpriority AS stage, count(*) AS submitted, count(*) FILTER (o_orderstatus = 'F') AS completed, round(avg(o_totalprice), 4) AS mean, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.9), 4) AS p90, round(quantile_cont(o_totalprice, 0.99), 4) AS p99 FROM orders GROUP BY 1")
+_QUANTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+_OVER = lambda c: ", ".join(f"round(quantile_cont({c}, {p}), 4) AS {c}_{n}" for n, p in _QUANTILES.items())
+
+
+@query(f"""WITH e AS (SELECT event_type AS stage, event_type <> 'error' AS done, value AS duration, epoch_us(ts) AS moment, CAST(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DOUBLE) / 1000000 AS wait FROM events)
+SELECT stage, count(*) AS submitted, count(*) FILTER (done) AS completed, round(avg(duration), 4) AS duration_mean, {_OVER('duration')}, {_OVER('wait')}, round(count(*) / (CAST(max(moment) - min(moment) AS DOUBLE) / 1000000), 9) AS throughput FROM e GROUP BY 1""")
 def stage_stats(spark, sf_dir):
-    """Counts, mean and percentiles by stage; an order's priority stands for the stage, its price for the time."""
-    o = bindings.read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("stage"))
-    got = o.agg(F.count("*").alias("submitted"), F.count_if(F.col("o_orderstatus") == "F").alias("completed"), F.avg("o_totalprice").alias("mean"), *ranking.percentiles("o_totalprice", {"p50": 0.5, "p90": 0.9, "p99": 0.99}))
-    return got.select("stage", "submitted", "completed", *(F.round(c, 4).alias(c) for c in ("mean", "p50", "p90", "p99")))
+    """Counts, durations, waits and tasks a second by stage; an event's kind stands for the stage, its value for the time
+    that it took, and the time since the user's event before for its wait."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = bindings.read(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), (F.col("event_type") != "error").alias("done"), F.col("value").alias("duration"), at.alias("at"), ((at - F.lag(at).over(order)) / 1e6).alias("wait"))
+    over = lambda c: [x for x in ranking.percentiles(c, {f"{c}_{n}": p for n, p in _QUANTILES.items()})]
+    got = e.groupBy("stage").agg(F.count("*").alias("submitted"), F.count_if("done").alias("completed"), F.avg("duration").alias("duration_mean"), *over("duration"), *over("wait"), (F.count("*") / ((F.max("at") - F.min("at")) / 1e6)).alias("throughput"))
+    rounded = [F.round(c, 4).alias(c) for c in got.columns if c.startswith(("duration", "wait"))]
+    return got.select("stage", "submitted", "completed", *rounded, F.round("throughput", 9).alias("throughput"))
 
 
 @query("SELECT o_custkey AS run, o_orderkey AS attempt, o_totalprice AS score FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
@@ -157,10 +223,10 @@ def bag_diff_edges(spark, sf_dir):
     return e.exceptAll(e.distinct())
 
 
-@query(f"WITH {LINKS_SQL} SELECT vec_id AS id FROM embeddings EXCEPT SELECT u FROM links WHERE request < {POINTS // 2}")
+@query(f"WITH {LINKS_SQL} SELECT vec_id AS id FROM embeddings EXCEPT SELECT u FROM links WHERE request < 2")
 def set_diff_nodes(spark, sf_dir):
     left = bindings.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
-    return left.subtract(bindings.links(spark, sf_dir).where(F.col("request") < POINTS // 2).select("from"))
+    return left.subtract(bindings.links(spark, sf_dir).where(F.col("request") < 2).select("from"))
 
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1")
