@@ -164,8 +164,15 @@ def robustness(edges: DataFrame, nodes: DataFrame, potential, permutation: Colum
 
 
 def fingerprint(edges: DataFrame, blocks: int = 4_096) -> DataFrame:
-    """One row: a SHA-256 over changes in order of edge ids, as a hash of the hashes of runs of ids."""
+    """One row: a SHA-256 over changes in order of edge ids, as a tree of hashes of ``blocks`` neighbours each.
+
+    No task holds more than a block's texts, whatever the number of edges. Without processed edges it is null.
+    """
     text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"]), ",")
-    block = F.floor(F.col("edge_id") / blocks)
-    part = edges.where(processed()).groupBy(block.alias("block")).agg(F.sha2(text(F.struct("edge_id", change().cast("string").alias("t"))), 256).alias("t"))
-    return part.agg(F.sha2(text(F.struct("block", "t")), 256).alias("unique_key"))
+    last = edges.agg(F.max("edge_id").alias("last")).first()["last"] or 0
+    part = edges.where(processed()).select(F.col("edge_id").alias("at"), change().cast("string").alias("t"))
+    while True:
+        part = part.groupBy(F.floor(F.col("at") / blocks).alias("block")).agg(F.sha2(text(F.struct("at", "t")), 256).alias("t")).select(F.col("block").alias("at"), "t")
+        last //= blocks
+        if last < blocks:
+            return part.agg(F.sha2(text(F.struct("at", "t")), 256).alias("unique_key"), F.count("*").alias("n")).select(F.when(F.col("n") > 0, F.col("unique_key")).alias("unique_key"))

@@ -63,6 +63,15 @@ class Canonical:
         k = context.k
         return cls(context, k, [[-j] * j + list(range(j + 1, k + 1)) for j in range(k + 1)], coefs)
 
+    @classmethod
+    def three(cls, context: Context) -> Canonical:
+        """For three servers, four places: a row of the fourth's antipodes, and rows of the fourth with a place and the
+        antipode of the next; distances among the first three count once. Fixed values."""
+        if context.k != 3:
+            raise ValueError("three servers")
+        rows = [[-4] * 3, *([4, i + 1, -((i + 1) % 3 + 1)] for i in range(3))]
+        return cls(context, 4, rows, [int(b < 3) for _, b in combinations(range(4), 2)])
+
     @cached_property
     def points(self) -> np.ndarray:
         """Assignments, the first place varying slowest."""
@@ -252,6 +261,30 @@ class Evader:
         return arrow(self)
 
 
+def within(nodes: DataFrame, potential: Callable[[Column], Column], seconds: float, blocks: int = 16, wf: str = "wf") -> DataFrame:
+    """``distinct`` in blocks of work functions by hash, as far as time allows: phi is null where it did not come to.
+
+    A block that time ends in is cancelled; those before it stay, so what is there is a fair sample.
+    """
+    import time
+
+    from slackline.plans import scratch, search
+
+    spark, until = nodes.sparkSession, time.monotonic() + seconds
+    once = scratch.table(nodes.select(wf).distinct().withColumn("__block", F.pmod(F.xxhash64(wf), F.lit(blocks))), "distinct")
+    done = None
+    for b in range(blocks):
+        part = once.where(F.col("__block") == b).drop("__block").withColumn("phi", potential(F.col(wf)))
+        written = search.within(spark, until - time.monotonic(), lambda part=part: scratch.table(part, "evaluated-block"))
+        if written is None:
+            break
+        done = written if done is None else done.union(written)
+    if done is None:
+        kind = once.withColumn("phi", potential(F.col(wf))).schema["phi"].dataType
+        return nodes.withColumn("phi", F.lit(None).cast(kind))
+    return nodes.join(done, wf, "left")
+
+
 def distinct(nodes: DataFrame, potential: Callable[[Column], Column], wf: str = "wf") -> DataFrame:
     """``nodes`` with ``phi``: the potential is evaluated once for each distinct work function, then joined back.
 

@@ -40,30 +40,39 @@ def ride(values: DataFrame, moves: DataFrame, configs: DataFrame, s: int, t: int
 def replay(requests: DataFrame, context: Context, start, key: str = "user_id", order: list[str] | None = None, r: str = "r", rides: tuple[str, str] | None = None) -> DataFrame:
     """key, n, wf: each key's work function after all its requests in order.
 
-    A key's requests are a sorted array, folded in Arrow batches with the context's tables; ``rides`` names source
-    and target columns instead of ``r``.
+    Requests are sorted by key and order, and folded as they stream by: a task holds one work function, however many
+    requests a key has. ``rides`` names source and target columns instead of ``r``.
     """
     order = order or ["ts", "event_id"]
-    wanted = F.struct(*(F.col(c) for c in order), *((F.col(rides[0]).alias("s"), F.col(rides[1]).alias("t")) if rides else (F.col(r).alias("t"),)))
-    grouped = requests.groupBy(key).agg(F.array_sort(F.collect_list(wanted)).alias("q")).select(key, F.transform("q", lambda x: x["t"]).alias("t"), *([F.transform("q", lambda x: x["s"]).alias("s")] if rides else []))
+    at = [F.col(rides[0]).alias("s"), F.col(rides[1]).alias("t")] if rides else [F.lit(None).cast("long").alias("s"), F.col(r).alias("t")]
+    sorted_rows = requests.select(F.col(key).alias("key"), *at, *(F.col(c).alias(f"o{i}") for i, c in enumerate(order))).repartition("key").sortWithinPartitions("key", *(f"o{i}" for i in range(len(order))))
     first = context.initial(start)
 
     def folded(batches):
         import pyarrow as pa
 
+        def emit(rows, kind):
+            keys, counts, wfs = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(counts, pa.int64()), pa.array(wfs, pa.list_(pa.int64()))], [key, "n", "wf"])
+
+        done, kind, now, n, wf = [], None, None, 0, first
         for b in batches:
-            keys, targets = b.column(0), b.column(1).to_pylist()
-            sources = b.column(2).to_pylist() if rides else targets
-            out = []
-            for ss, ts in zip(sources, targets):
-                wf = first
-                for s, t in zip(ss, ts):
-                    wf = context.ride(wf, s, t) if rides else context.update(wf, t)
-                out.append(wf.tolist())
-            yield pa.RecordBatch.from_arrays([keys, pa.array([len(t) for t in targets], pa.int64()), pa.array(out, pa.list_(pa.int64()))], [key, "n", "wf"])
+            kind = b.schema.field(0).type
+            for k, s, t in zip(*(c.to_pylist() for c in b.columns)):
+                if n and k != now:
+                    done.append((now, n, wf.tolist()))
+                    n, wf = 0, first
+                now, n, wf = k, n + 1, context.ride(wf, s, t) if rides else context.update(wf, t)
+            if len(done) >= 1024:
+                yield emit(done, kind)
+                done = []
+        if n:
+            done.append((now, n, wf.tolist()))
+        if done:
+            yield emit(done, kind)
 
     kind = requests.schema[key].dataType.simpleString()
-    return grouped.mapInArrow(folded, f"{key} {kind}, n long, wf array<long>")
+    return sorted_rows.select("key", "s", "t").mapInArrow(folded, f"{key} {kind}, n long, wf array<long>")
 
 
 def halves(context: Context) -> list[int]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from slackline.functions import arrays
 from slackline.operators import evaluate, potentials
-from slackline.plans import scratch
+from slackline.plans import control, scratch
 from slackline.sources.instances import Instance
 
 
@@ -55,29 +55,42 @@ def run(
     digits: int | None = None,
     sample: int | None = 100,
     permuted: tuple[Column, Callable[[Column], Column]] | None = None,
+    seconds: float | None = None,
 ) -> Report:
     """The full report. ``permuted``: positions and the potential in that order, for the robustness check, which runs
-    only where nothing is violated."""
-    rho = instance.k if rho is None else rho
+    only where nothing is violated. With ``seconds`` the potential is evaluated as far as they go: nodes that it didn't
+    come to are unevaluated, and edges at them unprocessed. ``metrics`` has the seconds of each phase under ``times``.
+    """
+    rho, timer = instance.k if rho is None else rho, control.Timer()
     size = len(instance.context.configs)
-    values = scratch.table(potentials.distinct(instance.nodes, potential), "evaluated")
+    with timer("potential"):
+        evaluated = potentials.distinct(instance.nodes, potential) if seconds is None else potentials.within(instance.nodes, potential, seconds)
+        values = scratch.table(evaluated, "evaluated")
     side = lambda e, s: values.select(F.col("id").alias(e), F.col("phi").alias(f"{s}_phi"), F.col("bellman").alias(f"{s}_bellman"), F.col("wf").alias(f"{s}_wf"))
-    edges = instance.edges.join(side("from", "u"), "from").join(side("to", "v"), "to")
-    if renormalized and not only_violations:
-        edges = evaluate.renormalized(edges, potential)
-    edges = scratch.table(edges, "evaluated-edges")
-    found = evaluate.report(edges, instance.k, size, rho, renormalized, digits, only_violations).first().asDict()
+    with timer("edges"):
+        edges = instance.edges.join(side("from", "u"), "from").join(side("to", "v"), "to")
+        if renormalized and not only_violations:
+            edges = evaluate.renormalized(edges, potential)
+            if seconds is not None:
+                edges = edges.withColumn("v_renorm_phi", F.when(F.col("v_phi").isNotNull(), F.col("v_renorm_phi")))
+        edges = scratch.table(edges, "evaluated-edges")
+    with timer("report"):
+        found = evaluate.report(edges, instance.k, size, rho, renormalized, digits, only_violations).first().asDict()
     if not only_violations:
-        found |= evaluate.bellman_nodes(values).first().asDict()
-        found |= evaluate.bellman_nodes(values.where("depth > 0"), "bellman_non_initial_node").first().asDict()
-        found |= {"total_nodes": values.count(), "rho": float(rho)}
+        with timer("nodes"):
+            found |= evaluate.bellman_nodes(values).first().asDict()
+            found |= evaluate.bellman_nodes(values.where("depth > 0"), "bellman_non_initial_node").first().asDict()
+            found |= {"total_nodes": values.count(), "rho": float(rho)}
         if sample:
-            found |= evaluate.opt_upper_bound(values, potential, sample, k=instance.k, size=size).first().asDict()
-        found |= evaluate.fingerprint(edges).first().asDict()
+            with timer("bound"):
+                found |= evaluate.opt_upper_bound(values, potential, sample, k=instance.k, size=size).first().asDict()
+        with timer("fingerprint"):
+            found |= evaluate.fingerprint(edges).first().asDict()
     found["robustness"] = None
     if permuted is not None and found["violations_k"] == 0:
-        found["robustness"] = evaluate.robustness(edges, values, permuted[1], permuted[0], rho).first()["robust"]
-    return Report(values, edges, found)
+        with timer("robustness"):
+            found["robustness"] = evaluate.robustness(edges, values, permuted[1], permuted[0], rho).first()["robust"]
+    return Report(values, edges, found | {"times": timer.seconds})
 
 
 def combined(reports: list[dict]) -> float:

@@ -74,12 +74,12 @@ def rows_of(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.int64)
 
 
-def lists_of(matrix: np.ndarray):
+def lists_of(matrix: np.ndarray, kind=np.int64):
     """A matrix as an Arrow column of lists."""
     import pyarrow as pa
 
     n, width = matrix.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(np.ascontiguousarray(matrix, np.int64).ravel()))
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(np.ascontiguousarray(matrix, kind).ravel()))
 
 
 @dataclass

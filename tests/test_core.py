@@ -407,6 +407,106 @@ def test_control(tmp_path):
     assert control.candidate(["sh", "-c", "trap '' TERM; sleep 30"], 0.2, 0.2)[0] is None
 
 
+def test_helpers_of_a_run(tmp_path):
+    (tmp_path / "p.py").write_text("x = 1\n")
+    at = str(tmp_path / "p.py")
+    assert control.cached_symbol(at, "x") == 1
+    (tmp_path / "p.py").write_text("x = 20\n")
+    assert control.cached_symbol(at, "x") == 20
+    found, errors = control.instance_paths(["p.py", at, "q.py"], [str(tmp_path)])
+    assert found == [at, at] and len(errors) == 1 and "q.py" in errors[0]
+    assert control.supported({"a": 1, "b": None, "c": 2}, lambda a, b: 0) == {"a": 1} and control.supported({"c": 2}, lambda **k: 0) == {"c": 2}
+    timer = control.Timer()
+    for _ in range(2):
+        with timer("a"):
+            time.sleep(0.02)
+    assert timer.seconds["a"] >= 0.04
+    made = []
+
+    def attempt(i):
+        made.append(i)
+        if i == 1 or i == 2 and made.count(2) < 2:
+            raise ValueError(i)
+        return [0.5, 0, 0.9, 0.9][i]
+
+    log = str(tmp_path / "log")
+    assert control.best_of(4, attempt, log) == (2, 0.9) and made == [0, 1, 1, 1, 2, 2, 3]
+    assert control.best_of(4, attempt, log, retries=0) == (2, 0.9) and made[7:] == [1]  # only what has no score
+    assert control.best_of(1, lambda i: 1 / 0, str(tmp_path / "none")) is None
+    assert control.candidate(["sh", "-c", "while :; do :; done"], 30, 5, cpu_seconds=1)[0] != 0
+
+
+def test_partial_evaluation_in_time(spark, graph):
+    inst = instances.from_graph(graph)
+    none = evaluation.run(inst, evaluation.total, seconds=0).metrics
+    assert none["violations_k"] == 0 and none["unprocessed_normalized_edges"] == none["total_edges"] == 2100 and none["violations_k_score"] is None
+    whole, timed = evaluation.run(inst, evaluation.total).metrics, evaluation.run(inst, evaluation.total, seconds=600).metrics
+    assert {k: v for k, v in whole.items() if k != "times"} == {k: v for k, v in timed.items() if k != "times"}
+    assert whole["times"].keys() >= {"potential", "edges", "report", "nodes", "fingerprint"}
+    blocks = []
+
+    def slow(wf):  # ends after some blocks: the third one takes as long as it may
+        blocks.append(1)
+        return evaluation.total(wf) if len(blocks) < 3 else F.expr("(SELECT sum(id % 7) FROM range(1125899906842624))").cast("long") + evaluation.total(wf)
+
+    part = potentials.within(graph.nodes, slow, 8, blocks=8).select("wf", "phi").collect()
+    done = [r for r in part if r["phi"] is not None]
+    assert 0 < len(done) < len(part) == 350 and all(r["phi"] == sum(r["wf"]) for r in done)
+
+
+def test_the_potential_for_three_servers(spark):
+    c = Context.of(3, metrics.circle_matrix(8))
+    p = potentials.Canonical.three(c)
+    assert p.index_matrix == [[-4, -4, -4], [4, 1, -2], [4, 2, -3], [4, 3, -1]] and p.coefs == [1, 1, 0, 1, 0, 0]
+    with pytest.raises(ValueError):
+        potentials.Canonical.three(Context.of(2, metrics.circle_matrix(4)))
+
+
+def test_compressed_instances_stream_both_ways(spark, graph, tmp_path, monkeypatch):
+    monkeypatch.setattr(instances, "NPZ_ROWS", 100)
+    monkeypatch.setattr(instances, "NPZ_NUMBERS", 700)
+    inst = instances.from_graph(graph)
+    path = str(tmp_path / "i.npz")
+    instances.to_npz(inst, path)
+    with np.load(path) as z:
+        assert z["node_wf_norm"].shape == (350, 56) and z["edge_from"].shape == (2100,) and int(z["k"]) == 3 and "bellman" not in z
+    again = instances.from_npz(spark, path)
+    assert again.nodes.schema.simpleString() == inst.nodes.schema.simpleString() and again.k == 3 and again.distances == inst.distances
+    key = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+    assert key(again.nodes, "id", "depth", "wf") == key(inst.nodes, "id", "depth", "wf")
+    assert [r[1:] for r in key(again.edges, "edge_id", "from", "to", "d_min", "ext", "weight")] == [r[1:] for r in key(inst.edges, "edge_id", "from", "to", "d_min", "ext", "weight")]
+    known = instances.Instance(inst.k, inst.distances, inst.nodes.withColumn("bellman", F.col("id").cast("double")), inst.edges)
+    instances.to_npz(known, path)
+    assert key(instances.from_npz(spark, path).nodes, "id", "bellman")[7] == (7, 7.0)
+
+
+def test_fingerprints_are_trees(spark):
+    rows = spark.range(300).select(F.col("id").alias("edge_id"), F.lit(0).cast("long").alias("u_phi"), (F.col("id") * 3).alias("v_phi"))
+    deep, flat = (evaluate.fingerprint(rows, b).first()[0] for b in (4, 4096))
+    assert deep and flat and deep != flat and evaluate.fingerprint(rows.repartition(7), 4).first()[0] == deep
+    assert evaluate.fingerprint(rows.withColumn("v_phi", F.col("v_phi") + (F.col("edge_id") == 299).cast("long")), 4).first()[0] != deep
+    assert evaluate.fingerprint(rows.where("false")).first()[0] is None
+
+
+def test_sparse_potentials_on_half_steps(spark):
+    """The canonical potential of a sparse work function, taken at half steps, is that of the dense one on a doubled circle."""
+    m, k = 4, 2
+    c = Context.of(k, metrics.circle_matrix(2 * m))
+    support = [((0, 2), 0), ((4, 6), 1)]  # doubled points
+    dense = np.array([min(v + c.matching(s, x) for s, v in support) for x in c.configs], np.int64)
+    p = potentials.Canonical.unifying(c)
+    got = (p.values(dense[None, :]) - p.penalties()).min()
+    best = math.inf
+    for points in product([i / 2 for i in range(2 * m)], repeat=k):
+        total = 0
+        for row in p.index_matrix:
+            at = [points[abs(i) - 1] if i > 0 else (points[abs(i) - 1] + m / 2) % m for i in row]
+            d = lambda a, b: min(abs(a - b), m - abs(a - b))
+            total += min(v / 2 + min(sum(d(s[j] / 2, x) for j, x in enumerate(q)) for q in permutations(at)) for s, v in support)
+        best = min(best, total)
+    assert got == 2 * best
+
+
 def test_plans_stay_in_shape(spark):
     from slackline.sources import bindings
 
