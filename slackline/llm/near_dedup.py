@@ -7,12 +7,12 @@
    each text, never all pairs.
 2. Candidate components come from large and small stars. Only their texts are read again: a bitmap of fixed size
    passes the rows that can be among them, so that the other texts aren't shuffled for it.
-3. In a component, SimHash fingerprints of ``WORDS`` 64-bit words are compared bit-sliced, abandoning what passes
+3. What is similar to its component's smallest digest is joined to it at once. The rest meets all of the component, in
+   tiles, and pairs of tiles are tasks of their own: there, SimHash fingerprints of ``WORDS`` 64-bit words are compared bit-sliced, abandoning what passes
    ``RADIUS`` bits. At 0.8 a bit differs with a chance of 0.15 to 0.19, so 80 of 256 is five standard deviations off or
    more; of unrelated texts one pair in a thousand million comes as near.
 4. What is near and not yet joined is checked: the similarity is computed exactly, from postings of 64-bit shingle
-   hashes. A large component is cut into tiles, and pairs of tiles are tasks of their own. Only pairs of ``least`` or
-   more are links.
+   hashes. Only pairs of ``least`` or more are links.
 
 Contract: a null text counts as empty; shingles are of lower-case words (A-Z; white space of ASCII), repeats count
 once; a text of fewer words than a shingle is one shingle; texts without words are alike; of a component of links the
@@ -32,8 +32,8 @@ LEAST = 0.8
 BANDS, ROWS = 64, 8
 #: Words of a fingerprint, and the bits in which two may differ before they are abandoned.
 WORDS, RADIUS = 4, 80
-#: Shingles of a tile, about.
-TILE = 1 << 21
+#: Shingles of a tile, about, counting ``TEXT`` for each text besides.
+TILE, TEXT = 1 << 20, 1 << 9
 #: Shingles whose MinHash values are computed at a time.
 PIECE = 1 << 10
 #: Bits of the map of candidates, 1 MB at most.
@@ -110,40 +110,46 @@ def _among(df: DataFrame, key: str, values: DataFrame) -> DataFrame:
     return near.where(byte.bitwiseAND(F.pow(F.lit(2), F.pmod(place, F.lit(8))).cast("long")) != 0).select(*df.columns)
 
 
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
+
+
 def links(sets: DataFrame, least: float) -> DataFrame:
     """Edges (a, b) between digests that span the components of links; ``sets``: component, digest, set, print, n."""
-    sizes = shared.table(sets.groupBy("component").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles")), "near-sizes")
-    held = sets.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("digest"), F.col("tiles")).cast("int"))
-    mate = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    dealt = held.select("digest", "set", "print", "component", "tile", mate.alias("mate")).select(
-        "digest", "set", "print", "component", F.least("tile", "mate").alias("t1"), F.greatest("tile", "mate").alias("t2"), (F.col("tile") > F.col("mate")).alias("second")
-    )
 
-    def linked(batches):
+    @F.arrow_udf("boolean")
+    def similar(left, right):
         import pyarrow as pa
 
-        forest, current, left, right = simhash.Forest(), None, [], []
+        return pa.array([similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= least for a, b in zip(left.to_pylist(), right.to_pylist())], pa.bool_())
 
-        def close():
-            if current is not None and current[1] == current[2]:
-                link_sets(left, left, forest, least)
-            elif left and right:
-                link_sets(left, right, forest, least)
+    pivots = shared.table(sets.groupBy("component").agg(F.min(F.struct("digest", "set")).alias("pivot")), "near-pivots")  # read again, a hot component is split
+    held = sets.join(pivots, "component").select("component", "digest", "set", "print", "n", F.col("pivot.digest").alias("pivot"), similar("set", "pivot.set").alias("near"))
+    held = shared.table(held, "near-held")
+    dealt = simhash.deal(held, "component", "near", F.col("n") + TEXT, TILE, ["digest", "set", "print"])
 
+    def linked(batches):
+        import pyarrow as pa
+
+        forest, current, left, right = simhash.Forest(), None, [], []
         for b in batches:
-            for digest, values, fingerprint, *group, second in zip(*(c.to_pylist() for c in b.columns)):
-                if group != current:
-                    close()
-                    current, left, right = group, [], []
-                (right if second else left).append((digest, np.frombuffer(values, np.uint64), np.frombuffer(fingerprint, np.uint64)))
-        close()
+            for component, digest, values, fingerprint, t1, t2, first in zip(*(c.to_pylist() for c in b.columns)):
+                if (component, t1, t2) != current:
+                    if left and right:
+                        link_sets(left, right, forest, least)
+                    current, left, right = (component, t1, t2), [], []
+                (left if first else right).append((digest, np.frombuffer(values, np.uint64), np.frombuffer(fingerprint, np.uint64)))
+        if left and right:
+            link_sets(left, right, forest, least)
         found = forest.edges()
         for i in range(0, len(found), 1 << 14):
             a, b = zip(*found[i : i + (1 << 14)])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
 
     partitions = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(4 * partitions, "component", "t1", "t2").sortWithinPartitions("component", "t1", "t2").mapInArrow(linked, "a string, b string").distinct()
+    found = dealt.repartition(4 * partitions, "component", "t1", "t2").sortWithinPartitions("component", "t1", "t2").mapInArrow(linked, "a string, b string")
+    return found.union(held.where("near and digest <> pivot").select(F.col("digest").alias("a"), F.col("pivot").alias("b"))).distinct()
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, least: float = LEAST) -> DataFrame:

@@ -187,22 +187,35 @@ def _keys(fp: Column) -> list[Column]:
     return [(F.lit(k).cast("long") * (1 << 32)) + blocks[a] * (1 << 13) + blocks[b] for k, (a, b) in enumerate(combinations(range(5), 2))]
 
 
+def deal(held: DataFrame, key: str, name: str, size: Column, tile: int, columns: list[str]) -> DataFrame:
+    """Rows of groups, dealt to tasks so that each row that isn't ``near`` its group's pivot meets all of the group.
+
+    Rows near the pivot are joined through it and needn't meet each other. What is left over is cut into ``rest`` tiles
+    and the group into ``every`` tiles of ``tile`` each, by the sum of ``size``; a task is a pair of them, with rows of
+    the first as ``left``. A group whose rows are all near its pivot is dealt to nobody.
+    """
+    tiles = lambda s: F.ceil(F.sum(s) / tile).cast("int")
+    cut = shared.table(held.groupBy(key).agg(tiles(size).alias("every"), tiles(F.when(~F.col("near"), size)).alias("rest")).where("rest > 0"), f"{name}-tiles")  # read again, a hot key is split
+    rows = held.join(cut, key)
+    place = lambda n: F.pmod(F.xxhash64(*columns[:1]), F.col(n)).cast("int")
+    count = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where(~F.col("near")).select(key, *columns, place("rest").alias("t1"), count("every").alias("t2"), F.lit(True).alias("left"))
+    right = rows.select(key, *columns, count("rest").alias("t1"), place("every").alias("t2"), F.lit(False).alias("left"))
+    return left.union(right)
+
+
 def links(fingerprints: DataFrame) -> DataFrame:
-    """Edges (a, b) that span the components of distinct fingerprints ``fp``; b < a as unsigned numbers.
+    """Edges (a, b) that span the components of distinct fingerprints ``fp``.
 
-    Bucket sizes are counted first: buckets of one go no further, and larger ones than a tile are dealt as pairs
-    of tiles.
+    Buckets of one go no further. In the others, what is near the bucket's smallest fingerprint is joined to it at once;
+    only the rest is compared with all of the bucket, in tiles.
     """
-    shared.session(fingerprints)
+    spark = shared.session(fingerprints)
     keyed = fingerprints.select("fp", F.explode(F.array(*_keys(F.col("fp")))).alias("key"))
-    sizes = shared.table(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "simhash-sizes")  # read again, both sides of the join are shuffled and a hot key is split
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    held = keyed.join(sizes, "key").select("fp", "key", tiles.alias("tiles"), F.pmod(F.xxhash64("fp"), tiles).cast("int").alias("tile"))
-    # a fingerprint of tile t takes part in the tile pairs (t, x) and (x, t), of which the smaller comes first
-    mate = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    dealt = held.select("fp", "key", "tile", mate.alias("mate")).select(
-        "fp", "key", F.least("tile", "mate").alias("t1"), F.greatest("tile", "mate").alias("t2"), (F.col("tile") > F.col("mate")).alias("second")
-    )
+    sizes = shared.table(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("fp").alias("pivot")).where("size > 1"), "simhash-sizes")  # read again, both sides of the join are shuffled and a hot key is split
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= RADIUS
+    held = shared.table(keyed.join(sizes, "key").select("fp", "key", "pivot", near.alias("near")), "simhash-held")
+    dealt = deal(held, "key", "simhash", F.lit(1), TILE, ["fp"])
 
     def linked(batches):
         import pyarrow as pa
@@ -210,26 +223,24 @@ def links(fingerprints: DataFrame) -> DataFrame:
         forest, current, left, right = Forest(), None, [], []
 
         def close():
-            if current is not None:
-                u = np.array(left, np.int64).view(np.uint64)
-                if current[1] == current[2]:
-                    link_bucket(u, u, forest)
-                elif len(u) and right:
-                    link_bucket(u, np.array(right, np.int64).view(np.uint64), forest)
+            if left and right:
+                link_bucket(*(np.array(x, np.int64).view(np.uint64) for x in (left, right)), forest)
 
         for b in batches:
-            for fp, key, t1, t2, second in zip(*(c.to_pylist() for c in b.columns)):
+            for key, fp, t1, t2, first in zip(*(c.to_pylist() for c in b.columns)):
                 if (key, t1, t2) != current:
                     close()
                     current, left, right = (key, t1, t2), [], []
-                (right if second else left).append(fp)
+                (left if first else right).append(fp)
         close()
         found = np.array(forest.edges(), np.uint64).reshape(-1, 2).view(np.int64)
         for i in range(0, len(found), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(found[i : i + (1 << 16), 0]), pa.array(found[i : i + (1 << 16), 1])], ["a", "b"])
 
-    partitions = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that few bytes of much work aren't merged into one task
-    return dealt.repartition(8 * partitions, "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(linked, "a long, b long").distinct()
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, so that few bytes of much work aren't merged into one task
+    found = dealt.repartition(8 * partitions, "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(linked, "a long, b long")
+    stars = held.where("near and fp <> pivot").select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
+    return found.union(stars).distinct()
 
 
 def _settled(edges: DataFrame) -> bool:

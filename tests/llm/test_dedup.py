@@ -247,7 +247,7 @@ def brute_jaccard(a, b):
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
-@pytest.mark.parametrize("tile", [1 << 21, 400])
+@pytest.mark.parametrize("tile", [1 << 20, 2000])
 def test_near_copies_of_similarity_080_to_095_go_and_others_stay(docs, monkeypatch, tile):
     monkeypatch.setattr(near_dedup, "TILE", tile)
     rnd = random.Random(5)
