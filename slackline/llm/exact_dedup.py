@@ -8,7 +8,8 @@
 3. Rows get their class by joining on their representative, whose rows all lie in one input partition: a class
    that holds a third of all rows meets no hot key.
 
-A trie over its memory budget spills by subtree: the heaviest one below the first fork goes to a task-private file,
+Owners hold a class's representatives, one for each input partition, never its rows. A trie over its memory budget
+spills by subtree: the heaviest one below the first fork goes to a task-private file,
 what arrives for it later is appended, and it is finished by itself when the rest is done.
 
 Contract: a null text counts as empty; empty texts are equal; a null identifier loses to any other; repeated
@@ -61,19 +62,24 @@ def _common(a: bytes, b: bytes) -> int:
 
 
 class Trie:
-    """Byte strings to values in a radix tree with compressed paths; ``merge(old, new)`` joins values of equal ones."""
+    """Byte strings to values in a radix tree with compressed paths; ``merge(old, new)`` joins values of equal ones.
 
-    def __init__(self, merge, budget: int = TRIE_BYTES):
-        self.merge, self.budget = merge, budget
+    ``settled(new, held)`` is called for each value once its terminal is in memory, with what that holds then: at
+    once, or when a spilled subtree is finished.
+    """
+
+    def __init__(self, merge, budget: int = TRIE_BYTES, settled=None):
+        self.merge, self.budget, self.settled = merge, budget, settled
         self.root, self.held = _Node(b""), 0
         self.spilled: dict[bytes, object] = {}  # prefix: file with what follows it
 
-    def add(self, key: bytes, value) -> None:
+    def add(self, key: bytes, value, known: bool = False) -> None:
+        """``known``: the value was settled before."""
         for prefix, f in self.spilled.items():
             if key.startswith(prefix):
-                pickle.dump((key[len(prefix) :], value), f)
+                pickle.dump((key[len(prefix) :], value, known), f)
                 return
-        node, rest = self.root, key
+        node, rest, held = self.root, key, value
         while rest:
             child = node.children.get(rest[0])
             if child is None:
@@ -92,7 +98,9 @@ class Trie:
             self.held += 200
             node, rest = middle, rest[n:]
         else:
-            node.value = value if node.value is None else self.merge(node.value, value)
+            node.value = held = value if node.value is None else self.merge(node.value, value)
+        if self.settled and not known:
+            self.settled(value, held)
         if self.held > self.budget:
             self._spill()
 
@@ -108,7 +116,7 @@ class Trie:
         heaviest = max(weights, key=weights.get)
         f = self.spilled[prefix + bytes([heaviest])] = tempfile.TemporaryFile(prefix="trie-")
         for key, value in self._walk(node.children.pop(heaviest), b""):
-            pickle.dump((key[1:], value), f)
+            pickle.dump((key[1:], value, True), f)
         self.held -= weights[heaviest]
 
     def _weight(self, node: _Node) -> int:
@@ -135,13 +143,13 @@ class Trie:
         while self.spilled:
             prefix, f = self.spilled.popitem()
             f.seek(0, os.SEEK_SET)
-            below = Trie(self.merge, self.budget)
+            below = Trie(self.merge, self.budget, self.settled)
             while True:
                 try:
-                    key, value = pickle.load(f)
+                    key, value, known = pickle.load(f)
                 except EOFError:
                     break
-                below.add(key, value)
+                below.add(key, value, known)
             f.close()
             for key, value in below.items():
                 yield prefix + key, value
@@ -155,47 +163,54 @@ def _better(a: tuple, b: tuple, largest: bool) -> tuple:
 
 
 def _combine(id_kind: str, largest: bool, budget: int):
-    """mapInArrow function: each row with its representative; representatives carry text, count and keeper."""
+    """mapInArrow function: each row with its representative; representatives carry text, count and keeper.
+
+    A row leaves as soon as its text has a terminal, so a class costs its text and one value, however many rows it has.
+    """
 
     def merge(old, new):
-        old[1] += new[1]
-        old[2] = _better(old[2], new[2], largest)
-        old[3] += new[3]
-        return old
+        return old[0], old[1] + new[1], _better(old[2], new[2], largest)
 
     def combined(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
+        def batch(rows):
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows), (kind, pa.int64(), pa.int64(), pa.binary(), pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["id", "row", "rep", "text", "n"])
+
+        def member(new, held):
+            members.append((*new[2], held[0], None, None))
+
         def drain():
-            """Rows of members, then one of the class, in batches of bounded text."""
+            """One row of each class, in batches of bounded text, and the members that come to light meanwhile."""
             rows, size = [], 0
-            for text, (rep, n, keep, members) in trie.items():
-                rows += [(*m, rep, None, None) for m in members]
+            for text, (rep, n, keep) in trie.items():
                 rows.append((*keep, rep, text, n))
                 size += len(text)
-                if size > 8 << 20 or len(rows) > 20_000:
-                    yield batch(rows)
+                if size > 8 << 20 or len(rows) + len(members) > 20_000:
+                    yield batch(rows + members)
+                    members.clear()
                     rows, size = [], 0
-            if rows:
-                yield batch(rows)
-
-        def batch(rows):
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows), (kind, pa.int64(), pa.int64(), pa.binary(), pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, ["id", "row", "rep", "text", "n"])
+            if rows or members:
+                yield batch(rows + members)
+                members.clear()
 
         shared.working("exact")
-        row = TaskContext.get().partitionId() << 33
-        trie, kind, seen = Trie(merge, budget), None, 0
+        row, members = TaskContext.get().partitionId() << 33, []
+        trie, kind, seen = Trie(merge, budget, member), None, 0
         for b in batches:
             kind = b.schema.field(0).type
             for i, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                trie.add(text, [row, 1, (i, row), [(i, row)]])
+                trie.add(text, (row, 1, (i, row)))
                 row += 1
                 seen += len(text) + 64
+            if len(members) > 20_000:
+                yield batch(members)
+                members.clear()
             if seen > 4 * budget:  # a combiner may pass on what it has; owners put classes together
                 yield from drain()
-                trie, seen = Trie(merge, budget), 0
+                trie, seen = Trie(merge, budget, member), 0
         if kind is not None:
             yield from drain()
 

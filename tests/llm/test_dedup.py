@@ -25,6 +25,19 @@ def test_trie_spills_by_subtree_and_loses_nothing():
     assert len(got) == len(want) and dict(got) == want
 
 
+@pytest.mark.parametrize("budget", [5_000, 1 << 20])
+def test_every_value_settles_once_with_its_terminal(budget):
+    rnd, told = random.Random(2), []
+    keys = [bytes(rnd.choice(b"abc") for _ in range(rnd.randint(0, 6))) for _ in range(3000)]
+    trie = exact_dedup.Trie(lambda a, b: a, budget, lambda new, held: told.append((new, held)))
+    for i, k in enumerate(keys):
+        trie.add(k, i)
+    assert bool(trie.spilled) == (budget == 5_000)
+    named = dict(trie.items())
+    assert sorted(new for new, _ in told) == list(range(3000))
+    assert all(named[keys[new]] == held and keys[held] == keys[new] for new, held in told)
+
+
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 def test_exact_classes(docs, odd, keep):
     got = exact_dedup.classes(docs(odd), keep=keep, trie_bytes=4096).collect()
