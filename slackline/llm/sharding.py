@@ -113,6 +113,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text: str =
     from a window over that slot alone, so no task holds a shard.
     """
     spark = docs.sparkSession
+    kept = map_path is not None
     map_path = map_path or shared.scratch_path(spark, "shard-map")
     body = F.coalesce(F.col(text), F.lit(""))
     records = docs.select(
@@ -123,7 +124,10 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text: str =
     )
     stats = shared.table(slot_stats(records, slots), "shard-stats")
     before = Window.partitionBy("shard").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    bounds = next_map(stats, shards, map_path).select(
+    placed = next_map(stats, shards, map_path)
+    if not kept:
+        shared.forget_at_exit(spark, map_path)
+    bounds = placed.select(
         F.col("slot").alias("virtual_slot"), "shard", F.col("version").alias("map_version"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before")
     )
     within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(id_col, "size", "text_crc32"))

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: bounds a Python worker's memory when documents are long.
-ARROW_ROWS = 256
+#: Bytes in one Arrow batch: bounds a Python worker's memory however long the documents are.
+ARROW_BYTES = 4 << 20
 
 #: What operators remember in a worker process: how to forget it, by operator.
 REMEMBERED: dict = {}
@@ -23,12 +23,24 @@ def working(operator: str) -> None:
 
 
 def session(df_or_spark) -> SparkSession:
-    """The session, with Arrow batches small enough for long documents."""
+    """The session, with Arrow batches of at most ``ARROW_BYTES``; a smaller bound of its own stays.
+
+    Results are lazy, so the bound holds from then on; it changes batches of large rows only.
+    """
     spark = df_or_spark if isinstance(df_or_spark, SparkSession) else df_or_spark.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(spark.conf.get(name)) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
     return spark
 
 
+def _bytes(size: str) -> int:
+    """Of a size as Spark prints it, such as 64m or 67108864b."""
+    digits = size.rstrip("bBkKmMgG")
+    scale = {"k": 10, "m": 20, "g": 30}.get(size[len(digits) :][:1].lower(), 0)
+    return int(digits) << scale
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -36,7 +48,6 @@ def scratch_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _local_root()
-        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
@@ -53,12 +64,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/slackline/{name}-{uuid.uuid4().hex}"
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Scratch that is there is deleted when the application ends: lazy results read it until then."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: this cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     schema = df.schema
     df.write.option("compression", codec).parquet(path)
+    forget_at_exit(spark, path)
     return spark.read.schema(schema).parquet(path)
 
 

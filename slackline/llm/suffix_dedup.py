@@ -364,8 +364,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     of = firsts.select(F.col("first").alias("doc"), "digest")
     unique = rows.where(F.octet_length("text") >= LENGTH).join(of, ["doc", "digest"], "left_semi").select(chunk.alias("chunk"), "doc", "text")
     # bucketed by chunk: the two steps below that bring something to the texts don't shuffle them again
-    name = f"slackline_repeats_{uuid.uuid4().hex}"
-    unique.repartition(partitions, "chunk").write.bucketBy(partitions, "chunk").sortBy("chunk").option("compression", "zstd").option("path", shared.scratch_path(spark, "repeats-texts")).saveAsTable(name)
+    name, path = f"slackline_repeats_{uuid.uuid4().hex}", shared.scratch_path(spark, "repeats-texts")
+    unique.repartition(partitions, "chunk").write.bucketBy(partitions, "chunk").sortBy("chunk").option("compression", "zstd").option("path", path).saveAsTable(name)
+    shared.forget_at_exit(spark, path)
     texts = spark.table(name)
     texts.schema  # noqa: B018  resolved: the files stay, the catalog needs the name no more
     spark.sql(f"DROP TABLE {name}")
