@@ -26,4 +26,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` and reads it back: the lineage ends here, and a lost executor costs nothing done before."""
     path = f"{root(df.sparkSession)}/slackline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # lazy results read it until the application ends
+    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
