@@ -39,6 +39,8 @@ SPAN = LENGTH - ANCHOR + 1  # places of an anchor in a window
 HOT = 1_000
 #: Bytes of text in a chunk, the unit that marks return to.
 CHUNK_BYTES = 4 << 20
+#: Bytes of text for each shuffle partition, so that tasks don't grow with the table, and partitions at most.
+PARTITION_BYTES, PARTITIONS = 32 << 20, 100_000
 #: Anchors counted in one bucket, and segments sorted in one block, about.
 BUCKET_ANCHORS, BLOCK_ROWS = 1 << 20, 1 << 17
 #: Windows handled at a time; their places fit the low bits of a key.
@@ -348,7 +350,6 @@ CUT = "doc long, n_bytes long, n_removed long, n_spans long, kept binary"
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay)."""
     spark = shared.session(docs)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = F.encode(shared.text_or_empty(text), "UTF-8")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), body.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     names = shared.table(rows.select("doc", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "repeats-names")
@@ -358,6 +359,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     short = rows.where(F.octet_length("text") < LENGTH).select("doc", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").alias("kept"))
 
     total = names.agg(F.sum("n_bytes").alias("b")).first()["b"] or 0
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(PARTITIONS, -(-total // PARTITION_BYTES)))
     n_chunks = max(4 * partitions, -(-total // CHUNK_BYTES))
     n_buckets = max(partitions, -(-total // (16 * BUCKET_ANCHORS)))
     chunk = F.pmod(F.xxhash64("doc"), F.lit(n_chunks))
