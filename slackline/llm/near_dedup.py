@@ -33,7 +33,7 @@ BANDS, ROWS = 64, 8
 #: Words of a fingerprint, and the bits in which two may differ before they are abandoned.
 WORDS, RADIUS = 4, 80
 #: Shingles of a tile, about, counting ``TEXT`` for each text besides.
-TILE, TEXT = 1 << 20, 1 << 9
+TILE, TEXT = 1 << 18, 1 << 9
 #: Shingles whose MinHash values are computed at a time.
 PIECE = 1 << 10
 #: Bits of the map of candidates, 1 MB at most.
