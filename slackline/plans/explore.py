@@ -46,17 +46,31 @@ def symmetries(context: Context, step: int = 1) -> np.ndarray:
     return np.array(rows)
 
 
+#: Positions that images are told apart by at once; what is still tied after them is compared whole, row by row.
+LEADING = 64
+
+
 def canonical(wfs: np.ndarray, perms: np.ndarray) -> np.ndarray:
-    """The lexicographically least image of each row under the permutations."""
-    best = wfs[:, perms[0]]
-    for p in perms[1:]:
-        other = wfs[:, p]
-        differ = other != best
-        first = differ.argmax(axis=1)
-        at = np.arange(len(wfs))
-        less = differ.any(axis=1) & (other[at, first] < best[at, first])
-        best = np.where(less[:, None], other, best)
-    return best
+    """The lexicographically least image of each row under the permutations.
+
+    Images that aren't least at a position drop out; most rows have one left after a few positions.
+    """
+    alive, rows = np.ones((len(wfs), len(perms)), bool), np.arange(len(wfs))
+    for j in range(min(LEADING, wfs.shape[1])):
+        values = np.where(alive[rows], wfs[rows[:, None], perms[:, j][None, :]], np.iinfo(wfs.dtype).max)
+        alive[rows] &= values == values.min(axis=1, keepdims=True)
+        if j % 8 == 7:
+            rows = rows[alive[rows].sum(axis=1) > 1]
+            if not len(rows):
+                break
+    best = alive.argmax(axis=1)
+    for r in rows.tolist():
+        for p in np.flatnonzero(alive[r])[1:].tolist():
+            one, other = wfs[r, perms[best[r]]], wfs[r, perms[p]]
+            differ = np.flatnonzero(one != other)
+            if len(differ) and other[differ[0]] < one[differ[0]]:
+                best[r] = p
+    return np.take_along_axis(wfs, perms[best], axis=1)
 
 
 def symmetry_step_of(moves: list[tuple[str, int, int]]) -> int:
@@ -99,8 +113,8 @@ class Graph:
     events: list[dict] = field(default_factory=list)
 
 
-#: Rows of work functions that a task expands at a time.
-CHUNK = 256
+#: Rows of work functions that a task expands at a time, and hashes that it remembers to have sent values for.
+CHUNK, SENT = 256, 1_000_000
 
 
 def explore(
@@ -143,9 +157,10 @@ def explore(
             yield i, grown.min(axis=1), (grown - wfs).max(axis=1), settle(grown)
 
     def reached(batches):
-        """wf, path to hash, wf, path of what a move leads to; a hash once in a chunk."""
+        """wf, path to hash, wf, path of what a move leads to: a hash once in a chunk, its values once in many chunks."""
         import pyarrow as pa
 
+        sent: set[bytes] = set()
         for b in batches:
             for at in range(0, b.num_rows, CHUNK):
                 part = b.slice(at, CHUNK)
@@ -154,9 +169,15 @@ def explore(
                     for row, (h, path) in enumerate(zip(digests(to), paths)):
                         if h not in found or [*path, i] < found[h][0]:
                             found[h] = [*path, i], to[row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(found), pa.binary()), lists_of(np.stack([w for _, w in found.values()])), pa.array([p for p, _ in found.values()], pa.list_(pa.int64()))], ["hash", "wf", "path"]
-                )
+                fresh = [h for h in found if h not in sent]
+                known = [h for h in found if h in sent]
+                if len(sent) > SENT:  # values that go out again do no harm
+                    sent.clear()
+                sent.update(fresh)
+                for names, wfs in ((fresh, True), (known, False)):
+                    if names:
+                        values = lists_of(np.stack([found[h][1] for h in names])) if wfs else pa.nulls(len(names), pa.list_(pa.int64()))
+                        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), values, pa.array([found[h][0] for h in names], pa.list_(pa.int64()))], ["hash", "wf", "path"])
 
     def edge_rows(batches):
         """wf and what names the node to its edges, the other end by its hash."""

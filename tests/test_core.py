@@ -386,6 +386,16 @@ def test_paths_replay_to_their_nodes_and_violations_are_found_on_the_way(spark):
     assert not early.complete and 0 < early.violations.count() < len(want) and len(early.levels) < len(g.levels)
 
 
+@pytest.mark.parametrize("leading", [64, 2])
+def test_the_least_image_of_every_row(monkeypatch, leading):
+    monkeypatch.setattr(explore, "LEADING", leading)
+    c = Context.of(2, metrics.circle_matrix(6))
+    perms = explore.symmetries(c, 2)
+    rng = np.random.default_rng(1)
+    wfs = np.concatenate([rng.integers(0, 3, (200, len(c.configs))), np.zeros((2, len(c.configs)), np.int64), np.array([c.initial(x) for x in c.configs])])
+    assert explore.canonical(wfs, perms).tolist() == [min(w[p].tolist() for p in perms) for w in wfs]
+
+
 def test_symmetry_follows_the_kind_of_moves(spark):
     assert explore.symmetry_step_of(explore.ride_transitions(2)) == 2 and explore.symmetry_step_of(explore.point_transitions(2)) == 1
     c = Context.of(2, metrics.circle_matrix(6))
