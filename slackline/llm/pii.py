@@ -104,8 +104,8 @@ _QUAD = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\x20?\[?\.\]?\x20?[0-9]{1,3}){3}(?!
 #: Fixed names of what is kept secret.
 _ASSIGNED = re.compile(r"\b(?:api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|token|secret|passw(?:or)?d|pwd|bearer)\b[\"']?(?:\x20?[:=]\x20?|\x20)[\"']?([^\s\"',;]+)", re.I)
 _MIXED = re.compile(r"[A-Za-z0-9_+/=-]{20,}")
-#: Digits and groups of a phone or card.
-_PHONE_DIGITS, _CARD_DIGITS, _GROUPS = range(7, 16), range(13, 20), 6
+#: Digits of a phone and of a card.
+_PHONE_DIGITS, _CARD_DIGITS = range(7, 16), range(13, 20)
 #: Fixed cues before a span, by kind, and cues of something else.
 _BEFORE = {
     "email": re.compile(r"mail|write|contact|reach", re.I),
@@ -145,21 +145,40 @@ def _written_emails(text: str) -> list[tuple[int, int]]:
 
 
 def _numbers(text: str) -> list[tuple[str, int, int]]:
-    """Runs of neighbouring digit groups with the digits of a phone or a card: at most ``_GROUPS`` from each group."""
+    """Runs of neighbouring digit groups with the digits of a phone or a card.
+
+    Of a cluster of groups: runs from its start or up to its end, single groups, and longest runs with one separator.
+    So a table of numbers has no more candidates than groups, but for some at its ends.
+    """
     out = []
     for m in _NUMBER.finditer(text):
         groups = [g.span() for g in _GROUP.finditer(text, *m.span())]
-        for i, (start, _) in enumerate(groups):
-            digits = 0
-            for first, end in groups[i : i + _GROUPS]:
-                digits += end - first
-                if digits >= _CARD_DIGITS.stop:
-                    break
-                opened = start - (text[start - 1 : start] == "(" and ")" in text[start:end])
-                if digits in _PHONE_DIGITS:
-                    out.append(("phone", opened, end))
-                if digits in _CARD_DIGITS:
-                    out.append(("card", start, end))
+        n, most = len(groups), _CARD_DIGITS.stop - 1
+        runs = {(i, i + 1) for i in range(n)}
+        digits = 0
+        for j in range(n):
+            if (digits := digits + groups[j][1] - groups[j][0]) > most:
+                break
+            runs.add((0, j + 1))
+        digits = 0
+        for i in range(n - 1, -1, -1):
+            if (digits := digits + groups[i][1] - groups[i][0]) > most:
+                break
+            runs.add((i, n))
+        first = 0
+        for i in range(1, n):
+            if i - 1 > first and text[groups[i - 1][1] : groups[i][0]] != text[groups[first][1] : groups[first + 1][0]]:
+                runs.add((first, i))
+                first = i - 1
+        runs.add((first, n))
+        for i, j in sorted(runs):
+            start, end = groups[i][0], groups[j - 1][1]
+            digits = sum(e - s for s, e in groups[i:j]) if j - i <= most else most + 1
+            opened = start - (text[start - 1 : start] == "(" and ")" in text[start:end])
+            if digits in _PHONE_DIGITS:
+                out.append(("phone", opened, end))
+            if digits in _CARD_DIGITS:
+                out.append(("card", start, end))
     return out
 
 
