@@ -99,8 +99,11 @@ def bellman_edges() -> list[Column]:
 def average_ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
     """``rows`` with ranks from 1, ties sharing their mean. Ranks come from counts of distinct values.
 
-    A running sum over the distinct values' counts stands for a window over all rows.
+    A running sum over the distinct values' counts stands for a window over all rows. The ranks are written, so that
+    their size is known when rows are joined to them: few values are broadcast and no row is shuffled; of many, a hot
+    one is split.
     """
+    from slackline.plans import scratch
     from slackline.plans.numbering import numbered
 
     counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
@@ -110,7 +113,7 @@ def average_ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
     before = totals.select("__block", F.coalesce(F.sum("__sum").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     within = F.coalesce(F.sum("__n").over(Window.partitionBy("__block").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = blocks.withColumn("__before", within).join(before, "__block").select(column, (F.col("__base") + F.col("__before") + (F.col("__n") + 1) / 2).alias(name))
-    return rows.join(ranks, column, "left")
+    return rows.join(scratch.table(ranks, "ranks"), column, "left")
 
 
 def bellman_nodes(nodes: DataFrame, prefix: str = "bellman_node") -> DataFrame:

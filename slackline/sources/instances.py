@@ -43,6 +43,31 @@ class Instance:
         spark.createDataFrame([(self.k, [list(map(int, r)) for r in self.distances])], "k long, distances array<array<long>>").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
+#: Bytes of an array that may be broadcast, at most.
+SHARED_BYTES = 256 << 20
+
+
+@dataclass
+class Shared:
+    """What many candidates read: instances by name, as tables, and small arrays, broadcast once."""
+
+    instances: dict[str, Instance]
+    arrays: dict[str, object]
+
+    @classmethod
+    def of(cls, spark: SparkSession, instances: dict[str, Instance], arrays: dict | None = None, most: int = SHARED_BYTES) -> Shared:
+        """Raises for an array over ``most`` bytes: that belongs in a table."""
+        sent = {}
+        for name, a in (arrays or {}).items():
+            if a.nbytes > most:
+                raise ValueError(f"{name} has {a.nbytes} bytes, {most} at most are broadcast")
+            sent[name] = spark.sparkContext.broadcast(a)
+        return cls(dict(instances), sent)
+
+    def array(self, name: str):
+        return self.arrays[name].value
+
+
 def load(spark: SparkSession, path: str) -> Instance:
     meta = spark.read.parquet(f"{path}/meta").first()
     return Instance(meta["k"], [list(r) for r in meta["distances"]], spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")).check()

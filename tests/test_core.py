@@ -490,6 +490,22 @@ def test_compressed_instances_stream_both_ways(spark, graph, tmp_path, monkeypat
     assert key(instances.from_npz(spark, path).nodes, "id", "bellman")[7] == (7, 7.0)
 
 
+def test_shared_arrays_are_bounded(spark, graph):
+    found = instances.Shared.of(spark, {"a": instances.from_graph(graph)}, {"x": np.arange(10)})
+    sent = found.arrays["x"]
+    assert found.instances["a"].k == 3 and found.array("x").sum() == 45
+
+    def added(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([int(sent.value[i]) for i in b.column(0).to_pylist()])], ["x"])
+
+    assert spark.range(10).mapInArrow(added, "x long").agg(F.sum("x")).first()[0] == 45
+    with pytest.raises(ValueError):
+        instances.Shared.of(spark, {}, {"x": np.arange(10)}, most=79)
+
+
 def test_fingerprints_are_trees(spark):
     rows = spark.range(300).select(F.col("id").alias("edge_id"), F.lit(0).cast("long").alias("u_phi"), (F.col("id") * 3).alias("v_phi"))
     deep, flat = (evaluate.fingerprint(rows, b).first()[0] for b in (4, 4096))
