@@ -40,7 +40,7 @@ HOT = 1_000
 #: Bytes of text in a chunk, the unit that marks return to.
 CHUNK_BYTES = 4 << 20
 #: Bytes of text for each shuffle partition, so that tasks don't grow with the table, and partitions at most.
-PARTITION_BYTES, PARTITIONS = 32 << 20, 100_000
+PARTITION_BYTES, PARTITIONS = 8 << 20, 100_000
 #: Anchors counted in one bucket, and segments sorted in one block, about.
 BUCKET_ANCHORS, BLOCK_ROWS = 1 << 20, 1 << 17
 #: Windows handled at a time; their places fit the low bits of a key.
@@ -360,7 +360,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
     total = names.agg(F.sum("n_bytes").alias("b")).first()["b"] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(PARTITIONS, -(-total // PARTITION_BYTES)))
-    n_chunks = max(4 * partitions, -(-total // CHUNK_BYTES))
+    n_chunks = max(2 * partitions, -(-total // CHUNK_BYTES))
     n_buckets = max(partitions, -(-total // (16 * BUCKET_ANCHORS)))
     chunk = F.pmod(F.xxhash64("doc"), F.lit(n_chunks))
     of = firsts.select(F.col("first").alias("doc"), "digest")
