@@ -352,15 +352,15 @@ def test_staged_search_fills_stages_in_order(graph):
     p = potentials.Canonical(c, 3, [[1, 2, 3], [-1, 2, 3], [-2, -2, 3], [-3, -3, -3]])
     table = (graph.nodes, graph.edges)
     loose = {"stage_a": 2000, "stage_b": 2000}
-    rows = plan_search.staged(p, table, p, table, ["seed_sparse", "seed_dense", "mutate_full"], rounds=2, batch=4, full=2, most=loose).collect()
-    assert len({tuple(r["coefs"]) for r in rows}) == len(rows) > 3
+    rows = plan_search.staged(p, table, p, table, ["seed_sparse", "seed_dense", "mutate_full"], rounds=2, batch=3, full=1, most=loose).collect()
+    assert len({tuple(r["coefs"]) for r in rows}) == len(rows) > 2
     true = dict(zip([r["candidate_id"] for r in rows], plan_search.violations(p, *table, [r["coefs"] for r in rows])))
     done = [r for r in rows if r["stage_d"] is not None]
-    assert 2 <= len(done) <= 4
+    assert 1 <= len(done) <= 2
     for r in rows:
         assert r["stage_a"] == true[r["candidate_id"]] and r["stage_d"] in (None, r["stage_a"])
         assert (r["stage_c"] is None) <= (r["stage_d"] is None)
-    strict = plan_search.staged(p, table, p, table, ["seed_sparse"], rounds=1, batch=4).collect()
+    strict = plan_search.staged(p, table, p, table, ["seed_sparse"], rounds=1, batch=2).collect()
     assert all((r["stage_b"] is None) == (r["stage_a"] > 0) for r in strict)
 
 
