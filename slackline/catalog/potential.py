@@ -16,13 +16,13 @@ def _circle() -> Context:
     return Context.of(1, metrics.circle_matrix(POINTS))
 
 
-def pairs(coefs=None, step: int = 8) -> potentials.Canonical:
-    """Two places on the circle, w(a) + w(antipode of b) - coef * d(a, b); every ``step``-th point can be one."""
-    return potentials.Canonical(_circle(), 2, [[1], [-2]], coefs, support=list(range(0, POINTS, step)))
+def pairs(coefs=None) -> potentials.Canonical:
+    """Two places on the whole circle, w(a) + w(antipode of b) - coef * d(a, b): 4 096 assignments."""
+    return potentials.Canonical(_circle(), 2, [[1], [-2]], coefs)
 
 
 _D = f"least(abs(a - b), {POINTS} - abs(a - b))"
-LATENT_SQL = f"latent AS (SELECT x * 8 + y AS a_id, x * 8 AS a, y * 8 AS b FROM range(8) p(x), range(8) q(y)), priced AS (SELECT a_id, a, b, (b + {POINTS // 2}) % {POINTS} AS opposite, {_D} AS d FROM latent)"
+LATENT_SQL = f"latent AS (SELECT a * {POINTS} + b AS a_id, a, b FROM range({POINTS}) p(a), range({POINTS}) q(b)), priced AS (SELECT a_id, a, b, (b + {POINTS // 2}) % {POINTS} AS opposite, {_D} AS d FROM latent)"
 
 
 @query(f"WITH {LATENT_SQL} SELECT a_id, a AS first, opposite AS second FROM priced")
@@ -35,13 +35,15 @@ def latent_penalty(spark, sf_dir):
     return pairs([2]).latents(spark).select("a_id", "penalty")
 
 
-@query(f"WITH {NODES_SQL}, {LATENT_SQL} SELECT id, a_id, CAST(wf[a + 1] + wf[opposite + 1] - 2 * d AS BIGINT) AS value FROM nodes, priced")
+@query(f"WITH {NODES_SQL}, {LATENT_SQL}, v AS (SELECT id, a_id, wf[a + 1] + wf[opposite + 1] - 2 * d AS value FROM nodes, priced) SELECT id, count(*) AS assignments, CAST(min(value) AS BIGINT) AS least, CAST(max(value) AS BIGINT) AS most, CAST(sum(value) AS BIGINT) AS total, CAST(sum(value * (a_id + 1)) AS BIGINT) AS checksum FROM v GROUP BY id")
 def latent_values(spark, sf_dir):
-    """The value of every assignment at every node."""
+    """The values of all assignments at every node, summed up; the checksum tells which is whose."""
     p = pairs([2])
-    one = F.array(*(F.struct(F.lit(i).cast("long").alias("a_id"), F.lit(int(g[0])).alias("x"), F.lit(int(g[1])).alias("y"), F.lit(int(c)).alias("c")) for i, (g, c) in enumerate(zip(p.gathers.T, p.penalties()))))
-    at = bindings.nodes(spark, sf_dir).select("id", "wf", F.explode(one).alias("l"))
-    return at.select("id", "l.a_id", (F.element_at("wf", F.col("l.x") + 1) + F.element_at("wf", F.col("l.y") + 1) - F.col("l.c")).alias("value"))
+    one = p.latents(spark).agg(F.collect_list(F.struct("a_id", "gathers", "penalty")).alias("latents"))  # one row
+    at = bindings.nodes(spark, sf_dir).select("id", "wf").join(F.broadcast(one)).select("id", "wf", F.explode("latents").alias("l"))
+    value = F.element_at("wf", (F.col("l.gathers")[0] + 1).cast("int")) + F.element_at("wf", (F.col("l.gathers")[1] + 1).cast("int")) - F.col("l.penalty")
+    v = at.select("id", F.col("l.a_id").alias("a_id"), value.alias("value"))
+    return v.groupBy("id").agg(F.count("*").alias("assignments"), F.min("value").alias("least"), F.max("value").alias("most"), F.sum("value").alias("total"), F.sum(F.col("value") * (F.col("a_id") + 1)).alias("checksum"))
 
 
 _BEST = f"WITH {NODES_SQL}, {LATENT_SQL}, v AS (SELECT id, a_id, wf[a + 1] + wf[opposite + 1] - 2 * d AS value FROM nodes, priced) SELECT id, CAST(min(value) AS BIGINT) AS value, min((value, a_id))[2] AS a_id FROM v GROUP BY id"
@@ -67,27 +69,38 @@ def candidate_scores(spark, sf_dir):
     return pairs().scores(bindings.nodes(spark, sf_dir), c)
 
 
-@query()
+@query(_BEST)
 def canonical_potential_full(spark, sf_dir):
-    """canonical_potential over the whole circle: all 4096 assignments, in Arrow batches."""
-    n = potentials.distinct(bindings.nodes(spark, sf_dir).select("id", "wf"), pairs([2], step=1).arrow())
-    return n.select("id", "phi.value", "phi.a_id")
+    """The same by branch and bound: a task for each point that the first place can be, and the least of their minima."""
+    return pairs([2]).spread(bindings.nodes(spark, sf_dir).select("id", "wf"))
+
+
+@query(f"""WITH {NODES_SQL}, inner_best AS (SELECT id, y.b, min(wf[z.c + 1] - least(abs(y.b - z.c), {POINTS} - abs(y.b - z.c))) AS v FROM nodes, range({POINTS}) y(b), range({POINTS}) z(c) GROUP BY ALL)
+SELECT n.id, CAST(min(wf[a + 1] + wf[(i.b + {POINTS // 2}) % {POINTS} + 1] + v - 2 * least(abs(a - i.b), {POINTS} - abs(a - i.b))) AS BIGINT) AS value FROM nodes n JOIN inner_best i ON i.id = n.id, range({POINTS}) x(a) GROUP BY n.id""")
+def canonical_three(spark, sf_dir):
+    """Three places in a chain, 262 144 assignments, by branch and bound in Arrow batches."""
+    p = potentials.Canonical(_circle(), 3, [[1], [-2], [3]], [2, 0, 1])
+    n = potentials.distinct(bindings.nodes(spark, sf_dir).select("id", "wf"), p.arrow())
+    return n.select("id", "phi.value")
 
 
 _STAGES = [potentials.Stage(0, [(False, 1)]), potentials.Stage(1, [(True, 1)], [((True, 1), (False, 1), -1.0)])]
 
 
-@query(f"""WITH {NODES_SQL}, o AS (SELECT x * 8 AS a FROM range(8) p(x)), i AS (SELECT id, o.a, min(wf[j.b + 1] - least(abs(o.a - j.b), {POINTS} - abs(o.a - j.b))) AS inner_best FROM nodes, o, (SELECT y * 8 AS b FROM range(8) q(y)) j GROUP BY ALL)
-SELECT id, CAST(min(wf[i.a + 1] + inner_best) AS DOUBLE) AS phi FROM i JOIN nodes USING (id) GROUP BY id""")
+_NESTED = f"""WITH {NODES_SQL}, i AS (SELECT id, o.a, min(wf[j.b + 1] - least(abs(o.a - j.b), {POINTS} - abs(o.a - j.b))) AS inner_best FROM nodes, range({POINTS}) o(a), range({POINTS}) j(b) GROUP BY ALL)
+SELECT id, CAST(min(wf[i.a + 1] + inner_best) AS DOUBLE) AS phi FROM i JOIN nodes USING (id) GROUP BY id"""
+
+
+@query(_NESTED)
 def evader_potential(spark, sf_dir):
     """An outer point's value plus the least inner one, the inner paying its distance."""
-    p = potentials.Evader(_circle(), 1, _STAGES, support=list(range(0, POINTS, 8)))
+    p = potentials.Evader(_circle(), 1, _STAGES)
     return potentials.distinct(bindings.nodes(spark, sf_dir).select("id", "wf"), p.arrow()).select("id", F.col("phi.value").alias("phi"))
 
 
-@query()
+@query(_NESTED)
 def evader_potential_full(spark, sf_dir):
-    """evader_potential over the whole circle: all 64 points, outer and inner."""
+    """The same with all 64 points named as its support."""
     p = potentials.Evader(_circle(), 1, _STAGES, support=list(range(POINTS)))
     return potentials.distinct(bindings.nodes(spark, sf_dir).select("id", "wf"), p.arrow()).select("id", F.col("phi.value").alias("phi"))
 

@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 
 from slackline.functions import arrays
 from slackline.operators.configs import Context
+from slackline.operators.minima import Search
+
+#: Assignments up to which all are looked at; beyond, ``Search`` finds the same minima by branch and bound.
+DENSE = 1 << 16
+#: Work functions that branch and bound takes at once.
+SEARCHED = 64
 
 
 def arrow(function: Callable) -> Callable[[Column], Column]:
@@ -72,39 +78,64 @@ class Canonical:
         rows = [[-4] * 3, *([4, i + 1, -((i + 1) % 3 + 1)] for i in range(3))]
         return cls(context, 4, rows, [int(b < 3) for _, b in combinations(range(4), 2)])
 
+    @cached_property
+    def choices(self) -> list[int]:
+        """What a place can be, in the order of assignments."""
+        return list(self.support) if self.support is not None else list(range(self.context.m))
+
+    @property
+    def size(self) -> int:
+        """Assignments."""
+        return len(self.choices) ** self.n
+
+    @cached_property
+    def search(self) -> Search:
+        return Search(self.context, self.n, self.index_matrix, self.support)
+
+    def assigned(self, numbers: np.ndarray) -> np.ndarray:
+        """[assignment, place]: the points of the assignments with these numbers, the first place varying slowest."""
+        s = len(self.choices)
+        return np.array(self.choices, np.int64)[numbers[:, None] // s ** np.arange(self.n)[::-1] % s]
+
     @cached_property
     def points(self) -> np.ndarray:
-        """Assignments, the first place varying slowest."""
-        return np.array(list(product(self.support if self.support is not None else range(self.context.m), repeat=self.n)), np.int64)
+        """All assignments."""
+        if self.size > DENSE:
+            raise ValueError(f"{self.size} assignments are too many to hold: see search")
+        return self.assigned(np.arange(self.size))
 
     @cached_property
     def gathers(self) -> np.ndarray:
         """[row, assignment]: positions in the work function."""
-        m, memo = self.context.m, {}
-        out = np.empty((len(self.index_matrix), len(self.points)), np.int64)
-        for r, row in enumerate(self.index_matrix):
-            cols = [self.points[:, abs(p) - 1] if p > 0 else (self.points[:, abs(p) - 1] + m // 2) % m for p in row]
-            for a, cfg in enumerate(map(tuple, np.sort(np.stack(cols, axis=1), axis=1).tolist())):
-                if cfg not in memo:
-                    memo[cfg] = self.context.idx(cfg)
-                out[r, a] = memo[cfg]
+        return np.ascontiguousarray(self.search.positions(self.points).T)
+
+    def priced(self, points: np.ndarray, coefs: list[int] | None = None) -> np.ndarray:
+        """The penalties of assignments, by coefficients for the pairs of places."""
+        coefs, d = self.coefs if coefs is None else coefs, np.array(self.context.distances, np.int64)
+        out = np.zeros(len(points), np.int64)
+        for (i, j), c in zip(combinations(range(self.n), 2), coefs or ()):
+            if c:
+                out += c * d[points[:, i], points[:, j]]
         return out
 
-    @cached_property
-    def distances(self) -> np.ndarray:
-        """[assignment, pair of places]."""
-        d = np.array(self.context.distances)
-        pairs = list(combinations(range(self.n), 2))
-        return np.stack([d[self.points[:, i], self.points[:, j]] for i, j in pairs], axis=1) if pairs else np.zeros((len(self.points), 0), np.int64)
-
     def penalties(self, coefs: list[int] | None = None) -> np.ndarray:
-        coefs = self.coefs if coefs is None else coefs
-        return self.distances @ np.array(coefs, np.int64) if coefs is not None and len(coefs) else np.zeros(len(self.points), np.int64)
+        return self.priced(self.points, coefs)
 
     def latents(self, spark) -> DataFrame:
-        """a_id, points, gathers, penalty: |support|^n rows."""
-        rows = zip(range(len(self.points)), self.points.tolist(), self.gathers.T.tolist(), self.penalties().tolist())
-        return spark.createDataFrame(list(rows), "a_id long, points array<long>, gathers array<long>, penalty long")
+        """a_id, points, gathers, penalty: |support|^n rows, made in blocks where their numbers are."""
+        from slackline.plans.explore import lists_of
+
+        self.search.grown  # noqa: B018  computed once, on the driver
+
+        def made(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                numbers = b.column(0).to_numpy()
+                points = self.assigned(numbers)
+                yield pa.RecordBatch.from_arrays([b.column(0), lists_of(points), lists_of(self.search.positions(points)), pa.array(self.priced(points))], ["a_id", "points", "gathers", "penalty"])
+
+        return spark.range(self.size).mapInArrow(made, "a_id long, points array<long>, gathers array<long>, penalty long")
 
     def column(self, wf: str | Column, one_row: Column) -> Column:
         """struct<value, a_id>: the least value and the first assignment that has it. ``one_row``: all latents as an array."""
@@ -128,10 +159,22 @@ class Canonical:
             out += wfs[:, g]
         return out
 
+    def minima(self, wfs: np.ndarray, coefs: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Least values and first assignments of rows of work functions: over all assignments, or by branch and bound."""
+        if self.size > DENSE:
+            return self.search.minima(wfs, self.coefs if coefs is None else coefs)
+        v = self.values(wfs) - self.penalties(coefs)
+        return v.min(axis=1), v.argmin(axis=1)
+
+    def _ready(self) -> None:
+        """What tasks share is computed on the driver, once."""
+        self.search.grown  # noqa: B018
+        if self.size <= DENSE:
+            self.gathers  # noqa: B018
+
     def arrow(self) -> Callable[[Column], Column]:
         """The same as a column function on Arrow batches: struct<value, a_id>."""
-        penalties = self.penalties()
-        self.gathers  # noqa: B018  computed once, on the driver
+        self._ready()
 
         @F.arrow_udf("struct<value:long,a_id:long>")
         def canonical(wfs):
@@ -139,30 +182,66 @@ class Canonical:
 
             rows = wfs.to_pylist()
             value, a_id = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-            for at in range(0, len(rows), 64):
-                v = self.values(np.array(rows[at : at + 64], np.int64)) - penalties
-                a_id[at : at + 64] = v.argmin(axis=1)
-                value[at : at + 64] = v.min(axis=1)
+            for at in range(0, len(rows), SEARCHED):
+                value[at : at + SEARCHED], a_id[at : at + SEARCHED] = self.minima(np.array(rows[at : at + SEARCHED], np.int64))
             return pa.StructArray.from_arrays([pa.array(value), pa.array(a_id)], ["value", "a_id"])
 
         return canonical
 
+    def spread(self, nodes: DataFrame, places: int = 1, id_col: str = "id", wf: str = "wf") -> DataFrame:
+        """id, value, a_id for few work functions and very many assignments: a task for each choice of the first places.
+
+        The least of a part's first minima is the first minimum of all.
+        """
+        self.search.grown  # noqa: B018
+        starts = list(product(range(len(self.choices)), repeat=places))
+
+        @F.arrow_udf("long")
+        def reached(wfs):
+            import pyarrow as pa
+
+            rows = wfs.to_pylist()
+            return pa.array(self.search.descend(np.array(rows, np.int64), self.coefs) if rows else [], pa.int64())
+
+        @F.arrow_udf("struct<value:long,a_id:long>")
+        def part(wfs, limits, prefixes):
+            import pyarrow as pa
+
+            rows, limit, prefix = np.array(wfs.to_pylist(), np.int64), limits.to_numpy(), prefixes.to_numpy()
+            value, a_id = np.zeros(len(prefix), np.int64), np.zeros(len(prefix), np.int64)
+            for k in np.unique(prefix).tolist():
+                same = np.flatnonzero(prefix == k)
+                for at in range(0, len(same), SEARCHED):
+                    few = same[at : at + SEARCHED]
+                    value[few], a_id[few] = self.search.minima(rows[few], self.coefs, starts[k], limit[few])
+            return pa.StructArray.from_arrays([pa.array(value), pa.array(a_id)], ["value", "a_id"])
+
+        limited = nodes.select(id_col, wf).withColumn("limit", reached(wf))
+        parts = limited.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(len(starts) - 1)))).repartition(id_col, "start")
+        best = parts.select(id_col, part(wf, "limit", "start").alias("p")).groupBy(id_col).agg(F.min("p").alias("best"))
+        return best.select(id_col, "best.value", "best.a_id")
+
     def scores(self, nodes: DataFrame, candidates: DataFrame, id_col: str = "id", wf: str = "wf") -> DataFrame:
         """id, candidate_id, value for every candidate (candidate_id, coefs): one penalty-free pass serves all.
 
-        Candidates of one batch are few; they are broadcast.
+        Candidates of one batch are few; they are broadcast. Beyond ``DENSE`` assignments each is searched.
         """
-        sent = nodes.sparkSession.sparkContext.broadcast([(r["candidate_id"], self.penalties(r["coefs"])) for r in candidates.select("candidate_id", "coefs").collect()])
+        self._ready()
+        dense = self.size <= DENSE
+        batch = [(r["candidate_id"], self.penalties(r["coefs"]) if dense else list(r["coefs"])) for r in candidates.select("candidate_id", "coefs").collect()]
+        sent = nodes.sparkSession.sparkContext.broadcast(batch)
 
         def scored(batches):
             import pyarrow as pa
 
             for b in batches:
                 rows = b.column(1).to_pylist()
-                for at in range(0, len(rows), 64):
-                    base = self.values(np.array(rows[at : at + 64], np.int64))
-                    for c, penalties in sent.value:
-                        yield pa.RecordBatch.from_arrays([b.column(0)[at : at + 64], pa.array(np.full(len(base), c)), pa.array((base - penalties).min(axis=1))], ["id", "candidate_id", "value"])
+                for at in range(0, len(rows), SEARCHED):
+                    wfs = np.array(rows[at : at + SEARCHED], np.int64)
+                    base = self.values(wfs) if dense else None
+                    for c, own in sent.value:
+                        least = (base - own).min(axis=1) if dense else self.search.minima(wfs, own)[0]
+                        yield pa.RecordBatch.from_arrays([b.column(0)[at : at + SEARCHED], pa.array(np.full(len(wfs), c)), pa.array(least)], ["id", "candidate_id", "value"])
 
         return nodes.select(id_col, wf).mapInArrow(scored, "id long, candidate_id long, value long")
 
