@@ -28,7 +28,7 @@ from slackline.plans.numbering import numbered
 
 BUCKETS = 10_000
 #: Text in a chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Bytes of feature strings, repeats across chunks included, that a partition of the dictionary gets.
 OWNER_BYTES = 16 << 20
 
