@@ -37,42 +37,93 @@ def ride(values: DataFrame, moves: DataFrame, configs: DataFrame, s: int, t: int
     return update(carried, moves, t)
 
 
-def replay(requests: DataFrame, context: Context, start, key: str = "user_id", order: list[str] | None = None, r: str = "r", rides: tuple[str, str] | None = None) -> DataFrame:
+#: The value of what can't be reached, far above any sum of moves and far below overflow.
+FAR = 1 << 40
+
+
+def operator(context: Context) -> np.ndarray:
+    """The identity of min-plus operators: row e has 0 at configuration e. Requests update its rows as work functions."""
+    out = np.full((len(context.configs),) * 2, FAR, np.int64)
+    np.fill_diagonal(out, 0)
+    return out
+
+
+def applied(rows: np.ndarray, wf: np.ndarray) -> np.ndarray:
+    """A work function after the requests that an operator's rows have seen."""
+    return (wf[:, None] + rows).min(axis=0)
+
+
+def replay(requests: DataFrame, context: Context, start, key: str = "user_id", order: list[str] | None = None, r: str = "r", rides: tuple[str, str] | None = None, partitions: int | None = None) -> DataFrame:
     """key, n, wf: each key's work function after all its requests in order.
 
-    Requests are sorted by key and order, and folded as they stream by: a task holds one work function, however many
-    requests a key has. ``rides`` names source and target columns instead of ``r``.
+    Requests are sorted by ranges of key and order, so a key with very many lies in many tasks. A request is a min-plus operator:
+    linear in the work function. A task folds the keys that begin in it from the start; of its first key, which may have begun
+    before, it folds the operator instead, as one work function for each configuration. A task leaves two open pieces at most, its
+    first key's and its last key's; those meet by key, in order, as a stream. ``rides`` names source and target
+    columns instead of ``r``. Rows with the same key and order are folded in any order; a null key is a key.
     """
+    from pyspark import TaskContext
+
+    from slackline.plans import scratch
+
     order = order or ["ts", "event_id"]
     at = [F.col(rides[0]).alias("s"), F.col(rides[1]).alias("t")] if rides else [F.lit(None).cast("long").alias("s"), F.col(r).alias("t")]
-    sorted_rows = requests.select(F.col(key).alias("key"), *at, *(F.col(c).alias(f"o{i}") for i, c in enumerate(order))).repartition("key").sortWithinPartitions("key", *(f"o{i}" for i in range(len(order))))
-    first = context.initial(start)
-
-    def folded(batches):
+    keys = ["key", *(f"o{i}" for i in range(len(order)))]
+    rows = requests.select(F.col(key).alias("key"), *at, *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)))
+    ranged = (rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+    first, width = context.initial(start), len(context.configs)
+    names = ["key", "part", "n", "whole", "values"]
+    after = (lambda wf, s, t: context.ride(wf, s, t)) if rides else (lambda wf, s, t: context.update(wf, t))
+
+    def rows_of(done, kind):
         import pyarrow as pa
 
-        def emit(rows, kind):
-            keys, counts, wfs = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(counts, pa.int64()), pa.array(wfs, pa.list_(pa.int64()))], [key, "n", "wf"])
+        columns = list(zip(*done))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.bool_()), pa.array([v.ravel() for v in columns[4]], pa.list_(pa.int64()))], names)
 
-        done, kind, now, n, wf = [], None, None, 0, first
+    def folded(batches):
+        """Pieces: the key's part, its requests, whether it is whole, and a work function or an operator."""
+        part, done, kind, now, n, open_, wf = TaskContext.get().partitionId(), [], None, None, 0, False, None
         for b in batches:
             kind = b.schema.field(0).type
             for k, s, t in zip(*(c.to_pylist() for c in b.columns)):
+                if not n or k != now:
+                    if n:
+                        done.append((now, part, n, not open_, wf))
+                    open_ = not n and part > 0  # the first key of all but the first task may have begun before
+                    now, n, wf = k, 0, operator(context) if open_ else first
+                n, wf = n + 1, after(wf, s, t)
+            if len(done) >= 1024:
+                yield rows_of(done, kind)
+                done = []
+        if n:
+            done.append((now, part, n, False, wf))
+        if done:
+            yield rows_of(done, kind)
+
+    def met(batches):
+        """Open pieces of a key, in the order of parts, to its work function."""
+        done, kind, now, n, wf = [], None, None, 0, first
+        for b in batches:
+            kind = b.schema.field(0).type
+            for i, (k, more) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
                 if n and k != now:
-                    done.append((now, n, wf.tolist()))
+                    done.append((now, 0, n, True, wf))
                     n, wf = 0, first
-                now, n, wf = k, n + 1, context.ride(wf, s, t) if rides else context.update(wf, t)
+                values = b.column(4)[i].values.to_numpy()
+                now, n, wf = k, n + more, values if len(values) == width > 1 else applied(values.reshape(width, width), wf)
             if len(done) >= 1024:
-                yield emit(done, kind)
+                yield rows_of(done, kind)
                 done = []
         if n:
-            done.append((now, n, wf.tolist()))
+            done.append((now, 0, n, True, wf))
         if done:
-            yield emit(done, kind)
+            yield rows_of(done, kind)
 
-    kind = requests.schema[key].dataType.simpleString()
-    return sorted_rows.select("key", "s", "t").mapInArrow(folded, f"{key} {kind}, n long, wf array<long>")
+    schema = f"key {requests.schema[key].dataType.simpleString()}, part int, n long, whole boolean, values array<long>"
+    held = scratch.table(ranged.select("key", "s", "t").mapInArrow(folded, schema), "replay-pieces")
+    joined = held.where("not whole").repartition("key").sortWithinPartitions("key", "part").mapInArrow(met, schema)
+    return held.where("whole").union(joined).select(F.col("key").alias(key), "n", F.col("values").alias("wf"))
 
 
 def halves(context: Context) -> list[int]:

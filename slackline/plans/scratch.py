@@ -22,11 +22,19 @@ def root(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def path(spark: SparkSession, name: str) -> str:
+    return f"{root(spark)}/slackline/{name}-{uuid.uuid4().hex}"
+
+
+def forget_at_exit(spark: SparkSession, at: str) -> None:
+    """Lazy results read scratch until the application ends; then it is deleted."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(at)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` and reads it back: the lineage ends here, and a lost executor costs nothing done before."""
-    path = f"{root(df.sparkSession)}/slackline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # lazy results read it until the application ends
-    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = path(df.sparkSession, name)
+    df.write.parquet(at)
+    forget_at_exit(df.sparkSession, at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
