@@ -31,8 +31,8 @@ from slackline.llm import shared
 
 #: Bytes of text that a trie holds before it spills a subtree.
 TRIE_BYTES = 128 << 20
-#: Buckets of (length, content hash); an owner holds one at a time.
-BUCKETS = 1 << 16
+#: Buckets of (length, content hash), one for each ``BUCKET_BYTES`` of the written texts at least; an owner holds one at a time.
+BUCKETS, BUCKET_BYTES = 1 << 16, 4 << 20
 
 
 class _Node:
@@ -72,12 +72,13 @@ class Trie:
         self.merge, self.budget, self.settled = merge, budget, settled
         self.root, self.held = _Node(b""), 0
         self.spilled: dict[bytes, object] = {}  # prefix: file with what follows it
+        self.lengths: list[int] = []  # of prefixes that were spilled
 
     def add(self, key: bytes, value, known: bool = False) -> None:
         """``known``: the value was settled before."""
-        for prefix, f in self.spilled.items():
-            if key.startswith(prefix):
-                pickle.dump((key[len(prefix) :], value, known), f)
+        for n in self.lengths:
+            if (f := self.spilled.get(key[:n])) is not None and n <= len(key):
+                pickle.dump((key[n:], value, known), f)
                 return
         node, rest, held = self.root, key, value
         while rest:
@@ -114,6 +115,8 @@ class Trie:
             return
         weights = {b: self._weight(c) for b, c in node.children.items()}
         heaviest = max(weights, key=weights.get)
+        if len(prefix) + 1 not in self.lengths:
+            self.lengths.append(len(prefix) + 1)
         f = self.spilled[prefix + bytes([heaviest])] = tempfile.TemporaryFile(prefix="trie-")
         for key, value in self._walk(node.children.pop(heaviest), b""):
             pickle.dump((key[1:], value, True), f)
@@ -221,7 +224,8 @@ def _own(id_kind: str, largest: bool, budget: int):
     """mapInArrow function over representatives in order of bucket: the class of each."""
 
     def merge(old, new):
-        return [_better(old[0], new[0], largest), old[1] + new[1], old[2] + new[2]]
+        old[2].extend(new[2])  # in place: a class has a representative for each input partition
+        return [_better(old[0], new[0], largest), old[1] + new[1], old[2]]
 
     def owned(batches):
         import pyarrow as pa
@@ -257,7 +261,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: s
     kind = docs.schema[id_col].dataType.simpleString()
     f, schema = _combine(kind, keep == "largest", trie_bytes)
     combined = shared.table(docs.select(id_col, shared.text_or_empty(text).alias("text")).mapInArrow(f, schema), "exact-dedup")
-    bucket = F.pmod(F.xxhash64(F.octet_length("text"), "text"), F.lit(BUCKETS)).cast("int")
+    buckets = max(BUCKETS, shared.written_bytes(combined) // BUCKET_BYTES)
+    bucket = F.pmod(F.xxhash64(F.octet_length("text"), "text"), F.lit(buckets))
     reps = combined.where("n is not null").select(bucket.alias("bucket"), "id", "row", "rep", "text", "n")
     f, schema = _own(kind, keep == "largest", trie_bytes)
     owned = reps.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(f, schema)

@@ -106,6 +106,8 @@ _ASSIGNED = re.compile(r"\b(?:api[_-]?key|access[_-]?key|private[_-]?key|client[
 _MIXED = re.compile(r"[A-Za-z0-9_+/=-]{20,}")
 #: Digits of a phone and of a card.
 _PHONE_DIGITS, _CARD_DIGITS = range(7, 16), range(13, 20)
+#: Digits that a phone's groups have on average at least, to be scored.
+GROUP_SIZE = 1.5
 #: Fixed cues before a span, by kind, and cues of something else.
 _BEFORE = {
     "email": re.compile(r"mail|write|contact|reach", re.I),
@@ -145,40 +147,26 @@ def _written_emails(text: str) -> list[tuple[int, int]]:
 
 
 def _numbers(text: str) -> list[tuple[str, int, int]]:
-    """Runs of neighbouring digit groups with the digits of a phone or a card.
+    """All runs of neighbouring digit groups with the digits of a phone, or of a card with its checksum.
 
-    Of a cluster of groups: runs from its start or up to its end, single groups, and longest runs with one separator.
-    So a table of numbers has no more candidates than groups, but for some at its ends.
+    From each group a run grows while it has no more digits than a card, so a text has at most as many runs as that for
+    each group, whatever stands around it.
     """
-    out = []
+    out, most = [], _CARD_DIGITS.stop - 1
     for m in _NUMBER.finditer(text):
         groups = [g.span() for g in _GROUP.finditer(text, *m.span())]
-        n, most = len(groups), _CARD_DIGITS.stop - 1
-        runs = {(i, i + 1) for i in range(n)}
-        digits = 0
-        for j in range(n):
-            if (digits := digits + groups[j][1] - groups[j][0]) > most:
-                break
-            runs.add((0, j + 1))
-        digits = 0
-        for i in range(n - 1, -1, -1):
-            if (digits := digits + groups[i][1] - groups[i][0]) > most:
-                break
-            runs.add((i, n))
-        first = 0
-        for i in range(1, n):
-            if i - 1 > first and text[groups[i - 1][1] : groups[i][0]] != text[groups[first][1] : groups[first + 1][0]]:
-                runs.add((first, i))
-                first = i - 1
-        runs.add((first, n))
-        for i, j in sorted(runs):
-            start, end = groups[i][0], groups[j - 1][1]
-            digits = sum(e - s for s, e in groups[i:j]) if j - i <= most else most + 1
-            opened = start - (text[start - 1 : start] == "(" and ")" in text[start:end])
-            if digits in _PHONE_DIGITS:
-                out.append(("phone", opened, end))
-            if digits in _CARD_DIGITS:
-                out.append(("card", start, end))
+        for i, (start, _) in enumerate(groups):
+            digits = ""
+            for j in range(i, min(i + most, len(groups))):
+                first, end = groups[j]
+                if len(digits) + end - first > most:
+                    break
+                digits += text[first:end]
+                if len(digits) in _PHONE_DIGITS:
+                    opened = start - (text[start - 1 : start] == "(" and ")" in text[start:end])
+                    out.append(("phone", opened, end))
+                if len(digits) in _CARD_DIGITS and luhn(digits):
+                    out.append(("card", start, end))
     return out
 
 
@@ -194,9 +182,15 @@ def proposed(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str, base: list | None = None) -> list[tuple[str, int, int, list[float]]]:
-    """Proposed spans that no base span overlaps, with features."""
+    """Proposed spans that no base span overlaps and that aren't weak, with features."""
     free = Taken([(s, e) for _, s, e in (base_spans(text) if base is None else base)])
-    return [(kind, s, e, describe(kind, text, s, e)) for kind, s, e in proposed(text) if free.clear(s, e)]
+    return [(kind, s, e, describe(kind, text, s, e)) for kind, s, e in proposed(text) if free.clear(s, e) and not (kind == "phone" and weak(text[s:e]))]
+
+
+def weak(body: str) -> bool:
+    """Phones told digit by digit: under ``GROUP_SIZE`` digits a group. Lists of small numbers have very many such runs."""
+    groups = _GROUP.findall(body)
+    return sum(map(len, groups)) < GROUP_SIZE * len(groups)
 
 
 class Taken:

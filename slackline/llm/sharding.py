@@ -12,8 +12,13 @@ table has in them, and the new version is what places its rows. Without a path t
 Rows of equal texts are no unit: slots come from id and text, since copies can be a third of all rows and one shard
 that held them would break the law of near equal bytes.
 
+Rows that repeat, id and text alike, can be a third of all rows as well. Classes of more than ``1 / HEAVY`` of the rows, of
+which there are fewer than ``HEAVY``, are spread: their rows' slots come from the row, not from what it says. Records are
+written once with their slots, so all that is counted holds for what is placed.
+
 Contract: a null text has size 1 and checksum 0, a null or repeated id is a record like any other (slots come
-from id and text together), an empty table gives no rows, and other columns of the input are ignored.
+from id and text together, of heavy repeats from the row), an empty table gives no rows, and other columns of the input are
+ignored. Which of equal rows gets which place is open.
 """
 
 from __future__ import annotations
@@ -25,6 +30,10 @@ from pyspark.sql import functions as F
 from slackline.llm import shared
 
 SLOTS = 4096
+#: Parts of a slot, whose rows are numbered apart.
+PARTS = 16
+#: A class of equal rows with more than this part of all rows is spread over slots.
+HEAVY = 1 << 16
 MAP_SCHEMA = "version int, slot int, shard int, bytes long, rows long"
 
 
@@ -109,28 +118,43 @@ def next_map(stats: DataFrame, shards: int, path: str) -> DataFrame:
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text: str = "text", slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Each record with size, text_crc32, virtual_slot, map_version, shard and its place in the shard (``slot``).
 
-    A shard's rows are numbered slot by slot: rows before the slot come from the map's counts, rows within it
-    from a window over that slot alone, so no task holds a shard.
+    A shard's rows are numbered slot by slot and part by part: rows before come from counts, rows within a part from a
+    window over it alone, so no task holds a shard or a slot.
     """
     spark = docs.sparkSession
     kept = map_path is not None
     map_path = map_path or shared.scratch_path(spark, "shard-map")
-    body = F.coalesce(F.col(text), F.lit(""))
-    records = docs.select(
-        F.col(id_col),
-        (F.octet_length(body) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
-        slot_of(id_col, text, slots).alias("virtual_slot"),
-    )
-    stats = shared.table(slot_stats(records, slots), "shard-stats")
-    before = Window.partitionBy("shard").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    records = shared.table(_records(docs, id_col, text, slots), "shard-records")
+    counts = shared.table(records.groupBy("virtual_slot", "part").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "shard-counts")
+    every = spark.range(slots).select(F.col("id").cast("int").alias("slot"))
+    held = counts.groupBy(F.col("virtual_slot").alias("slot")).agg(F.sum("size").alias("bytes"), F.sum("rows").alias("rows"))
+    stats = shared.table(every.join(held, "slot", "left").na.fill(0, ["bytes", "rows"]), "shard-stats")
     placed = next_map(stats, shards, map_path)
     if not kept:
         shared.forget_at_exit(spark, map_path)
-    bounds = placed.select(
-        F.col("slot").alias("virtual_slot"), "shard", F.col("version").alias("map_version"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before")
+    order = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
+    bounds = counts.join(placed.select(F.col("slot").alias("virtual_slot"), "shard", F.col("version").alias("map_version")), "virtual_slot")
+    bounds = bounds.select("virtual_slot", "part", "shard", "map_version", F.coalesce(F.sum("rows").over(order), F.lit(0)).alias("rows_before"))  # slots * PARTS rows at most
+    within = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("id", "size", "text_crc32"))
+    return records.withColumn("within", within).join(F.broadcast(bounds), ["virtual_slot", "part"]).select(
+        F.col("id").alias(id_col), "size", "text_crc32", "virtual_slot", "map_version", "shard", (F.col("rows_before") + F.col("within") - 1).cast("long").alias("slot")
     )
-    within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(id_col, "size", "text_crc32"))
-    return records.withColumn("within", within).join(F.broadcast(bounds), "virtual_slot").select(
-        id_col, "size", "text_crc32", "virtual_slot", "map_version", "shard", (F.col("rows_before") + F.col("within") - 1).cast("long").alias("slot")
+
+
+def _records(docs: DataFrame, id_col: str, text: str, slots: int) -> DataFrame:
+    """id, size, text_crc32, virtual_slot and part of each row."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(
+        F.col(id_col).alias("id"),
+        (F.octet_length(body) + 1).cast("long").alias("size"),
+        F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
+        F.xxhash64(id_col, text).alias("h"),
     )
+    held = shared.table(rows.withColumn("row", F.monotonically_increasing_id()), "shard-rows")
+    total = held.agg(F.count("*").alias("total"))  # one row
+    heavy = held.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").join(F.broadcast(total)).where(F.col("n") * HEAVY > F.col("total"))
+    spread = shared.table(heavy.select("h", F.lit(True).alias("spread")), "shard-heavy")  # fewer than HEAVY rows
+    salted = F.when(F.col("spread"), F.xxhash64("h", "row")).otherwise(F.col("h"))
+    out = held.join(F.broadcast(spread), "h", "left").withColumn("at", salted)
+    part = F.pmod(F.shiftright("at", 32), F.lit(PARTS)).cast("int")
+    return out.select("id", "size", "text_crc32", F.pmod("at", F.lit(slots)).cast("int").alias("virtual_slot"), part.alias("part"))

@@ -80,6 +80,11 @@ def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def written_bytes(df: DataFrame) -> int:
+    """The size of the files of a table that was written, as the planner sees it: no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def documents(spark: SparkSession, sf_dir: str, table_name: str = "documents") -> DataFrame:
     return session(spark).read.parquet(f"{sf_dir}/{table_name}.parquet")
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -300,3 +301,16 @@ def test_near_dedup_of_odd_rows(docs, odd):
     edge = [(3, "a b c d e f g h i j k l m"), (2, "a b c d e f g h i j k l x")]  # 8 of 10 shingles
     assert [r["doc_id"] for r in near_dedup.deduplicate(docs(edge)).collect()] == [2]
     assert near_dedup.deduplicate(docs([(1, "a b c d e f g h i j k l"), (2, "a b c d e f g h i j k x")])).count() == 2  # 7 of 9
+
+
+def test_an_owner_is_linear_in_a_class_s_representatives():
+    """A class has one representative for each input partition; 100 000 of them cost about a hundred times 1 000."""
+    import pyarrow as pa
+
+    own, _ = exact_dedup._own("bigint", True, exact_dedup.TRIE_BYTES)
+    n = 100_000
+    batch = pa.RecordBatch.from_arrays([pa.array([3] * n), pa.array(range(n), pa.int64()), pa.array(range(n)), pa.array(range(n)), pa.array([b""] * n, pa.binary()), pa.array([2] * n)], ["bucket", "id", "row", "rep", "text", "n"])
+    began = time.perf_counter()
+    rows = [r for b in own(iter([batch])) for r in b.to_pylist()]
+    assert time.perf_counter() - began < 5
+    assert {r["rep"] for r in rows} == set(range(n)) and {(r["keep_id"], r["group_size"]) for r in rows} == {(n - 1, 2 * n)}
