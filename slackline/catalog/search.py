@@ -198,8 +198,9 @@ def stage_stats(spark, sf_dir):
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = bindings.read(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), (F.col("event_type") != "error").alias("done"), F.col("value").alias("duration"), at.alias("at"), ((at - F.lag(at).over(order)) / 1e6).alias("wait"))
-    over = lambda c: [x for x in ranking.percentiles(c, {f"{c}_{n}": p for n, p in _QUANTILES.items()})]
-    got = e.groupBy("stage").agg(F.count("*").alias("submitted"), F.count_if("done").alias("completed"), F.avg("duration").alias("duration_mean"), *over("duration"), *over("wait"), (F.count("*") / ((F.max("at") - F.min("at")) / 1e6)).alias("throughput"))
+    e = scratch.table(e, "stage-events")
+    whole = e.groupBy("stage").agg(F.count("*").alias("submitted"), F.count_if("done").alias("completed"), F.avg("duration").alias("duration_mean"), (F.count("*") / ((F.max("at") - F.min("at")) / 1e6)).alias("throughput"))
+    got = whole.join(ranking.quantiles(e, ["stage"], ["duration", "wait"], _QUANTILES), "stage")
     rounded = [F.round(c, 4).alias(c) for c in got.columns if c.startswith(("duration", "wait"))]
     return got.select("stage", "submitted", "completed", *rounded, F.round("throughput", 9).alias("throughput"))
 

@@ -62,9 +62,43 @@ def edge_cache(pools: DataFrame, budgets=BUDGETS, cap: int = CAP) -> DataFrame:
     return picked.orderBy("place", F.desc("score"), "edge_id").limit(cap).select("pool", "edge_id", "score")
 
 
-def percentiles(column: str, points: dict[str, float]) -> list[Column]:
-    """Exact, with linear interpolation; 0 for no rows."""
-    return [F.coalesce(F.percentile(column, F.lit(p)), F.lit(0.0)).alias(name) for name, p in points.items()]
+#: Ranks that a sketch may be off by are a part of this of a group's rows.
+ACCURACY = 10_000
+
+
+def quantiles(rows: DataFrame, by: list[str], columns: list[str], points: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
+    """``by`` and ``{column}_{point}`` for each: exact quantiles by linear interpolation, 0 for no values; nulls don't count.
+
+    Selection instead of a group's values in one buffer: a mergeable sketch brackets each wanted rank between two values,
+    rows below the bracket are counted, and only what lies inside, some rows of ``accuracy``, is put in order, as distinct values
+    with counts. That the bracket holds the rank is checked. A null is a group of its own. ``rows`` is read more than once.
+    """
+    from slackline.plans import scratch
+
+    names = [f"{c}_{n}" for c in columns for n in points]
+    wanted = [(f"__v{i}", p) for i in range(len(columns)) for p in points.values()]
+    key = F.struct(*(F.col(b).alias(f"k{i}") for i, b in enumerate(by))) if by else F.lit(0)  # in a struct, nulls are equal
+    values = rows.select(key.alias("__key"), *(F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(columns)))
+    near = lambda x, share: F.percentile_approx(x, F.lit(min(1.0, max(0.0, share))), F.lit(accuracy))
+    small = lambda x: F.count(x) <= accuracy  # noqa: E731  then the bracket is all of the group
+    low = [F.min(x) if p <= 3 / accuracy else F.when(small(x), F.min(x)).otherwise(near(x, p - 3 / accuracy)) for x, p in wanted]
+    high = [F.max(x) if p >= 1 - 3 / accuracy else F.when(small(x), F.max(x)).otherwise(near(x, p + 3 / accuracy)) for x, p in wanted]
+    cells = [F.struct(F.lit(i).alias("i"), lo.alias("low"), hi.alias("high"), ((F.count(x) - 1) * F.lit(p)).alias("at"), F.count(x).alias("n")) for i, (x, lo, hi, (_, p)) in enumerate(zip((x for x, _ in wanted), low, high, wanted))]
+    brackets = scratch.table(values.groupBy("__key").agg(F.array(*cells).alias("__b")), "quantile-brackets")
+    met = values.join(brackets, "__key")
+    less = [F.count_if(F.col(x) < F.col("__b")[i]["low"]) for i, (x, _) in enumerate(wanted)]
+    below = met.groupBy("__key").agg(F.array(*less).alias("__below"))
+    inside = [F.when(F.col(x).between(F.col("__b")[i]["low"], F.col("__b")[i]["high"]), F.struct(F.lit(i).alias("i"), F.col(x).alias("v"))) for i, (x, _) in enumerate(wanted)]
+    picked = met.select("__key", F.explode(F.filter(F.array(*inside), lambda x: x.isNotNull())).alias("p")).groupBy("__key", F.col("p.i").alias("i"), F.col("p.v").alias("v")).agg(F.count("*").alias("m"))
+    ranked = picked.withColumn("upto", F.sum("m").over(Window.partitionBy("__key", "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    one = brackets.join(below, "__key").select("__key", F.explode(F.arrays_zip("__b", "__below")).alias("z"))
+    one = one.select("__key", F.col("z.__b.i").alias("i"), F.col("z.__b.at").alias("at"), F.col("z.__b.n").alias("n"), F.col("z.__below").alias("below"))
+    first = lambda rank: F.min(F.when(F.col("below") + F.col("upto") > rank, F.col("v")))
+    found = one.join(ranked, ["__key", "i"], "left").groupBy("__key", "i", "at", "n", "below").agg(first(F.floor("at")).alias("a"), first(F.ceil("at")).alias("b"))
+    held = F.assert_true((F.col("n") <= 0) | ((F.col("below") <= F.floor("at")) & F.col("b").isNotNull()), F.lit("a sketch's bracket lost its rank"))
+    value = F.when(F.col("n") > 0, F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).otherwise(0.0)
+    settled = found.where(held.isNull()).groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("i", value.alias("q")))).alias("q"))  # an entry for each name
+    return settled.select(*(F.col("__key")[f"k{i}"].alias(b) for i, b in enumerate(by)), *(F.col("q")[i].alias(n) for i, n in enumerate(names)))
 
 
 def threshold_counts(column: str, thresholds: list[float]) -> list[Column]:
