@@ -142,18 +142,63 @@ def evaluate_support(support: DataFrame, targets: DataFrame, k: int, distance) -
     return targets.join(F.broadcast(one)).select("cfg", near.alias("value"))
 
 
-def undominated(candidates: DataFrame, k: int, distance, tol: float = 0.0) -> DataFrame:
+#: Candidates that are compared with each other at once.
+BLOCK = 256
+#: Configurations that others are told apart by: cells around them for the first pruning, bounds for the last.
+PIVOTS, BOUNDS = 32, 4
+
+
+def undominated(candidates: DataFrame, k: int, distance, tol: float = 0.0, block: int = BLOCK) -> DataFrame:
     """Candidates (ord, cfg, value) without those that a cheaper one implies.
 
     Of two with |difference| >= distance - tol, the dearer goes; of equally dear ones the earlier.
+
+    Beyond ``block`` candidates they meet in blocks. Without tolerance, what goes is never needed again (domination is transitive),
+    so first one of each configuration stays, and blocks of near ones, by cells around pivots, prune themselves. What is
+    left is put in blocks by value and meets cheaper blocks, but for those that bounds rule out: if one implies
+    another, its value plus its distance to a pivot is no more than the other's, for every pivot.
     """
-    every = candidates.agg(F.collect_list(F.struct("ord", "cfg", "value")).alias("every"))
-    implied = F.exists(
-        "every",
-        lambda o: (o["ord"] != F.col("ord")) & (F.abs(F.col("value") - o["value"]) >= arrays.set_distance(F.col("cfg"), o["cfg"], k, distance) - tol)
-        & ((F.col("value") > o["value"]) | ((F.col("value") == o["value"]) & (F.col("ord") < o["ord"]))),
-    )
-    return candidates.join(F.broadcast(every)).where(~implied).select("ord", "cfg", "value")
+    from slackline.plans import scratch
+    from slackline.plans.numbering import numbered
+
+    away = lambda a, b: arrays.set_distance(a, b, k, distance)
+
+    def implied(by: str) -> Column:
+        return F.exists(
+            by,
+            lambda o: (o["ord"] != F.col("ord")) & (F.abs(F.col("value") - o["value"]) >= away(F.col("cfg"), o["cfg"]) - tol)
+            & ((F.col("value") > o["value"]) | ((F.col("value") == o["value"]) & (F.col("ord") < o["ord"]))),
+        )
+
+    def listed(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy(*by).agg(F.collect_list(F.struct("ord", "cfg", "value")).alias("__others"))
+
+    held = scratch.table(candidates.select("ord", "cfg", "value"), "domination")
+    if held.count() <= block:
+        return held.join(F.broadcast(listed(held))).where(~implied("__others")).select("ord", "cfg", "value")
+    pivots = [r["cfg"] for r in held.orderBy(F.xxhash64("cfg", "ord")).limit(PIVOTS).collect()]
+    points = [F.array(*(F.lit(int(x)).cast("long") for x in p)) for p in pivots]
+    if not tol:
+        best = held.groupBy("cfg").agg(F.min(F.struct("value", (-F.col("ord")).alias("back"))).alias("b"))
+        held = best.select((-F.col("b.back")).alias("ord"), "cfg", F.col("b.value").alias("value"))
+        near = F.array_position(ds := F.array(*(away(F.col("cfg"), p) for p in points)), F.array_min(ds))
+        placed = numbered(held.withColumn("__cell", near), ["__cell", "value", "ord"], "__at").withColumn("__block", F.floor(F.col("__at") / block))
+        held = scratch.table(placed.join(listed(placed, "__block"), "__block").where(~implied("__others")).select("ord", "cfg", "value"), "domination")
+        if held.count() <= block:
+            return held.join(F.broadcast(listed(held))).where(~implied("__others")).select("ord", "cfg", "value")
+    placed = scratch.table(numbered(held, ["value", "ord"], "__at").withColumn("__block", F.floor(F.col("__at") / block)).drop("__at"), "domination-blocks")
+    reach = [F.col("value") + away(F.col("cfg"), p) for p in points[:BOUNDS]]
+    bounds = placed.groupBy("__block").agg(F.array(*map(F.min, reach)).alias("low"), F.array(*map(F.max, reach)).alias("high"))
+    dearer = bounds.select(F.col("__block").alias("__at"), "high", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__block"))).alias("__block"))
+    dearer = dearer.join(bounds.select("__block", "low"), "__block").where(F.forall(F.zip_with("low", "high", lambda x, y: x <= y + tol), lambda x: x))
+    meets = dearer.select("__at", "__block").join(listed(placed, "__block"), "__block").select(F.col("__at").alias("__block"), "__others")
+    gone = placed.join(meets, "__block").where(implied("__others")).select("ord").distinct()
+    if tol:  # equally dear ones may lie in the next block, which then implies the earlier
+        after = placed.select(F.col("value"), F.col("__block").alias("__own")).distinct()
+        later = placed.select("value", "__block").distinct().join(after, "value").where("__block > __own").select(F.col("__own"), "__block").distinct()
+        more = later.join(listed(placed, "__block"), "__block").select(F.col("__own").alias("__block"), "__others")
+        gone = gone.union(placed.join(more, "__block").where(implied("__others")).select("ord")).distinct()
+    return placed.join(gone, "ord", "left_anti").select("ord", "cfg", "value")
 
 
 def update_support(support: DataFrame, request: int, seen: list[int], k: int, distance, tol: float = 0.0) -> DataFrame:
