@@ -188,6 +188,28 @@ class Canonical:
 
         return canonical
 
+    def packed(self, nodes: DataFrame, batch: list[list[int]], id_col: str = "id", wf: str = "wf") -> DataFrame:
+        """id, values: an array with the value under each vector of coefficients. A few vectors; one pass without penalties."""
+        self._ready()
+        dense = self.size <= DENSE
+        own = [self.penalties(c) if dense else list(c) for c in batch]
+
+        def scored(batches):
+            import pyarrow as pa
+
+            from slackline.plans.explore import lists_of
+
+            for b in batches:
+                rows, out = b.column(1).to_pylist(), np.zeros((b.num_rows, len(own)), np.int64)
+                for at in range(0, len(rows), SEARCHED):
+                    some = np.array(rows[at : at + SEARCHED], np.int64)
+                    base = self.values(some) if dense else None
+                    for i, c in enumerate(own):
+                        out[at : at + SEARCHED, i] = (base - c).min(axis=1) if dense else self.search.minima(some, c)[0]
+                yield pa.RecordBatch.from_arrays([b.column(0), lists_of(out)], ["id", "values"])
+
+        return nodes.select(id_col, wf).mapInArrow(scored, "id long, values array<long>")
+
     def spread(self, nodes: DataFrame, places: int = 1, id_col: str = "id", wf: str = "wf") -> DataFrame:
         """id, value, a_id for few work functions and very many assignments: a task for each choice of the first places.
 

@@ -72,11 +72,16 @@ def within(spark: SparkSession, seconds: float, work: Callable):
 
 
 def hits(potential: Canonical, nodes: DataFrame, edges: DataFrame, coefs: dict[int, list[int]]) -> DataFrame:
-    """candidate_id, the columns of ``edges``, and whether the edge is violated (``hit``), for every candidate."""
-    scores = potential.scores(nodes, nodes.sparkSession.createDataFrame(list(coefs.items()), "candidate_id long, coefs array<long>"))
-    u, v = scores.toDF("from", "candidate_id", "__pu"), scores.toDF("to", "candidate_id", "__pv")
-    both = edges.join(u, "from").join(v, ["to", "candidate_id"])
-    return both.select("candidate_id", *edges.columns, (F.col("__pv") - F.col("__pu") + F.col("weight") < 0).alias("hit"))
+    """candidate_id, the columns of ``edges``, and whether the edge is violated (``hit``), for every candidate.
+
+    A node's scores travel as one array, so edges are joined once, whatever the number of candidates.
+    """
+    scored = potential.packed(nodes, list(coefs.values()))
+    both = edges.join(scored.toDF("from", "__pu"), "from").join(scored.toDF("to", "__pv"), "to")
+    ids = F.array(*(F.lit(i).cast("long") for i in coefs))
+    each = F.arrays_zip(ids.alias("id"), F.zip_with("__pv", "__pu", lambda v, u: v - u).alias("d"))
+    rows = both.select(*edges.columns, F.explode(each).alias("__c"))
+    return rows.select(F.col("__c.id").alias("candidate_id"), *edges.columns, (F.col("__c.d") + F.col("weight") < 0).alias("hit"))
 
 
 def violations(potential: Canonical, nodes: DataFrame, edges: DataFrame, coefs: list[list[int]]) -> list[int]:
@@ -104,14 +109,18 @@ def scan(tried: DataFrame, cutoff: int | None = None, seconds: float = float("in
     """Counts the hits of ``tried`` (edge_id, hit) in an order permuted by hash, block by block.
 
     It stops once there are more than ``cutoff``, or when time is up: what is counted so far is a fair sample.
-    ``tried`` should be written, since each block reads it.
+    ``tried`` is written once, by blocks.
     """
     spark, until = tried.sparkSession, time.monotonic() + seconds
-    total, found = tried.count(), Scan(0, 0, 0, True)
+    blocked = scratch.path(spark, "scan")
+    block_of = F.floor(arrays.portable_hash(F.col("edge_id"), seed) * blocks / arrays.MODULUS).cast("int")
+    tried.select("hit", block_of.alias("block")).write.partitionBy("block").parquet(blocked)  # a block is read alone then
+    scratch.forget_at_exit(spark, blocked)
+    rows = spark.read.schema("hit boolean, block int").parquet(blocked)
+    total, found = rows.count(), Scan(0, 0, 0, True)
     found.total = total
-    order = arrays.portable_hash(F.col("edge_id"), seed)
     for b in range(blocks):
-        block = tried.where((order >= b * arrays.MODULUS // blocks) & (order < (b + 1) * arrays.MODULUS // blocks))
+        block = rows.where(F.col("block") == b)
         row = within(spark, until - time.monotonic(), lambda block=block: block.agg(F.count("*"), F.count_if("hit")).first())
         if row is None:
             found.complete = False
@@ -302,18 +311,19 @@ def staged(
 ) -> DataFrame:
     """All candidates (``CANDIDATES``) of a staged search; a stage that a candidate didn't reach is null.
 
-    A round draws families by what they earned, takes parents from their pools and mutates them. Stage A counts all
-    edges of a small instance. B scans an adaptive subset of the big one's edges (``edge_pools``) and stops past its
-    limit. C scans a sample of 5 % within a time that falls as B's count grows, and extrapolates. D counts all edges,
+    Rounds one after another; ``stages.Pipeline`` runs the same stages at once. A round draws families by what they earned, takes parents from their pools and mutates them. Stage A counts all
+    edges of a small instance. B counts an adaptive subset of the big one's edges (``edge_pools``). C looks at a sample of 5 %
+    within a time that falls as B's count grows, and extrapolates. D counts all edges,
     for the ``full`` best by C. ``small`` and ``big`` are (nodes, edges with edge_id, from, to, weight).
     """
+    from slackline.plans.stages import Scores
+
     spark = small[0].sparkSession
     n = potential.n * (potential.n - 1) // 2
     known = spark.createDataFrame([], CANDIDATES)
     history = spark.createDataFrame([], "step long, candidate_id long, edge_id long")
     big_edges = big[1].select("edge_id", "from", "to", "weight")
-    sample = scratch.table(ranking.hash_sample(big_edges, "edge_id", 0.05), "search-sample")
-    total = big_edges.count()
+    scores = Scores(potential, small, big_potential, big, seconds=seconds)
     made = 0
     for step in range(rounds):
         earned = known.join(ops.lineage_credit(known), "candidate_id").groupBy("family").agg(F.sum("credit").alias("credit"))
@@ -329,20 +339,17 @@ def staged(
         if not first:
             continue
         coefs = {r["draw_id"]: list(r["coefs"]) for r in first}
-        a = dict(zip(coefs, violations(potential, *small, list(coefs.values()))))
-        passed = {i: c for i, c in coefs.items() if a[i] <= most["stage_a"]}
+        a = scores.a(coefs)
+        passed = {i: x for i, x in coefs.items() if a[i] <= most["stage_a"]}
         b: dict[int, int] = {}
         c: dict[int, float] = {}
         d: dict[int, int] = {}
         if passed:
-            cache = scratch.table(ranking.edge_cache(ops.edge_pools(history, big_edges)).select("edge_id"), "search-cache")
-            near = scratch.table(hits(big_potential, big[0], big_edges.join(cache, "edge_id", "left_semi"), passed), "search-b")
-            b = {i: scan(near.where(F.col("candidate_id") == i), most["stage_b"], blocks=4).violations for i in passed}
+            scores.cache(ranking.edge_cache(ops.edge_pools(history, big_edges)))
+            b = scores.b(passed)
         passed = {i: x for i, x in passed.items() if b[i] <= most["stage_b"]}
-        for i, x in passed.items():
-            some = scratch.table(hits(big_potential, big[0], sample, {i: x}), "search-c")
-            got = scan(some, seconds=seconds(b[i]), blocks=4)
-            c[i] = got.violations * total / got.processed if got.processed else float("inf")
+        if passed:
+            c = scores.c(passed, b)
         best = sorted(c, key=lambda i: (c[i], b[i], i))[:full]
         if best:
             every = scratch.table(hits(big_potential, big[0], big_edges, {i: passed[i] for i in best}).select("candidate_id", "edge_id", "hit"), "search-d")
