@@ -1,4 +1,7 @@
+import datetime
 import json
+import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -28,6 +31,36 @@ def test_running_work_functions_end_as_the_batch_does(spark, tmp_path):
         assert (last[user]["n"], last[user]["wf"]) == (row["n"], row["wf"])
 
 
+def test_late_requests_are_folded_in_order(spark, tmp_path):
+    """Rows come shuffled over five files; what is told last is what the batch gives, and earlier tellings are corrected."""
+    c, rnd = Context.of(2, metrics.circle_matrix(6)), random.Random(3)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(rnd.randrange(4), start + datetime.timedelta(minutes=i), i, rnd.randrange(6)) for i in range(300)]
+    schema = "user_id long, ts timestamp, event_id long, r long"
+    shuffled = sorted(rows, key=lambda r: r[2] + rnd.randrange(100))  # up to a hundred minutes late
+    for part in range(5):
+        spark.createDataFrame(shuffled[part * 60 : part * 60 + 60], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{part}"))
+        time.sleep(0.05)  # the source reads files in the order they were written
+    before = {k: spark.conf.get(k) for k in streams.STORE}
+    for k, v in streams.STORE.items():
+        spark.conf.set(k, v)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = streams.ordered(stream, c, (0, 1), late="3 hours").writeStream.format("memory").queryName("ordered").outputMode("update").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    told = spark.sql("select * from ordered").collect()
+    want = {r["user_id"]: r for r in workfunctions.replay(spark.createDataFrame(rows, schema), c, (0, 1)).collect()}
+    for user, row in want.items():
+        last = [r for r in told if r["user_id"] == user and r["n"] == row["n"]]
+        assert last and all(list(r["wf"]) == list(row["wf"]) for r in last)
+        assert min(r["open"] for r in last) < row["n"]  # the watermark has settled some
+    assert max(r["n"] for r in told) < 300 and len(told) > 2 * len(want)
+
+
 def test_violation_counts(spark, tmp_path):
     e = bindings.edges(spark, SF).join(bindings.read(spark, SF, "events").select(F.col("event_id").alias("edge_id"), F.col("ts").cast("timestamp").alias("ts")), "edge_id")
     e = e.select("ts", "d_min", "ext", "u_phi", "v_phi")
