@@ -26,29 +26,40 @@ def _distance(a, b):
     return arrays.circle_distance(a, b, M)
 
 
-@query(f"WITH {_CONFIGS} SELECT CAST(idx AS BIGINT) AS idx, array_to_string(cfg, ',') AS cfg FROM configs")
+def _count(spark, sf_dir, table: str) -> int:
+    return bindings.read(spark, sf_dir, table).count()
+
+
+_PAIRED = "n AS (SELECT count(*) AS n FROM {}), configs AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS idx, a, b FROM (SELECT unnest(range(n)) AS a FROM n), n, unnest(range(n.n)) y(b) WHERE a <= b)".format
+
+
+@query(f"WITH {_PAIRED('supplier')} SELECT idx, concat_ws(',', a, b) AS cfg FROM configs")
 def gen_multisets(spark, sf_dir):
-    return configs.multisets(spark, M, K).select("idx", arrays.joined(F.col("cfg")).alias("cfg"))
+    """Two servers among as many points as there are suppliers."""
+    return configs.multisets(spark, _count(spark, sf_dir, "supplier"), 2).select("idx", arrays.joined(F.col("cfg")).alias("cfg"))
 
 
-@query("SELECT CAST(a * 16 + b * 4 + c AS BIGINT) AS a_id, concat_ws(',', a * 3, b * 3, c * 3) AS points FROM range(4) x(a), range(4) y(b), range(4) z(c)")
+@query("WITH p AS (SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS p FROM lineitem) SELECT row_number() OVER (ORDER BY a.p, b.p, c.p) - 1 AS a_id, concat_ws(',', a.p, b.p, c.p) AS points FROM p a, p b, p c")
 def gen_assignments(spark, sf_dir):
-    return configs.assignments(spark, [0, 3, 6, 9], 3).select("a_id", arrays.joined(F.col("points")).alias("points"))
+    """Three places, each any of the line numbers that orders have."""
+    found = bindings.read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("long").alias("p")).distinct().collect()  # seven
+    return configs.assignments(spark, sorted(r["p"] for r in found), 3).select("a_id", arrays.joined(F.col("points")).alias("points"))
 
 
-@query(f"WITH {_CONFIGS} SELECT CAST(idx AS BIGINT) AS idx, concat_ws(',', 2 * cfg[1], 2 * cfg[2], 2 * cfg[3]) AS cfg FROM configs")
+@query(f"WITH {_PAIRED('nation')} SELECT idx, concat_ws(',', 2 * a, 2 * b) AS cfg FROM configs")
 def gen_taxi_initial(spark, sf_dir):
-    """Start states with all servers on even points of the doubled circle."""
-    return configs.multisets(spark, M, K).select("idx", arrays.joined(F.transform("cfg", lambda p: 2 * p)).alias("cfg"))
+    """Start states with both servers on even points of the doubled circle of nations."""
+    return configs.multisets(spark, _count(spark, sf_dir, "nation"), 2).select("idx", arrays.joined(F.transform("cfg", lambda p: 2 * p)).alias("cfg"))
 
 
-def _pairs(d: str, m: int) -> str:
-    return f"SELECT a, b, CAST({d} AS BIGINT) AS d FROM range({m}) x(a), range({m}) y(b)"
+def _pairs(d: str, table: str = "supplier") -> str:
+    return f"WITH n AS (SELECT count(*) AS m FROM {table}) SELECT a, b, CAST({d} AS BIGINT) AS d FROM (SELECT unnest(range(m)) AS a, m FROM n), unnest(range(m)) y(b)"
 
 
-@query(_pairs(_D("a", "b", 8), 8))
+@query(_pairs("least(abs(a - b), m - abs(a - b))"))
 def metric_circle(spark, sf_dir):
-    return metrics.circle(spark, 8)
+    """The circle of all suppliers."""
+    return metrics.circle(spark, _count(spark, sf_dir, "supplier"))
 
 
 @query("SELECT event_id, least(abs(x - y), 8.0 - abs(x - y)) AS d FROM (SELECT event_id, ((value - 100) % 8 + 8) % 8 AS x, ((value * 3) % 8 + 8) % 8 AS y FROM (SELECT event_id, CAST(round(value * 100) AS BIGINT) // 25 AS value FROM events))".replace("8.0", "8"))
@@ -58,19 +69,21 @@ def metric_circle_cont(spark, sf_dir):
     return bindings.read(spark, sf_dir, "events").select("event_id", arrays.circle_distance_continuous(value - 100, value * 3, 8).cast("long").alias("d"))
 
 
-@query(_pairs("CASE WHEN a = b THEN 0 ELSE 1 END", 7))
+@query(_pairs("CASE WHEN a = b THEN 0 ELSE 1 END"))
 def metric_uniform(spark, sf_dir):
-    return metrics.uniform(spark, 7)
+    return metrics.uniform(spark, _count(spark, sf_dir, "supplier"))
 
 
-@query(f"SELECT a, b, CAST(CASE WHEN (a < 5) = (b < 5) THEN {_D('a % 5', 'b % 5', 5)} ELSE 2 - {_D('a % 5', 'b % 5', 5)} END AS BIGINT) AS d FROM range(10) x(a), range(10) y(b)")
+@query("""WITH n AS (SELECT count(*) AS n FROM nation), p AS (SELECT a, b, n, least(abs(a % n - b % n), n - abs(a % n - b % n)) AS d FROM (SELECT unnest(range(2 * n)) AS a, n FROM n), unnest(range(2 * n)) y(b))
+SELECT a, b, CAST(CASE WHEN (a < n) = (b < n) THEN d ELSE n // 2 - d END AS BIGINT) AS d FROM p""")
 def metric_antipode(spark, sf_dir):
-    return metrics.antipode_extension(metrics.circle(spark, 5))
+    """The circle of nations and their opposites."""
+    return metrics.antipode_extension(metrics.circle(spark, _count(spark, sf_dir, "nation")))
 
 
-@query(_pairs("abs(a - b)", 7))
+@query(_pairs("abs(a - b)"))
 def metric_line(spark, sf_dir):
-    return metrics.line(spark, 7)
+    return metrics.line(spark, _count(spark, sf_dir, "supplier"))
 
 
 @query(f"WITH {bindings.NODES_SQL} SELECT id, label, bellman, low, list_max(wf) AS top, CAST(list_sum(wf) AS BIGINT) AS total FROM nodes")
@@ -116,9 +129,13 @@ moved AS (SELECT r, idx, i, {_D('cfg[i + 1]', 'r')} AS cost, list_sort(list_tran
 moves AS (SELECT r, moved.idx, i, c.idx AS nbr, cost FROM moved JOIN configs c ON c.cfg = to_cfg)"""
 
 
-@query(f"WITH {_MOVES} SELECT r, CAST(idx AS BIGINT) AS idx, i, CAST(nbr AS BIGINT) AS nbr, CAST(cost AS BIGINT) AS cost FROM moves")
+@query(f"""WITH {_PAIRED('nation')}, spots AS (SELECT idx, i, CASE WHEN i = 0 THEN a ELSE b END AS x, CASE WHEN i = 0 THEN b ELSE a END AS y FROM configs, range(2) s(i)),
+moved AS (SELECT q.r, s.idx, s.i, least(abs(x - q.r), n.n - abs(x - q.r)) AS cost, least(q.r, y) AS a, greatest(q.r, y) AS b FROM spots s, n, unnest(range(n.n)) q(r))
+SELECT r, moved.idx, i, c.idx AS nbr, CAST(cost AS BIGINT) AS cost FROM moved JOIN configs c USING (a, b)""")
 def moves_table(spark, sf_dir):
-    return configs.moves(configs.multisets(spark, M, K), metrics.circle(spark, M), K)
+    """Two servers on the circle of nations: where each move of each configuration leads."""
+    m = _count(spark, sf_dir, "nation")
+    return configs.moves(configs.multisets(spark, m, 2), metrics.circle(spark, m), 2)
 
 
 @query(f"SELECT event_id, CAST({_D('event_id % 6', 'user_id % 6')} AS BIGINT) AS d FROM events")
@@ -134,30 +151,41 @@ def set_distance(spark, sf_dir):
     return e.select("event_id", arrays.set_distance(F.col("cfg"), b, K, _distance).alias("d"))
 
 
-@query(f"WITH {_CONFIGS} SELECT CAST(idx AS BIGINT) AS idx, CAST({_D('cfg[1]', 'cfg[2]')} + {_D('cfg[1]', 'cfg[3]')} + {_D('cfg[2]', 'cfg[3]')} AS BIGINT) AS cost FROM configs")
+@query(f"WITH e AS ({_EVENT_CFG}) SELECT event_id, CAST({_D('cfg[1]', 'cfg[2]')} + {_D('cfg[1]', 'cfg[3]')} + {_D('cfg[2]', 'cfg[3]')} AS BIGINT) AS cost FROM e")
 def clique_cost(spark, sf_dir):
-    return configs.multisets(spark, M, K).select("idx", arrays.clique_cost(F.col("cfg"), K, _distance).alias("cost"))
+    """Of every event's configuration."""
+    return _event_cfg(spark, sf_dir).select("event_id", arrays.clique_cost(F.col("cfg"), K, _distance).alias("cost"))
+
+
+_START = "[c_custkey % 6, c_nationkey % 6, c_custkey // 6 % 6]"
+_INITIAL = f"{_MOVES}, starts AS (SELECT c_custkey AS of, {_START} AS start, c_custkey % 6 AS r, c_nationkey % 6 AS t FROM customer), initial AS (SELECT s.of, idx, {_matching('s.start', 'c.cfg')} AS value FROM starts s, configs c)"
 
 
-_START = "[0, 1, 3]"
-_INITIAL = f"{_MOVES}, initial AS (SELECT idx, {_matching(_START, 'cfg')} AS value FROM configs)"
+def _starts(spark, sf_dir):
+    """of, start, r, t: a configuration, a request and a ride's end for every customer."""
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    start = F.array(key % 6, nation.cast("long") % 6, F.floor(key / 6) % 6)
+    return bindings.read(spark, sf_dir, "customer").select(key.alias("of"), start.alias("start"), (key % 6).alias("r"), (nation.cast("long") % 6).alias("t"))
 
 
-@query(f"WITH {_INITIAL} SELECT CAST(idx AS BIGINT) AS idx, CAST(value AS BIGINT) AS value FROM initial")
+@query(f"WITH {_INITIAL} SELECT of, CAST(idx AS BIGINT) AS idx, CAST(value AS BIGINT) AS value FROM initial")
 def initial_wf(spark, sf_dir):
-    return workfunctions.initial(configs.multisets(spark, M, K), [0, 1, 3], _distance)
+    """A work function from every customer's start."""
+    return workfunctions.initial(configs.multisets(spark, M, K), _starts(spark, sf_dir), _distance).select("of", "idx", "value")
 
 
 def _update_sql(source: str, r: str) -> str:
-    return f"SELECT m.idx, min(w.value + m.cost) AS value FROM moves m JOIN {source} w ON w.idx = m.nbr WHERE m.r = {r} GROUP BY m.idx"
+    return f"SELECT w.of, m.idx, min(w.value + m.cost) AS value FROM {source} w JOIN starts s ON s.of = w.of JOIN moves m ON m.nbr = w.idx AND m.r = {r} GROUP BY w.of, m.idx"
 
 
-@query(f"WITH {_INITIAL}, one AS ({_update_sql('initial', '4')}) SELECT CAST(idx AS BIGINT) AS idx, CAST(value AS BIGINT) AS value FROM ({_update_sql('one', '2')})")
+@query(f"WITH {_INITIAL}, one AS ({_update_sql('initial', 's.r')}) SELECT of, CAST(idx AS BIGINT) AS idx, CAST(value AS BIGINT) AS value FROM ({_update_sql('one', 's.t')})")
 def wf_update(spark, sf_dir):
-    """Two requests, gathered by joins."""
-    c = configs.multisets(spark, M, K)
+    """Two requests of every customer, gathered by joins."""
+    c, starts = configs.multisets(spark, M, K), _starts(spark, sf_dir)
     moves = configs.moves(c, metrics.circle(spark, M), K)
-    return workfunctions.update(workfunctions.update(workfunctions.initial(c, [0, 1, 3], _distance), moves, 4), moves, 2)
+    first = workfunctions.initial(c, starts, _distance).select("of", "idx", "value", "r", "t")
+    one = workfunctions.update(first, moves, F.col("r"), ["of", "r", "t"])
+    return workfunctions.update(one, moves, F.col("t"), ["of"])
 
 
 _LISTS = f"""{_MOVES}, tables AS (SELECT list(nbr ORDER BY r, idx, i) AS nbr, list(cost ORDER BY r, idx, i) AS cost FROM moves)"""
@@ -188,20 +216,27 @@ def wf_replay(spark, sf_dir):
     return done.select("user_id", "n", arrays.joined(F.col("wf")).alias("wf"))
 
 
-_PRE = f"""pre AS (SELECT p.idx, c.idx AS source FROM (SELECT idx, list_sort(list_transform(range(3), lambda j: CASE WHEN j + 1 = list_position(cfg, 2) THEN 5 ELSE cfg[j + 1] END)) AS back
-  FROM configs WHERE list_contains(cfg, 2)) p JOIN configs c ON c.cfg = p.back)"""
+_PRE = f"""pre AS (SELECT p.s, p.t, p.idx, c.idx AS source FROM (SELECT s, t, idx, list_sort(list_transform(range(3), lambda j: CASE WHEN j + 1 = list_position(cfg, t) THEN s ELSE cfg[j + 1] END)) AS back
+  FROM configs, (SELECT DISTINCT o_orderkey % 6 AS s, o_custkey % 6 AS t FROM orders) WHERE list_contains(cfg, t)) p JOIN configs c ON c.cfg = p.back)"""
 
 
-@query(f"WITH {_CONFIGS}, {_PRE} SELECT CAST(idx AS BIGINT) AS idx, CAST(source AS BIGINT) AS source FROM pre")
+@query(f"WITH {_CONFIGS}, {_PRE} SELECT s, t, CAST(idx AS BIGINT) AS idx, CAST(source AS BIGINT) AS source FROM pre")
 def taxi_preimage(spark, sf_dir):
-    return workfunctions.preimages(configs.multisets(spark, M, K), 5, 2)
+    """For every ride that an order asks for."""
+    rides = bindings.read(spark, sf_dir, "orders").select((F.col("o_orderkey") % 6).alias("s"), (F.col("o_custkey") % 6).alias("t")).distinct()
+    return workfunctions.preimages(configs.multisets(spark, M, K), rides).select("s", "t", "idx", "source")
 
 
-@query(f"WITH {_INITIAL}, {_PRE}, carried AS (SELECT pre.idx, value + 3 AS value FROM pre JOIN initial ON initial.idx = source) SELECT CAST(idx AS BIGINT) AS idx, CAST(value AS BIGINT) AS value FROM ({_update_sql('carried', '2')})")
+@query(f"""WITH {_INITIAL}, pre AS (SELECT p.of, p.idx, c.idx AS source, d FROM (SELECT of, idx, {_D('r', 't')} AS d, list_sort(list_transform(range(3), lambda j: CASE WHEN j + 1 = list_position(cfg, t) THEN r ELSE cfg[j + 1] END)) AS back
+  FROM configs, starts WHERE list_contains(cfg, t)) p JOIN configs c ON c.cfg = p.back),
+carried AS (SELECT pre.of, pre.idx, value + d AS value FROM pre JOIN initial i ON i.idx = source AND i.of = pre.of) SELECT of, CAST(idx AS BIGINT) AS idx, CAST(value AS BIGINT) AS value FROM ({_update_sql('carried', 's.t')})""")
 def taxi_update(spark, sf_dir):
-    """A ride from point 5 to point 2."""
-    c = configs.multisets(spark, M, K)
-    return workfunctions.ride(workfunctions.initial(c, [0, 1, 3], _distance), configs.moves(c, metrics.circle(spark, M), K), c, 5, 2, 3)
+    """A ride of every customer."""
+    c, starts = configs.multisets(spark, M, K), _starts(spark, sf_dir)
+    moves, d = configs.moves(c, metrics.circle(spark, M), K), metrics.circle(spark, M)
+    first = workfunctions.initial(c, starts, _distance).select("of", "idx", "value", F.col("r").alias("s"), "t")
+    priced = first.join(d.select(F.col("a").alias("s"), F.col("b").alias("t"), "d"), ["s", "t"])
+    return workfunctions.ride(priced, moves, c, ["of"])
 
 
 @query(f"WITH {bindings.NODES_SQL} SELECT id, list_min(wf) AS low, array_to_string(wf, ',') AS wf FROM nodes")
@@ -215,55 +250,59 @@ def edge_metrics(spark, sf_dir):
     return bindings.edges(spark, sf_dir).select("edge_id", "d_min", "ext", (2 * F.col("d_min") - F.col("ext")).alias("weight"))
 
 
-_SUPPORT = [((0, 1, 3), 0), ((2, 2, 4), 1), ((0, 5, 5), 2)]
+_PRICED_SQL = f"""priced AS (SELECT event_id AS ord, cfg, event_id * 7 % 23 AS value FROM ({_EVENT_CFG})),
+support AS (SELECT cfg, min(value) AS value, max(ord) FILTER (value = low) AS ord FROM (SELECT *, min(value) OVER (PARTITION BY cfg) AS low FROM priced) GROUP BY cfg)"""
+_SUPPORT_SQL = _PRICED_SQL
 
 
-def _support(spark):
-    return spark.createDataFrame([(list(c), v) for c, v in _SUPPORT], "cfg array<long>, value long")
+def _priced(spark, sf_dir):
+    """ord, cfg, value: every event's configuration at a price."""
+    return _event_cfg(spark, sf_dir).select(F.col("event_id").alias("ord"), F.array_sort("cfg").alias("cfg"), (F.col("event_id") * 7 % 23).alias("value"))
 
 
-_SUPPORT_SQL = "support AS (SELECT * FROM (VALUES ([0, 1, 3], 0), ([2, 2, 4], 1), ([0, 5, 5], 2)) t(cfg, value))"
+def _support(spark, sf_dir):
+    """The sparse work function that the events' configurations make: those that no other implies."""
+    return workfunctions.undominated(_priced(spark, sf_dir), K, _distance).select("cfg", "value")
 
 
 @query(f"WITH {_SUPPORT_SQL}, e AS ({_EVENT_CFG}) SELECT event_id, CAST(min(s.value + {_matching('s.cfg', 'e.cfg')}) AS BIGINT) AS value FROM e, support s GROUP BY event_id")
 def support_eval(spark, sf_dir):
     """A sparse work function at every event's configuration, once for each distinct one."""
     e = _event_cfg(spark, sf_dir).withColumn("cfg", F.array_sort("cfg"))
-    return e.join(workfunctions.evaluate_support(_support(spark), e.select("cfg").distinct(), K, _distance), "cfg").select("event_id", "value")
+    return e.join(workfunctions.evaluate_support(_support(spark, sf_dir), e.select("cfg").distinct(), K, _distance), "cfg").select("event_id", "value")
 
 
 @query(f"""WITH {_CONFIGS}, {_SUPPORT_SQL}, dense AS (SELECT idx, cfg, min(s.value + {_matching('s.cfg', 'c.cfg')}) AS value FROM configs c, support s GROUP BY ALL) SELECT CAST(idx AS BIGINT) AS idx, CAST(value AS BIGINT) AS value FROM dense""".replace("SELECT idx, cfg, min", "SELECT idx, c.cfg, min"))
 def support_dense(spark, sf_dir):
-    return workfunctions.dense(_support(spark), configs.multisets(spark, M, K), K, _distance)
-
-
-_PRUNE = f"""n AS (SELECT idx AS ord, c.cfg, min(s.value + {_matching('s.cfg', 'c.cfg')}) + c.idx % 2 AS value FROM configs c, support s GROUP BY c.idx, c.cfg)"""
+    return workfunctions.dense(_support(spark, sf_dir), configs.multisets(spark, M, K), K, _distance)
 
 
-@query(f"""WITH {_CONFIGS}, {_SUPPORT_SQL}, {_PRUNE} SELECT CAST(ord AS BIGINT) AS ord, CAST(value AS BIGINT) AS value FROM n a WHERE NOT EXISTS (SELECT 1 FROM n o WHERE o.ord <> a.ord
+@query(f"""WITH {_SUPPORT_SQL} SELECT CAST(ord AS BIGINT) AS ord, CAST(value AS BIGINT) AS value FROM support a WHERE NOT EXISTS (SELECT 1 FROM support o WHERE o.ord <> a.ord
   AND abs(a.value - o.value) >= {_matching('a.cfg', 'o.cfg')} AND (a.value > o.value OR (a.value = o.value AND a.ord < o.ord)))""")
 def support_prune(spark, sf_dir):
-    c = configs.multisets(spark, M, K)
-    valued = workfunctions.evaluate_support(_support(spark), c.select("cfg"), K, _distance).join(c, "cfg")
-    every = valued.select(F.col("idx").alias("ord"), "cfg", (F.col("value") + F.col("idx") % 2).alias("value"))
-    return workfunctions.undominated(every, K, _distance).select("ord", "value")
+    """Of all events' configurations; the SQL takes the cheapest and last of each first, which implies the others."""
+    return workfunctions.undominated(_priced(spark, sf_dir), K, _distance).select("ord", "value")
+
+
+def _one_update(source: str, r: str) -> str:
+    return f"SELECT m.idx, min(w.value + m.cost) AS value FROM moves m JOIN {source} w ON w.idx = m.nbr WHERE m.r = {r} GROUP BY m.idx"
 
 
-_DENSE = f"""{_MOVES}, {_SUPPORT_SQL}, dense AS (SELECT c.idx, min(s.value + {_matching('s.cfg', 'c.cfg')}) AS value FROM configs c, support s GROUP BY c.idx), served AS ({_update_sql('dense', '4')})"""
+_DENSE = f"""{_MOVES}, {_SUPPORT_SQL}, dense AS (SELECT c.idx, min(s.value + {_matching('s.cfg', 'c.cfg')}) AS value FROM configs c, support s GROUP BY c.idx), served AS ({_one_update('dense', '4')})"""
 
 
 @query(f"WITH {_DENSE} SELECT CAST(idx AS BIGINT) AS idx, CAST(value AS BIGINT) AS value FROM served")
 def support_update(spark, sf_dir):
     """The sparse work function after a request, as a dense one; the SQL updates the dense one."""
-    after = workfunctions.update_support(_support(spark), 4, list(range(M)), K, _distance)
+    after = workfunctions.update_support(_support(spark, sf_dir), 4, list(range(M)), K, _distance)
     return workfunctions.dense(after, configs.multisets(spark, M, K), K, _distance)
 
 
 @query(f"""WITH {_DENSE}, back AS (SELECT idx, list_sort(list_transform(range(3), lambda j: CASE WHEN j + 1 = list_position(cfg, 1) THEN 4 ELSE cfg[j + 1] END)) AS cfg FROM configs WHERE list_contains(cfg, 1)),
-carried AS (SELECT b.idx, value + 3 AS value FROM back b JOIN configs c ON c.cfg = b.cfg JOIN served s ON s.idx = c.idx) SELECT CAST(idx AS BIGINT) AS idx, CAST(value AS BIGINT) AS value FROM ({_update_sql('carried', '1')})""")
+carried AS (SELECT b.idx, value + 3 AS value FROM back b JOIN configs c ON c.cfg = b.cfg JOIN served s ON s.idx = c.idx) SELECT CAST(idx AS BIGINT) AS idx, CAST(value AS BIGINT) AS value FROM ({_one_update('carried', '1')})""")
 def support_taxi(spark, sf_dir):
     """The sparse work function after a ride from 4 to 1, as a dense one; the SQL carries the dense one through preimages."""
-    after = workfunctions.ride_support(_support(spark), 4, 1, list(range(M)), K, _distance, 3)
+    after = workfunctions.ride_support(_support(spark, sf_dir), 4, 1, list(range(M)), K, _distance, 3)
     return workfunctions.dense(after, configs.multisets(spark, M, K), K, _distance)
 
 
@@ -272,8 +311,10 @@ def antipode(spark, sf_dir):
     return bindings.read(spark, sf_dir, "events").select("event_id", arrays.antipode(F.col("event_id") % 8, 8).alias("opposite"))
 
 
-@query("WITH c AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS position, a, b FROM range(12) x(a), range(12) y(b) WHERE a <= b) SELECT row_number() OVER (ORDER BY a, b) - 1 AS idx, position FROM c WHERE a % 2 = 0 AND b % 2 = 0")
+@query("""WITH n AS (SELECT count(*) AS n FROM nation), c AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS position, a, b FROM (SELECT unnest(range(2 * n)) AS a FROM n), n, unnest(range(2 * n.n)) y(b) WHERE a <= b)
+SELECT row_number() OVER (ORDER BY a, b) - 1 AS idx, position FROM c WHERE a % 2 = 0 AND b % 2 = 0""")
 def wf_halve(spark, sf_dir):
-    """Positions of all-even configurations of the doubled circle, in the base circle's order."""
-    even = configs.multisets(spark, 12, 2).where(F.forall("cfg", lambda p: p % 2 == 0)).select(F.col("idx").alias("position"), F.transform("cfg", lambda p: F.floor(p / 2)).alias("cfg"))
-    return even.join(configs.multisets(spark, 6, 2), "cfg").select("idx", "position")
+    """Positions of all-even configurations of the doubled circle of nations, in the base circle's order."""
+    m = _count(spark, sf_dir, "nation")
+    even = configs.multisets(spark, 2 * m, 2).where(F.forall("cfg", lambda p: p % 2 == 0)).select(F.col("idx").alias("position"), F.transform("cfg", lambda p: F.floor(p / 2)).alias("cfg"))
+    return even.join(configs.multisets(spark, m, 2), "cfg").select("idx", "position")

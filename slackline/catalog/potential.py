@@ -25,14 +25,23 @@ _D = f"least(abs(a - b), {POINTS} - abs(a - b))"
 LATENT_SQL = f"latent AS (SELECT a * {POINTS} + b AS a_id, a, b FROM range({POINTS}) p(a), range({POINTS}) q(b)), priced AS (SELECT a_id, a, b, (b + {POINTS // 2}) % {POINTS} AS opposite, {_D} AS d FROM latent)"
 
 
-@query(f"WITH {LATENT_SQL} SELECT a_id, a AS first, opposite AS second FROM priced")
+def _named(spark, sf_dir, coefs=None) -> potentials.Canonical:
+    """Places can be the points that events request."""
+    found = bindings.read(spark, sf_dir, "events").select((F.col("event_id") % POINTS).alias("p")).distinct().collect()  # POINTS rows at most
+    return potentials.Canonical(_circle(), 2, [[1], [-2]], coefs, support=sorted(r["p"] for r in found))
+
+
+_NAMED_SQL = f"p AS (SELECT DISTINCT event_id % {POINTS} AS x FROM events), priced AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS a_id, a, (b + {POINTS // 2}) % {POINTS} AS opposite, {_D} AS d FROM (SELECT l.x AS a, r.x AS b FROM p l, p r))"
+
+
+@query(f"WITH {_NAMED_SQL} SELECT a_id, a AS first, opposite AS second FROM priced")
 def latent_index(spark, sf_dir):
-    return pairs().latents(spark).select("a_id", F.col("gathers")[0].alias("first"), F.col("gathers")[1].alias("second"))
+    return _named(spark, sf_dir).latents(spark).select("a_id", F.col("gathers")[0].alias("first"), F.col("gathers")[1].alias("second"))
 
 
-@query(f"WITH {LATENT_SQL} SELECT a_id, CAST(2 * d AS BIGINT) AS penalty FROM priced")
+@query(f"WITH {_NAMED_SQL} SELECT a_id, CAST(2 * d AS BIGINT) AS penalty FROM priced")
 def latent_penalty(spark, sf_dir):
-    return pairs([2]).latents(spark).select("a_id", "penalty")
+    return _named(spark, sf_dir, [2]).latents(spark).select("a_id", "penalty")
 
 
 @query(f"WITH {NODES_SQL}, {LATENT_SQL}, v AS (SELECT id, a_id, wf[a + 1] + wf[opposite + 1] - 2 * d AS value FROM nodes, priced) SELECT id, count(*) AS assignments, CAST(min(value) AS BIGINT) AS least, CAST(max(value) AS BIGINT) AS most, CAST(sum(value) AS BIGINT) AS total, CAST(sum(value * (a_id + 1)) AS BIGINT) AS checksum FROM v GROUP BY id")

@@ -10,31 +10,46 @@ from slackline.functions import arrays
 from slackline.operators.configs import Context
 
 
-def initial(configs: DataFrame, start: list[int], distance) -> DataFrame:
-    """idx, value: the cheapest matching of a start configuration with every other one."""
-    at = F.array(*(F.lit(p).cast("long") for p in start))
-    return configs.select("idx", arrays.set_distance(at, F.col("cfg"), len(start), distance).cast("long").alias("value"))
+def initial(configs: DataFrame, start: list[int] | DataFrame, distance) -> DataFrame:
+    """idx, value: the cheapest matching of a start configuration with every other one.
 
+    Of a table of starts (start, and any columns): those columns, idx, value. Configurations are those of a small context.
+    """
+    if not isinstance(start, DataFrame):
+        at = F.array(*(F.lit(p).cast("long") for p in start))
+        return configs.select("idx", arrays.set_distance(at, F.col("cfg"), len(start), distance).cast("long").alias("value"))
+    k = len(configs.first()["cfg"])
+    one = configs.agg(F.collect_list(F.struct("idx", "cfg")).alias("__configs"))  # one row: a context's configurations
+    each = start.join(F.broadcast(one)).withColumn("__c", F.explode("__configs"))
+    return each.select(*start.columns, F.col("__c.idx").alias("idx"), arrays.set_distance(F.col("start"), F.col("__c.cfg"), k, distance).cast("long").alias("value"))
+
+
+def update(values: DataFrame, moves: DataFrame, request: Column | int, by: list[str] = ()) -> DataFrame:
+    """idx, value after a request: each configuration's cheapest last move, gathered by a join.
 
-def update(values: DataFrame, moves: DataFrame, request: Column | int) -> DataFrame:
-    """idx, value after a request: each configuration's cheapest last move, gathered by a join."""
+    ``by``: columns that tell work functions apart; ``request`` may then be a column of ``values``.
+    """
     r = request if isinstance(request, Column) else F.lit(request)
-    step = moves.where(F.col("r") == r).join(values.select(F.col("idx").alias("nbr"), "value"), "nbr")
-    return step.groupBy("idx").agg(F.min(F.col("value") + F.col("cost")).alias("value"))
+    step = values.select(*by, F.col("idx").alias("nbr"), "value", r.alias("__r")).join(moves.select(F.col("r").alias("__r"), "nbr", "idx", "cost"), ["__r", "nbr"])
+    return step.groupBy(*by, "idx").agg(F.min(F.col("value") + F.col("cost")).alias("value"))
+
 
+def preimages(configs: DataFrame, rides: DataFrame) -> DataFrame:
+    """s, t, idx, source of rides (s, t): of configurations with a server at t, the one with the first such server at s."""
+    at = configs.select("idx", "cfg", F.explode(F.array_distinct("cfg")).alias("t")).join(rides.select("s", "t"), "t")
+    first = F.array_position("cfg", F.col("t")) - 1
+    held = at.select("s", "t", "idx", F.array_sort(F.transform("cfg", lambda x, i: F.when(i == first, F.col("s")).otherwise(x))).alias("cfg"))
+    return held.join(configs.select(F.col("idx").alias("source"), "cfg"), "cfg").select("s", "t", "idx", "source")
 
-def preimages(configs: DataFrame, s: int, t: int) -> DataFrame:
-    """idx, source: of configurations with a server at t, the one with the first such server at s."""
-    first = F.array_position("cfg", F.lit(t).cast("long")) - 1
-    back = F.array_sort(F.transform("cfg", lambda x, i: F.when(i == first, F.lit(s).cast("long")).otherwise(x)))
-    held = configs.where(F.array_contains("cfg", F.lit(t).cast("long"))).select("idx", back.alias("cfg"))
-    return held.join(configs.select(F.col("idx").alias("source"), "cfg"), "cfg").select("idx", "source")
 
+def ride(values: DataFrame, moves: DataFrame, configs: DataFrame, by: list[str] = ()) -> DataFrame:
+    """idx, value after a ride from s to t at the cost d, columns of ``values``: through the preimages, then a request at t.
 
-def ride(values: DataFrame, moves: DataFrame, configs: DataFrame, s: int, t: int, cost: int) -> DataFrame:
-    """idx, value after a ride from s to t: through the preimages, then a request at t. Unreachable states drop out."""
-    carried = preimages(configs, s, t).join(values.select(F.col("idx").alias("source"), "value"), "source").select("idx", (F.col("value") + cost).alias("value"))
-    return update(carried, moves, t)
+    Unreachable states drop out. ``by``: columns that tell work functions apart.
+    """
+    back = preimages(configs, values.select("s", "t").distinct())
+    carried = values.withColumnRenamed("idx", "source").join(back, ["s", "t", "source"]).select(*by, "t", "idx", (F.col("value") + F.col("d")).alias("value"))
+    return update(carried, moves, F.col("t"), list(by))
 
 
 #: The value of what can't be reached, far above any sum of moves and far below overflow.
