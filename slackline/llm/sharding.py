@@ -9,16 +9,13 @@ the table's size, so it is folded in one row and joined by broadcast.
 A map at a path given is edited by each call: the latest version's slots are rebalanced for the bytes that this
 table has in them, and the new version is what places its rows. Without a path the map is new, in two versions.
 
-Rows of equal texts are no unit: slots come from id and text, since copies can be a third of all rows and one shard
-that held them would break the law of near equal bytes.
+Rows of equal texts are a group and share a slot, hence a shard; slots come from the text alone. Only a group that is larger than a
+shard's equal part, of which there are fewer than shards, can't be kept whole under the law of near equal bytes: its rows'
+slots come from the row. Records are written once with their slots, so all that is counted holds for what is placed. A slot's
+rows are numbered in parts that come from the row, so that no group is one task's.
 
-Rows that repeat, id and text alike, can be a third of all rows as well. Classes of more than ``1 / HEAVY`` of the rows, of
-which there are fewer than ``HEAVY``, are spread: their rows' slots come from the row, not from what it says. Records are
-written once with their slots, so all that is counted holds for what is placed.
-
-Contract: a null text has size 1 and checksum 0, a null or repeated id is a record like any other (slots come
-from id and text together, of heavy repeats from the row), an empty table gives no rows, and other columns of the input are
-ignored. Which of equal rows gets which place is open.
+Contract: a null text has size 1 and checksum 0 and is grouped with empty ones, a null or repeated id is a record like any
+other, an empty table gives no rows, and other columns of the input are ignored. Which of equal rows gets which place is open.
 """
 
 from __future__ import annotations
@@ -32,15 +29,9 @@ from slackline.llm import shared
 SLOTS = 4096
 #: Parts of a slot, whose rows are numbered apart.
 PARTS = 16
-#: A class of equal rows with more than this part of all rows is spread over slots.
-HEAVY = 1 << 16
 MAP_SCHEMA = "version int, slot int, shard int, bytes long, rows long"
 
 
-def slot_of(id_col: str | Column, text: str | Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(id_col, text), F.lit(slots)).cast("int")
-
-
 def slot_stats(records: DataFrame, slots: int = SLOTS) -> DataFrame:
     """slot, bytes, rows for each slot, empty ones included. ``records`` has virtual_slot and size."""
     every = records.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
@@ -124,7 +115,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text: str =
     spark = docs.sparkSession
     kept = map_path is not None
     map_path = map_path or shared.scratch_path(spark, "shard-map")
-    records = shared.table(_records(docs, id_col, text, slots), "shard-records")
+    records = shared.table(_records(docs, id_col, text, slots, shards), "shard-records")
     counts = shared.table(records.groupBy("virtual_slot", "part").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "shard-counts")
     every = spark.range(slots).select(F.col("id").cast("int").alias("slot"))
     held = counts.groupBy(F.col("virtual_slot").alias("slot")).agg(F.sum("size").alias("bytes"), F.sum("rows").alias("rows"))
@@ -141,20 +132,21 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text: str =
     )
 
 
-def _records(docs: DataFrame, id_col: str, text: str, slots: int) -> DataFrame:
+def _records(docs: DataFrame, id_col: str, text: str, slots: int, shards: int) -> DataFrame:
     """id, size, text_crc32, virtual_slot and part of each row."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
-        F.xxhash64(id_col, text).alias("h"),
+        F.xxhash64(body).alias("h"),
     )
     held = shared.table(rows.withColumn("row", F.monotonically_increasing_id()), "shard-rows")
-    total = held.agg(F.count("*").alias("total"))  # one row
-    heavy = held.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").join(F.broadcast(total)).where(F.col("n") * HEAVY > F.col("total"))
-    spread = shared.table(heavy.select("h", F.lit(True).alias("spread")), "shard-heavy")  # fewer than HEAVY rows
-    salted = F.when(F.col("spread"), F.xxhash64("h", "row")).otherwise(F.col("h"))
-    out = held.join(F.broadcast(spread), "h", "left").withColumn("at", salted)
-    part = F.pmod(F.shiftright("at", 32), F.lit(PARTS)).cast("int")
-    return out.select("id", "size", "text_crc32", F.pmod("at", F.lit(slots)).cast("int").alias("virtual_slot"), part.alias("part"))
+    total = held.agg(F.sum("size").alias("total"))  # one row
+    groups = held.groupBy("h").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where("n > 1")
+    large = groups.join(F.broadcast(total)).where(F.col("bytes") * shards > F.col("total"))
+    spread = shared.table(large.select("h", F.lit(True).alias("spread")), "shard-large")  # fewer than shards rows
+    by_row = F.xxhash64("h", "row")
+    slot = F.pmod(F.when(F.col("spread"), by_row).otherwise(F.col("h")), F.lit(slots)).cast("int")
+    part = F.pmod(F.shiftright(by_row, 32), F.lit(PARTS)).cast("int")
+    return held.join(F.broadcast(spread), "h", "left").select("id", "size", "text_crc32", slot.alias("virtual_slot"), part.alias("part"))

@@ -109,6 +109,8 @@ def test_pieces_are_cut_out_of_the_library_s_tokens(spark):
 def test_shards_hold_nearly_equal_bytes(spark):
     _, texts, _ = library_ids()
     rows, load = queries.op2_shard(spark, SF).collect(), [0] * 16
+    of_text = {}
+    assert all(of_text.setdefault(texts[r["doc_id"]], r["shard"]) == r["shard"] for r in rows) and len(of_text) < len(rows)  # equal texts stay together
     for r in rows:
         data = texts[r["doc_id"]].encode()
         assert r["size"] == len(data) + 1 and r["text_crc32"] == zlib.crc32(data) and r["law"] == "bytes" and r["grown_shard"] is None

@@ -35,15 +35,18 @@ def test_sharding(spark, docs, odd):
     assert sharding.shard(docs([])).count() == 0
 
 
-def test_rows_that_repeat_are_spread(docs):
-    rows = [*((None, "the same text, again and again") for _ in range(800)), *((7, None) for _ in range(300)), *((i, "t" * (i * 7 % 60)) for i in range(100, 900))]
+def test_groups_stay_whole_but_for_those_larger_than_a_shard(docs):
+    rows = [*((None, "the same text, again and again") for _ in range(800)), *((7, None) for _ in range(300)), *((i, "t" * (i * 7 % 60)) for i in range(100, 900)), *((900 + i, "u" * 50) for i in range(20))]
     out = sharding.shard(docs(rows), shards=16).collect()
-    load, places = Counter(), defaultdict(list)
+    load, places, groups = Counter(), defaultdict(list), defaultdict(set)
     for r in out:
         load[r["shard"]] += r["size"]
         places[r["shard"]].append(r["slot"])
+        groups[r["text_crc32"], r["size"]].add(r["shard"])
     assert len(out) == len(rows) and sorted((r["doc_id"] or 0, r["size"]) for r in out) == sorted((i or 0, len(t or "") + 1) for i, t in rows)
-    assert max(load.values()) - min(load.values()) <= 0.02 * sum(load.values()) / 16 + 62
+    large = {k for k, at in groups.items() if len(at) > 1}
+    assert large == {(zlib.crc32(b"the same text, again and again"), 31)} and len(groups) > 50
+    assert max(load.values()) - min(load.values()) <= 0.02 * sum(load.values()) / 16 + max(n for n in Counter((r["text_crc32"], r["size"]) for r in out if (r["text_crc32"], r["size"]) not in large).values()) * 60
     assert all(sorted(p) == list(range(len(p))) for p in places.values()) and len(places) == 16
 
 
