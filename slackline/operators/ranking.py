@@ -62,6 +62,11 @@ def edge_cache(pools: DataFrame, budgets=BUDGETS, cap: int = CAP) -> DataFrame:
     return picked.orderBy("place", F.desc("score"), "edge_id").limit(cap).select("pool", "edge_id", "score")
 
 
+def percentiles(column: str, points: dict[str, float]) -> list[Column]:
+    """Exact, with linear interpolation; 0 for no rows. A group's distinct values are in one buffer: for small groups."""
+    return [F.coalesce(F.percentile(column, F.lit(p)), F.lit(0.0)).alias(name) for name, p in points.items()]
+
+
 #: Ranks that a sketch may be off by are a part of this of a group's rows.
 ACCURACY = 10_000
 
