@@ -13,7 +13,7 @@ from slackline.operators import search as ops
 from slackline.plans import scratch
 from slackline.plans import search as plan
 from slackline.sources import bindings
-from slackline.sources.bindings import CANDIDATES_SQL, EDGES_SQL, LINKS_SQL, NODES_SQL
+from slackline.sources.bindings import CANDIDATES_SQL, EDGES_SQL, LINKS_SQL
 
 _REWARD = """(CASE WHEN stage_a = 0 THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN stage_b <= 5 THEN 2.0::DOUBLE ELSE 0 END
  + CASE WHEN stage_c IS NOT NULL THEN greatest(0.5::DOUBLE, 50.0::DOUBLE / stage_c) ELSE 0 END + CASE WHEN stage_d IS NOT NULL THEN greatest(1.0::DOUBLE, 200.0::DOUBLE / stage_d) ELSE 0 END)"""
