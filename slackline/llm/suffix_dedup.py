@@ -13,13 +13,17 @@ Every ``LENGTH`` bytes that also start in a document with a smaller id are remov
    leftward, one byte at a time: the order at a byte follows from the order at the next by one stable partition,
    and a common prefix is one more than the least of those between. Where it reaches ``LENGTH``, windows are equal,
    and those of any but the smallest id are marked.
-5. Marks return to their documents' chunk, by id and the text's number among those of the id, and the bytes that they cover are cut out.
+5. Marks return to their texts' chunk, by the id's place and the text's number among those of the id in the chunk, and
+   the bytes that they cover are cut out.
+
+Inside, ids are their places in order (``doc``), so an id may be of any type that has an order. A chunk is chosen by
+place and text: texts of one id, or without one, are spread.
 
 An anchor that over ``HOT`` documents share is dealt window by window instead: the windows are sorted with their ids,
 and the first of equal ones is the smallest, so no task holds such a group.
 
-Contract: a null text counts as empty; texts under ``LENGTH`` bytes stay whole; a null id counts as the largest; rows
-that repeat an id don't remove each other; an empty table gives no rows; other columns are ignored.
+Contract: a null text counts as empty; texts under ``LENGTH`` bytes stay whole; a null id comes after every
+other; rows that repeat an id don't remove each other (those that repeat the text too share a chunk); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slackline.llm import shared
@@ -322,7 +326,7 @@ def _mark(batches):
 
 
 def _cut(left, right):
-    """Cogrouped chunk: documents and marks to n_bytes, n_removed, n_spans and the bytes that stay."""
+    """Cogrouped chunk: documents and marks to id, n_bytes, n_removed, n_spans and the bytes that stay."""
     import pyarrow as pa
 
     marks: dict[tuple[int, int], list] = {}
@@ -339,32 +343,51 @@ def _cut(left, right):
             end = max(end, b)
             at = end
         kept = b"".join([*kept, text[at:]])
-        out.append((doc, len(text), len(text) - len(kept), spans, kept))
+        out.append((len(text), len(text) - len(kept), spans, kept))
     types = shared.arrow_schema(CUT)
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), types)] if out else [pa.array([], f.type) for f in types], schema=types)
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*out), types)] if out else [pa.array([], f.type) for f in types]
+    return pa.Table.from_arrays([left.column("id"), *columns], ["id", *types.names])
+
+
+CUT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-CUT = "doc long, n_bytes long, n_removed long, n_spans long, kept binary"
+def _positions(ids: DataFrame) -> DataFrame:
+    """(id, doc): distinct ids with their place in order, nulls last. Ranges are sorted; their sizes' sums are offsets."""
+    at = F.monotonically_increasing_id()
+    order = [F.isnull("id"), F.col("id")]
+    placed = ids.distinct().repartitionByRange(*order).sortWithinPartitions(*order).select("id", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    held = shared.table(placed, "repeats-ids")
+    sizes = held.groupBy("part").agg(F.count("*").alias("n"))  # as many rows as ranges
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return held.join(sizes.select("part", before.alias("before")), "part").select("id", (F.col("before") + F.col("place")).cast("long").alias("doc"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay)."""
     spark = shared.session(docs)
+    kind = docs.schema[id_col].dataType.simpleString()
     body = F.encode(shared.text_or_empty(text), "UTF-8")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), body.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    names = shared.table(rows.select("doc", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "repeats-names")
-    firsts = shared.table(names.groupBy("digest").agg(F.min("doc").alias("first")), "repeats-firsts")
-    copies = names.join(firsts, "digest").where((F.col("doc") > F.col("first")) & (F.col("n_bytes") >= LENGTH))
-    removed = copies.select("doc", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.expr("cast('' as binary)").alias("kept"))
-    short = rows.where(F.octet_length("text") < LENGTH).select("doc", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").alias("kept"))
+    rows = docs.select(F.col(id_col).alias("id"), body.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    size = F.octet_length("text").cast("long").alias("n_bytes")
+    place = F.struct(F.isnull("id").alias("null"), F.col("id"))
+    names = shared.table(rows.select("id", "digest", size), "repeats-names")
+    firsts = shared.table(names.groupBy("digest").agg(F.min(place).alias("first"), F.max("n_bytes").alias("size")), "repeats-firsts")
+    long = firsts.where(F.col("size") >= LENGTH)
+    copies = names.join(long, "digest").where(place > F.col("first"))
+    removed = copies.select("id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.expr("cast('' as binary)").alias("kept"))
+    short = rows.where(F.octet_length("text") < LENGTH).select("id", size, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").alias("kept"))
 
     total = names.agg(F.sum("n_bytes").alias("b")).first()["b"] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(PARTITIONS, -(-total // PARTITION_BYTES)))
     n_chunks = max(2 * partitions, -(-total // CHUNK_BYTES))
     n_buckets = max(partitions, -(-total // (16 * BUCKET_ANCHORS)))
-    chunk = F.pmod(F.xxhash64("doc"), F.lit(n_chunks))
-    of = firsts.select(F.col("first").alias("doc"), "digest")
-    unique = rows.where(F.octet_length("text") >= LENGTH).join(of, ["doc", "digest"], "left_semi").select(chunk.alias("chunk"), "doc", "text")
+    chunk = F.pmod(F.xxhash64("doc", "digest"), F.lit(n_chunks))
+    of = long.select(F.col("first.id").alias("first_id"), F.col("digest").alias("first_digest"))
+    placed = _positions(of.select(F.col("first_id").alias("id")))
+    of = of.join(placed, F.col("first_id").eqNullSafe(F.col("id"))).drop("id")
+    own = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest"))
+    unique = rows.where(F.octet_length("text") >= LENGTH).join(of, own).select(chunk.alias("chunk"), "id", "doc", "text")
     # bucketed by chunk: the two steps below that bring something to the texts don't shuffle them again
     name, path = f"slackline_repeats_{uuid.uuid4().hex}", shared.scratch_path(spark, "repeats-texts")
     unique.repartition(partitions, "chunk").write.bucketBy(partitions, "chunk").sortBy("chunk").option("compression", "zstd").option("path", path).saveAsTable(name)
@@ -376,9 +399,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     f, schema = _count_anchors(n_buckets)
     counted = texts.select("chunk", "text").mapInArrow(f, schema)
     common = shared.table(counted.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_anchors, "chunk long, shared binary, hot binary"), "repeats-anchors")
-    segments = texts.groupBy("chunk").cogroup(common.groupBy("chunk")).applyInArrow(_segments, SEGMENTS)
+    segments = texts.select("chunk", "doc", "text").groupBy("chunk").cogroup(common.groupBy("chunk")).applyInArrow(_segments, SEGMENTS)
     dealt = segments.repartition(partitions, F.coalesce("anchor", F.xxhash64("doc", "starts"))).sortWithinPartitions("anchor", "segment", "doc")
     marks = shared.table(dealt.mapInArrow(_mark, MARKS), "repeats-marks")
-    cut = texts.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(_cut, CUT)
-    every = cut.union(removed).union(short)
-    return every.select(F.when(F.col("doc") != _LAST, F.col("doc")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
+    cut = texts.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(_cut, f"id {kind}, {CUT}")
+    return cut.union(removed).union(short).withColumnRenamed("id", id_col)

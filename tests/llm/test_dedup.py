@@ -3,6 +3,7 @@ import random
 import re
 import time
 from collections import defaultdict
+from datetime import date
 
 import numpy as np
 import pytest
@@ -242,6 +243,33 @@ def test_marks_return_to_rows_of_a_repeated_id(docs, monkeypatch, hot):
     assert got == sorted([passage, own[0], own[1], own[2] + twin, own[3] + twin])
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "date"])
+def test_repeats_by_ids_of_any_type(spark, kind):
+    passage, other = "a passage that several of the documents share, word by word. ", "another one, which only those without an id have in common. "
+    ids = {"long": [-(1 << 63), 3, (1 << 63) - 1], "string": ["", "10", "9"], "date": [date(1, 1, 1), date(1999, 1, 1), date(2000, 1, 1)]}[kind]
+    rows = [(ids[2], "last " + passage), (None, "none " + passage), (None, "two " + passage + other), (None, other + "three"), (ids[0], "first " + passage), (ids[1], "middle")]
+    rows += [(None, f"no id, number {i}: " + passage) for i in range(40)]
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, f"doc_id {kind}, text string"))
+    assert found.schema["doc_id"].dataType.simpleString() == {"long": "bigint"}.get(kind, kind)
+    place = lambda i: (i is None, i if i is not None else ids[0])
+    want = brute_repeats([(place(i), t) for i, t in rows])
+    assert sorted((place(r["doc_id"]), *r[1:4], bytes(r["kept"])) for r in found.collect()) == want
+    assert sum(r[2] > 0 for r in want) == 43  # all with the passage but the first; texts without an id remove nothing from each other
+
+
+def test_texts_of_one_id_are_spread_over_chunks(docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 1000)
+    rnd, seen = random.Random(3), []
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(200)) for _ in range(60)]
+    write = suffix_dedup.shared.table
+    monkeypatch.setattr(suffix_dedup.shared, "table", lambda df, name, *a: seen.append((name, write(df, name, *a))) or seen[-1][1])
+    rows = [(None, t) for t in texts] + [(1, t[:90]) for t in texts]
+    got = {bytes(r["kept"]) for r in suffix_dedup.remove_repeats(docs(rows)).collect()}
+    assert got == {t[90:].encode() for t in texts} | {t[:90].encode() for t in texts}
+    marks = next(t for name, t in seen if name == "repeats-marks")
+    assert marks.select("doc").distinct().count() == 1 and marks.select("chunk").distinct().count() > 10
+
+
 def test_pieces_of_a_long_text_meet(monkeypatch):
     data = np.frombuffer(bytes(random.Random(1).choice(b"ab ") for _ in range(3000)), np.uint8)
     whole = [tuple(x.tolist() for x in r) for r in suffix_dedup.runs(data)]
