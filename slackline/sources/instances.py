@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from slackline.operators.configs import Context
 from slackline.plans import scratch
+from slackline.sources import npz
 
 NODE_SCHEMA = "id long, depth long, wf array<double>, bellman double"
 EDGE_SCHEMA = "edge_id long, from long, to long, d_min double, ext double, weight double"
@@ -92,153 +93,42 @@ def from_payload(spark: SparkSession, payload: dict) -> Instance:
     return Instance(int(payload["k"]), matrix, spark.createDataFrame(node_table, NODE_SCHEMA), spark.createDataFrame(edge_table, EDGE_SCHEMA)).check()
 
 
-#: Rows of a compressed array that one task reads, and numbers that it holds at a time.
-NPZ_ROWS, NPZ_NUMBERS = 1 << 20, 1 << 20
 #: Columns of an instance by array of the compressed form.
 _NODE_ARRAYS = {"id": "node_id", "depth": "node_depth", "wf": "node_wf_norm"}
 _EDGE_ARRAYS = {"from": "edge_from", "to": "edge_to", "d_min": "edge_d_min", "ext": "edge_ext", "weight": "edge_weight"}
 
 
-def _shapes(path: str) -> dict[str, tuple]:
-    """Shape of every array, from the headers alone."""
-    import zipfile
-
-    out = {}
-    with zipfile.ZipFile(path) as z:
-        for name in z.namelist():
-            with z.open(name) as f:
-                out[name.removesuffix(".npy")] = _header(f)[0]
-    return out
-
-
-def _header(f):
-    """(shape, type) at the head of a stored array."""
-    from numpy.lib import format as npy
-
-    read = {(1, 0): npy.read_array_header_1_0, (2, 0): npy.read_array_header_2_0}[npy.read_magic(f)]
-    shape, fortran, kind = read(f)
-    if fortran and len(shape) > 1:
-        raise ValueError("arrays are stored by rows")
-    return shape, kind
-
-
-def _pieces(path: str, name: str, start: int, rows: int):
-    """Rows ``start`` to ``start + rows`` of a stored array, a piece at a time; the file is decompressed as it streams."""
-    import zipfile
-
-    import numpy as np
-
-    with zipfile.ZipFile(path) as z, z.open(f"{name}.npy") as f:
-        shape, kind = _header(f)
-        width = int(np.prod(shape[1:], dtype=np.int64))
-        skip = start * width * kind.itemsize
-        while skip:
-            skip -= len(f.read(min(skip, 1 << 22)))
-        step = max(1, NPZ_NUMBERS // max(1, width))
-        for at in range(0, rows, step):
-            n = min(step, rows - at)
-            yield np.frombuffer(f.read(n * width * kind.itemsize), kind).reshape((n, *shape[1:]))
-
-
 def from_npz(spark: SparkSession, path: str) -> Instance:
     """From compressed arrays: k, distance_matrix, node_id, node_depth, node_wf_norm, edge_from and so on.
 
-    ``path`` is one that executors see. The driver reads headers; tasks stream ranges of rows, so no process holds
-    the instance. It is written to the shared folder, since reading compressed arrays again is dear.
+    ``path`` is one that executors see. The driver reads headers; tasks read blocks of rows (see ``npz``). The
+    instance is written to the shared folder, since reading compressed arrays again is dear.
     """
     import numpy as np
 
-    shapes = _shapes(path)
+    shapes = npz.shapes(path)
     with np.load(path, allow_pickle=False) as z:
         k, matrix = int(z["k"]), [[int(x) for x in row] for row in z["distance_matrix"]]
-
-    def table(columns: dict[str, str], schema: str, numbered: str | None, name: str):
-        n = shapes[columns["from" if "from" in columns else "id"]][0]
-        lists, whole = {c for c in columns if len(shapes[columns[c]]) > 1}, {"id", "depth", "from", "to"}
-
-        def read(batches):
-            import pyarrow as pa
-
-            from slackline.plans.explore import lists_of
-
-            for b in batches:
-                for block in b.column(0).to_pylist():
-                    start, at = block * NPZ_ROWS, block * NPZ_ROWS
-                    rows = min(NPZ_ROWS, n - start)
-                    streams = {c: _buffered(_pieces(path, a, start, rows)) for c, a in columns.items()}
-                    while at < start + rows:
-                        size = min(start + rows - at, max(1, NPZ_NUMBERS // max([1, *(shapes[columns[c]][1] for c in lists)])))
-                        got = {c: next_rows(size) for c, next_rows in streams.items()}
-                        cast = {c: (lists_of(v, np.float64) if c in lists else pa.array(v.astype(np.int64 if c in whole else np.float64))) for c, v in got.items()}
-                        if numbered:
-                            cast = {numbered: pa.array(np.arange(at, at + size)), **cast}
-                        yield pa.RecordBatch.from_arrays(list(cast.values()), list(cast))
-                        at += size
-
-        names = [*([numbered] if numbered else []), *columns]
-        kinds = dict(c.strip().split(" ") for c in schema.split(","))
-        blocks = spark.range(0, -(-n // NPZ_ROWS), numPartitions=max(1, -(-n // NPZ_ROWS)))
-        return scratch.table(blocks.mapInArrow(read, ", ".join(f"{c} {kinds[c]}" for c in names)), name)
-
     nodes = dict(_NODE_ARRAYS)
     if "bellman" in shapes and shapes["bellman"][0]:
         nodes["bellman"] = "bellman"
-    node_rows = table(nodes, NODE_SCHEMA, None, "npz-nodes")
+    node_rows = scratch.table(npz.read(spark, path, nodes, NODE_SCHEMA), "npz-nodes")
     node_rows = node_rows if "bellman" in nodes else node_rows.withColumn("bellman", F.lit(None).cast("double"))
-    return Instance(k, matrix, node_rows, table(_EDGE_ARRAYS, EDGE_SCHEMA, "edge_id", "npz-edges")).check()
-
-
-def _buffered(pieces):
-    """A function that takes so many rows from a stream of pieces."""
-    import numpy as np
-
-    held: list = []
-
-    def take(n: int):
-        have = sum(map(len, held))
-        while have < n:
-            held.append(next(pieces))
-            have += len(held[-1])
-        whole = np.concatenate(held) if len(held) > 1 else held[0]
-        held[:] = [whole[n:]]
-        return whole[:n]
-
-    return take
+    return Instance(k, matrix, node_rows, scratch.table(npz.read(spark, path, _EDGE_ARRAYS, EDGE_SCHEMA, "edge_id"), "npz-edges")).check()
 
 
 def to_npz(instance: Instance, path: str) -> None:
-    """The compressed form, as ``from_npz`` reads it: rows stream through the driver in order of ids, none are held."""
-    import zipfile
-
+    """The compressed form, as ``from_npz`` reads it: tasks compress blocks of rows and write them at their places."""
     import numpy as np
-    from numpy.lib import format as npy
-
-    def write(z, name: str, rows, shape: tuple, kind: str):
-        with z.open(f"{name}.npy", "w", force_zip64=True) as f:
-            npy.write_array_header_2_0(f, {"descr": np.dtype(kind).str, "fortran_order": False, "shape": shape})
-            part = []
-            for r in rows:
-                part.append(r)
-                if len(part) == 4096:
-                    f.write(np.array(part, kind).tobytes())
-                    part = []
-            f.write(np.array(part, kind).tobytes())
-
-    def column(df: DataFrame, order: str, name: str):
-        return (r[0] for r in df.orderBy(order).select(name).toLocalIterator())
-
-    n, e = instance.nodes.count(), instance.edges.count()
-    width = len(instance.nodes.select("wf").first()["wf"]) if n else 0
-    known = instance.nodes.where("bellman is null").isEmpty()
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        write(z, "k", [instance.k], (), "<i8")
-        write(z, "distance_matrix", [[int(x) for x in row] for row in instance.distances], (len(instance.distances),) * 2, "<i8")
-        for c, a in _NODE_ARRAYS.items():
-            write(z, a, column(instance.nodes, "id", c), (n, width) if c == "wf" else (n,), "<f8" if c == "wf" else "<i8")
-        for c, a in _EDGE_ARRAYS.items():
-            write(z, a, column(instance.edges, "edge_id", c), (e,), "<i8" if c in ("from", "to") else "<f8")
-        if known:
-            write(z, "bellman", column(instance.nodes, "id", "bellman"), (n,), "<f8")
+
+    first = instance.nodes.select("wf").first()
+    width = len(first["wf"]) if first else 0
+    nodes = {c: (a, width if c == "wf" else 0, "<f8" if c == "wf" else "<i8") for c, a in _NODE_ARRAYS.items()}
+    if instance.nodes.where("bellman is null").isEmpty():
+        nodes["bellman"] = ("bellman", 0, "<f8")
+    edges = {c: (a, 0, "<i8" if c in ("from", "to") else "<f8") for c, a in _EDGE_ARRAYS.items()}
+    small = {"k": np.array(instance.k, "<i8"), "distance_matrix": np.array([[int(x) for x in row] for row in instance.distances], "<i8")}
+    npz.write(instance.nodes.sparkSession, path, small, [(instance.nodes, "id", nodes), (instance.edges, "edge_id", edges)])
 
 
 def from_graph(graph) -> Instance:

@@ -13,7 +13,7 @@ from slackline.operators.configs import Context
 from slackline.plans import control, evaluation, explore
 from slackline.plans import search as plan_search
 from slackline.plans.numbering import numbered
-from slackline.sources import instances, metrics
+from slackline.sources import instances, metrics, npz
 
 
 def brute_matching(d, a, b):
@@ -473,8 +473,8 @@ def test_the_potential_for_three_servers(spark):
 
 
 def test_compressed_instances_stream_both_ways(spark, graph, tmp_path, monkeypatch):
-    monkeypatch.setattr(instances, "NPZ_ROWS", 100)
-    monkeypatch.setattr(instances, "NPZ_NUMBERS", 700)
+    monkeypatch.setattr(npz, "NPZ_ROWS", 100)
+    monkeypatch.setattr(npz, "NPZ_NUMBERS", 700)
     inst = instances.from_graph(graph)
     path = str(tmp_path / "i.npz")
     instances.to_npz(inst, path)
