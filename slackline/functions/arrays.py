@@ -67,7 +67,8 @@ def normalized(wf: Column) -> Column:
 
 
 def shifted(wf: Column, by: Column) -> Column:
-    return let(by, lambda d: F.transform(wf, lambda x: x + d))
+    """Every value plus ``by``, which is computed once. No lambda stands in another: Python functions can't take those."""
+    return F.zip_with(wf, F.array_repeat(by, F.size(wf)), lambda x, d: x + d)
 
 
 def growth(before: Column, after: Column) -> Column:

@@ -372,10 +372,10 @@ def within(nodes: DataFrame, potential: Callable[[Column], Column], seconds: flo
     from slackline.plans import scratch, search
 
     spark, until = nodes.sparkSession, time.monotonic() + seconds
-    once = scratch.table(nodes.select(wf).distinct().withColumn("__block", F.pmod(F.xxhash64(wf), F.lit(blocks))), "distinct")
+    once = scratch.table(_classes(nodes, wf).withColumn("__block", F.pmod("__a", F.lit(blocks))), "distinct")
     done = None
     for b in range(blocks):
-        part = once.where(F.col("__block") == b).drop("__block").withColumn("phi", potential(F.col(wf)))
+        part = once.where(F.col("__block") == b).select(*_KEY, potential(F.col(wf)).alias("phi"))
         written = search.within(spark, until - time.monotonic(), lambda part=part: scratch.table(part, "evaluated-block"))
         if written is None:
             break
@@ -383,17 +383,31 @@ def within(nodes: DataFrame, potential: Callable[[Column], Column], seconds: flo
     if done is None:
         kind = once.withColumn("phi", potential(F.col(wf))).schema["phi"].dataType
         return nodes.withColumn("phi", F.lit(None).cast(kind))
-    return nodes.join(done, wf, "left")
+    return _keyed(nodes, wf).join(done, list(_KEY), "left").drop(*_KEY)
+
+
+#: Columns that tell work functions apart: two hashes of 64 bits.
+_KEY = ("__a", "__b")
+
+
+def _keyed(nodes: DataFrame, wf: str) -> DataFrame:
+    return nodes.withColumn("__a", F.xxhash64(wf)).withColumn("__b", F.xxhash64(F.size(wf), wf))
+
+
+def _classes(nodes: DataFrame, wf: str) -> DataFrame:
+    """__a, __b and one work function of each class of equal ones."""
+    return _keyed(nodes.select(wf), wf).where(F.col(wf).isNotNull()).groupBy(*_KEY).agg(F.any_value(wf).alias(wf))
 
 
 def distinct(nodes: DataFrame, potential: Callable[[Column], Column], wf: str = "wf") -> DataFrame:
     """``nodes`` with ``phi``: the potential is evaluated once for each distinct work function, then joined back.
 
-    The aggregation also keeps computed work functions out of the Python function's arguments, where Spark can fail
-    to plan higher-order functions.
+    Classes are told by 128 bits of hashes, so what comes back is two numbers and a value, never a work function. A null
+    work function has a null phi. The aggregation also keeps computed work functions out of the Python function's
+    arguments, where Spark can fail to plan higher-order functions.
     """
-    once = nodes.select(wf).distinct().withColumn("phi", potential(F.col(wf)))
-    return nodes.join(once, wf)
+    once = _classes(nodes, wf).select(*_KEY, potential(F.col(wf)).alias("phi"))
+    return _keyed(nodes, wf).join(once, list(_KEY), "left").drop(*_KEY)
 
 
 def looked_up(nodes: DataFrame, table: DataFrame, default: float = 0) -> DataFrame:
