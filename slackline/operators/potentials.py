@@ -396,7 +396,7 @@ def _keyed(nodes: DataFrame, wf: str) -> DataFrame:
 
 def _classes(nodes: DataFrame, wf: str) -> DataFrame:
     """__a, __b and one work function of each class of equal ones."""
-    return _keyed(nodes.select(wf), wf).where(F.col(wf).isNotNull()).groupBy(*_KEY).agg(F.any_value(wf).alias(wf))
+    return _keyed(nodes.select(wf), wf).where(F.col(wf).isNotNull()).distinct()  # by hash: an array in a buffer would sort
 
 
 def distinct(nodes: DataFrame, potential: Callable[[Column], Column], wf: str = "wf") -> DataFrame:
