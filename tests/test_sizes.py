@@ -5,6 +5,7 @@ from itertools import combinations_with_replacement
 import pytest
 
 from slackline.operators import configs
+from slackline.sources import metrics
 
 
 def plan(df):
@@ -23,3 +24,16 @@ def test_multisets_of_many_points_come_from_even_tasks(spark, monkeypatch):
     monkeypatch.setattr(configs, "ROWS", 10_000)
     sizes = configs.multisets(spark, 600, 2).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert sum(sizes) == 180_300 and len(sizes) == 19 and max(sizes) < 12_000
+
+
+@pytest.mark.parametrize("m", [1, 8, 9, 33])
+def test_tiles_hold_all_pairs_once(spark, monkeypatch, m):
+    monkeypatch.setattr(metrics, "BLOCK", 4)
+    monkeypatch.setattr(metrics, "RUN", 10)
+    assert sorted(map(tuple, metrics.line(spark, m).collect())) == [(a, b, abs(a - b)) for a in range(m) for b in range(m)]
+
+
+@pytest.mark.parametrize(("metric", "most"), [(metrics.line, 0.6), (metrics.circle, 0.6), (metrics.uniform, 0.3)])
+def test_metrics_are_written_in_a_fraction_of_a_byte_a_row(spark, tmp_path, metric, most):
+    metric(spark, 2_000).write.parquet(str(tmp_path / "metric"))
+    assert sum(f.stat().st_size for f in (tmp_path / "metric").glob("*.parquet")) < 2_000**2 * most
