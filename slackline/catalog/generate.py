@@ -174,18 +174,22 @@ def initial_wf(spark, sf_dir):
     return workfunctions.initial(configs.multisets(spark, M, K), _starts(spark, sf_dir), _distance).select("of", "idx", "value")
 
 
+def _valued(wfs):
+    """of, idx, value of work functions that are arrays."""
+    return wfs.select("of", F.posexplode("wf").alias("idx", "value")).select("of", F.col("idx").cast("long").alias("idx"), "value")
+
+
 def _update_sql(source: str, r: str) -> str:
     return f"SELECT w.of, m.idx, min(w.value + m.cost) AS value FROM {source} w JOIN starts s ON s.of = w.of JOIN moves m ON m.nbr = w.idx AND m.r = {r} GROUP BY w.of, m.idx"
 
 
 @query(f"WITH {_INITIAL}, one AS ({_update_sql('initial', 's.r')}) SELECT of, CAST(idx AS BIGINT) AS idx, CAST(value AS BIGINT) AS value FROM ({_update_sql('one', 's.t')})")
 def wf_update(spark, sf_dir):
-    """Two requests of every customer, gathered by joins."""
-    c, starts = configs.multisets(spark, M, K), _starts(spark, sf_dir)
+    """Two requests of every customer."""
+    c = configs.multisets(spark, M, K)
     moves = configs.moves(c, metrics.circle(spark, M), K)
-    first = workfunctions.initial(c, starts, _distance).select("of", "idx", "value", "r", "t")
-    one = workfunctions.update(first, moves, F.col("r"), ["of", "r", "t"])
-    return workfunctions.update(one, moves, F.col("t"), ["of"])
+    first = workfunctions.initial_arrays(c, _starts(spark, sf_dir).distinct(), _distance)
+    return _valued(workfunctions.update(workfunctions.update(first, moves, "r"), moves, "t"))
 
 
 _LISTS = f"""{_MOVES}, tables AS (SELECT list(nbr ORDER BY r, idx, i) AS nbr, list(cost ORDER BY r, idx, i) AS cost FROM moves)"""
@@ -232,11 +236,9 @@ def taxi_preimage(spark, sf_dir):
 carried AS (SELECT pre.of, pre.idx, value + d AS value FROM pre JOIN initial i ON i.idx = source AND i.of = pre.of) SELECT of, CAST(idx AS BIGINT) AS idx, CAST(value AS BIGINT) AS value FROM ({_update_sql('carried', 's.t')})""")
 def taxi_update(spark, sf_dir):
     """A ride of every customer."""
-    c, starts = configs.multisets(spark, M, K), _starts(spark, sf_dir)
-    moves, d = configs.moves(c, metrics.circle(spark, M), K), metrics.circle(spark, M)
-    first = workfunctions.initial(c, starts, _distance).select("of", "idx", "value", F.col("r").alias("s"), "t")
-    priced = first.join(d.select(F.col("a").alias("s"), F.col("b").alias("t"), "d"), ["s", "t"])
-    return workfunctions.ride(priced, moves, c, ["of"])
+    c, d = configs.multisets(spark, M, K), metrics.circle(spark, M)
+    first = workfunctions.initial_arrays(c, _starts(spark, sf_dir).withColumnRenamed("r", "s").distinct(), _distance)
+    return _valued(workfunctions.ride(first, configs.moves(c, d, K), c, d))
 
 
 @query(f"WITH {bindings.NODES_SQL} SELECT id, list_min(wf) AS low, array_to_string(wf, ',') AS wf FROM nodes")

@@ -24,14 +24,33 @@ def initial(configs: DataFrame, start: list[int] | DataFrame, distance) -> DataF
     return each.select(*start.columns, F.col("__c.idx").alias("idx"), arrays.set_distance(F.col("start"), F.col("__c.cfg"), k, distance).cast("long").alias("value"))
 
 
-def update(values: DataFrame, moves: DataFrame, request: Column | int, by: list[str] = ()) -> DataFrame:
-    """idx, value after a request: each configuration's cheapest last move, gathered by a join.
+def initial_arrays(configs: DataFrame, starts: DataFrame, distance) -> DataFrame:
+    """``starts`` (start, and any columns) with wf: the work function from each as one array, in the order of idx.
 
-    ``by``: columns that tell work functions apart; ``request`` may then be a column of ``values``.
+    Made once for each distinct start, of which a context has m^k at most: as small as its table of moves.
     """
-    r = request if isinstance(request, Column) else F.lit(request)
-    step = values.select(*by, F.col("idx").alias("nbr"), "value", r.alias("__r")).join(moves.select(F.col("r").alias("__r"), "nbr", "idx", "cost"), ["__r", "nbr"])
-    return step.groupBy(*by, "idx").agg(F.min(F.col("value") + F.col("cost")).alias("value"))
+    k = len(configs.first()["cfg"])
+    one = configs.agg(F.array_sort(F.collect_list(F.struct("idx", "cfg"))).alias("__configs"))  # one row: a context's configurations
+    wf = F.transform("__configs", lambda c: arrays.set_distance(F.col("start"), c["cfg"], k, distance).cast("long"))
+    each = starts.select("start").distinct().join(F.broadcast(one)).select("start", wf.alias("wf"))
+    return starts.join(F.broadcast(each), "start").select(*starts.columns, "wf")
+
+
+def _gathered(values: DataFrame, moves: DataFrame, by: list[str]) -> DataFrame:
+    """``values`` with wf after the moves (idx, nbr, cost) that ``by`` names: for each idx the least wf[nbr] + cost.
+
+    A context's moves are small: one row for each of ``by``, sent to all tasks. Work functions stay in their rows, so nothing of
+    their size is shuffled or held.
+    """
+    spots = moves.groupBy(*by, "idx").agg(F.collect_list(F.struct("nbr", "cost")).alias("spots"))
+    table = spots.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("idx", "spots"))).alias("__moves"))
+    after = arrays.let(F.col("wf"), lambda w: F.transform("__moves", lambda m: F.array_min(F.transform(m["spots"], lambda s: w[s["nbr"]] + s["cost"]))))
+    return values.join(F.broadcast(table), by).select(*(after.alias(c) if c == "wf" else c for c in values.columns))
+
+
+def update(values: DataFrame, moves: DataFrame, request: str) -> DataFrame:
+    """``values`` with wf (arrays) after a request at the point in the column ``request``: each configuration's cheapest last move."""
+    return _gathered(values, moves.withColumnRenamed("r", request), [request])
 
 
 def preimages(configs: DataFrame, rides: DataFrame) -> DataFrame:
@@ -42,14 +61,15 @@ def preimages(configs: DataFrame, rides: DataFrame) -> DataFrame:
     return held.join(configs.select(F.col("idx").alias("source"), "cfg"), "cfg").select("s", "t", "idx", "source")
 
 
-def ride(values: DataFrame, moves: DataFrame, configs: DataFrame, by: list[str] = ()) -> DataFrame:
-    """idx, value after a ride from s to t at the cost d, columns of ``values``: through the preimages, then a request at t.
+def ride(values: DataFrame, moves: DataFrame, configs: DataFrame, metric: DataFrame) -> DataFrame:
+    """``values`` with wf (arrays) after a ride between the points in its columns s and t: through the preimages, then a request at t.
 
-    Unreachable states drop out. ``by``: columns that tell work functions apart.
+    Both are one table of moves for each ride. All moves to t lead to states that a ride reaches, so a closed context has no gaps.
     """
-    back = preimages(configs, values.select("s", "t").distinct())
-    carried = values.withColumnRenamed("idx", "source").join(back, ["s", "t", "source"]).select(*by, "t", "idx", (F.col("value") + F.col("d")).alias("value"))
-    return update(carried, moves, F.col("t"), list(by))
+    rides = metric.select(F.col("a").alias("s"), F.col("b").alias("t"), "d")
+    back = preimages(configs, rides).select("s", "t", F.col("idx").alias("nbr"), "source").join(rides, ["s", "t"])
+    steps = moves.withColumnRenamed("r", "t").join(back, ["t", "nbr"])
+    return _gathered(values, steps.select("s", "t", "idx", F.col("source").alias("nbr"), (F.col("cost") + F.col("d")).alias("cost")), ["s", "t"])
 
 
 #: The value of what can't be reached, far above any sum of moves and far below overflow.

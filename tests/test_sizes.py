@@ -4,7 +4,9 @@ from itertools import combinations_with_replacement
 
 import pytest
 
-from slackline.operators import configs
+from slackline.functions import arrays
+from slackline.operators import configs, workfunctions
+from slackline.operators.configs import Context
 from slackline.sources import metrics
 
 
@@ -37,3 +39,22 @@ def test_tiles_hold_all_pairs_once(spark, monkeypatch, m):
 def test_metrics_are_written_in_a_fraction_of_a_byte_a_row(spark, tmp_path, metric, most):
     metric(spark, 2_000).write.parquet(str(tmp_path / "metric"))
     assert sum(f.stat().st_size for f in (tmp_path / "metric").glob("*.parquet")) < 2_000**2 * most
+
+
+def test_updates_shuffle_nothing_of_the_size_of_work_functions(spark):
+    c, d = configs.multisets(spark, 6, 3), metrics.circle(spark, 6)
+    moves = configs.moves(c, d, 3)
+    context = Context.of(3, metrics.circle_matrix(6))
+    rows = [(i, [i % 6, i // 6 % 6, i // 36 % 6], i % 6, i % 5) for i in range(216)]
+    starts = spark.createDataFrame(rows, "of long, start array<long>, r long, t long")
+    first = workfunctions.initial_arrays(c, starts, lambda a, b: arrays.circle_distance(a, b, 6))
+    served = workfunctions.update(workfunctions.update(first, moves, "r"), moves, "t")
+    ridden = workfunctions.ride(first.withColumnRenamed("r", "s"), moves, c, d)
+    for df in (served, ridden):
+        top = plan(df).split("BroadcastExchange")[0]
+        assert "Exchange" not in top and "Aggregate" not in top
+    served, ridden = ({r["of"]: r["wf"] for r in df.collect()} for df in (served, ridden))
+    for of, start, r, t in rows:
+        wf = context.initial(start)
+        assert served[of] == context.update(context.update(wf, r), t).tolist()
+        assert ridden[of] == context.ride(wf, r, t).tolist()
