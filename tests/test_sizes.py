@@ -41,6 +41,14 @@ def test_metrics_are_written_in_a_fraction_of_a_byte_a_row(spark, tmp_path, metr
     assert sum(f.stat().st_size for f in (tmp_path / "metric").glob("*.parquet")) < 2_000**2 * most
 
 
+def test_tiles_are_gone_through_by_number(spark):
+    """An explode holds all rows of its input row, and a tile's chain of them ran out of memory at 20,000 points."""
+    df = metrics.circle(spark, 2_000)
+    assert not any(step in plan(df) for step in ("Generate", "Exchange", "Sort"))
+    sizes = df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 2_000**2 and max(sizes) <= metrics.BLOCK * 2_000
+
+
 def test_updates_shuffle_nothing_of_the_size_of_work_functions(spark):
     c, d = configs.multisets(spark, 6, 3), metrics.circle(spark, 6)
     moves = configs.moves(c, d, 3)
