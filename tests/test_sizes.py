@@ -3,6 +3,7 @@
 from itertools import combinations_with_replacement
 
 import pytest
+from pyspark.sql import functions as F
 
 from slackline.functions import arrays
 from slackline.operators import configs, workfunctions
@@ -49,6 +50,12 @@ def test_tiles_are_gone_through_by_number(spark):
     assert sum(sizes) == 2_000**2 and max(sizes) <= metrics.BLOCK * 2_000
 
 
+def test_tiles_have_few_values_whatever_the_points(spark):
+    """Of up to 65,536 points a tile, codes of b and d are looked up slower and take more bits."""
+    tile = metrics.line(spark, 20_000).where(F.spark_partition_id() == 0)
+    assert max(tile.agg(F.count_distinct("b"), F.count_distinct("d")).first()) < 10_000
+
+
 def test_cycles_fill_whole_runs_of_packed_codes(spark, tmp_path):
     """A cycle of 512 points comes 504 and 8 to a run, which took uniform 0.127 bytes a row."""
     metrics.uniform(spark, 2_000).write.parquet(str(tmp_path / "metric"))
